@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .fingerprint import op6_fingerprint
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op6_fingerprint": op6_fingerprint, "op9_exact_dedup": op9_exact_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
