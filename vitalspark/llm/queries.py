@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .chat_format import OP4_SQL, op4_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .fingerprint import op6_fingerprint
+from .html_extract import op1_html_extract
 
-QUERIES = {"op6_fingerprint": op6_fingerprint, "op9_exact_dedup": op9_exact_dedup, "op10_bpe": op10_bpe}
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op4_chat_format": op4_chat_format,
+    "op6_fingerprint": op6_fingerprint,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_bpe": op10_bpe,
+}
+ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL}
