@@ -7,14 +7,18 @@ from .chat_format import OP4_SQL, op4_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .fingerprint import op6_fingerprint
 from .html_extract import op1_html_extract
+from .mixing import op2_mixing
+from .near_dedup import op7_near_dedup
 from .pii import op8_pii
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprint": op6_fingerprint,
+    "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
