@@ -10,6 +10,7 @@ from .html_extract import op1_html_extract
 from .mixing import op2_mixing
 from .near_dedup import op7_near_dedup
 from .pii import op8_pii
+from .substring_dedup import op5_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
