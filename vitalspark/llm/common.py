@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if held.isDefined():
         return held.get()
     if not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
-        path = "file://" + tempfile.mkdtemp(prefix="vitalspark-")
+        own = tempfile.mkdtemp(prefix="vitalspark-")
+        atexit.register(shutil.rmtree, own, True)
+        path = "file://" + own
     else:
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(path)

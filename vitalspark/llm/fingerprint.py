@@ -154,7 +154,9 @@ def with_next(docs: DataFrame, runs: int | None = None) -> tuple[DataFrame, int]
     cuts = sorted(set(cuts or []))  # at most runs - 1 ids
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))  # monotone in doc_id, which is all that runs need
-    laid = Bucketizer(splits=splits, inputCol="place", outputCol="at").transform(docs.withColumn("place", place)).withColumn("run", F.col("at").cast("int"))
+    laid = docs.withColumn("run", F.lit(0))
+    if len(splits) > 2:
+        laid = Bucketizer(splits=splits, inputCol="place", outputCol="at").transform(docs.withColumn("place", place)).withColumn("run", F.col("at").cast("int"))
     # the first row of each run, found by partial aggregation over (run, doc_id) and then the least text
     first_id = laid.groupBy("run").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
     first = laid.join(F.broadcast(first_id), "run").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).groupBy("run", "doc_id").agg(F.min("text").alias("text"))

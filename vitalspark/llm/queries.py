@@ -10,7 +10,7 @@ from .html_extract import op1_html_extract
 from .mixing import op2_mixing
 from .near_dedup import op7_near_dedup
 from .pii import op8_pii
-from .substring_dedup import op5_substring_dedup
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}

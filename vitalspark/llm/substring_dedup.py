@@ -262,3 +262,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM d),
+g AS (SELECT doc_id, k, n, word, CASE WHEN k <= n - 12 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS win FROM w),
+f AS (SELECT win, min(doc_id) AS first FROM g WHERE win IS NOT NULL GROUP BY win),
+m AS (SELECT g.doc_id, g.k, g.word, CASE WHEN f.first < g.doc_id THEN 1 ELSE 0 END AS hit FROM g LEFT JOIN f ON g.win = f.win),
+c AS (SELECT doc_id, k, word, max(hit) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+r AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS bigint) AS n_words, CAST(coalesce(r.n_removed, 0) AS bigint) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
