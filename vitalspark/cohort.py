@@ -133,17 +133,18 @@ def placed_in(df: DataFrame, value: Column, cuts: Sequence[float], name: str) ->
     return Bucketizer(splits=splits, inputCol="__at", outputCol=name).transform(at).drop("__at")
 
 
-def bucket_rank(df: DataFrame, order: str, buckets: int, number: str = "rank") -> DataFrame:
-    """Rows numbered from 0 in order of a numeric column, without sorting all of them in one task.
+def bucket_rank(df: DataFrame, order: str, buckets: int, number: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+    """Rows numbered from 0 in order of a numeric column, in each group of `by`, without sorting a group in one task.
 
     Values are cut at sampled quantiles; ranks are the bucket's offset plus the place within it.
     """
     cuts = df.select(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
     placed = placed_in(df, F.col(order), cuts, "__bucket")
-    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__bucket", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))
-    return placed.join(F.broadcast(base), "__bucket").withColumn(number, F.col("__base") + within - 1).drop("__bucket", "__base")
+    sizes = placed.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(order))
+    return placed.join(base, [*by, "__bucket"]).withColumn(number, F.col("__base") + within - 1).drop("__bucket", "__base")
 
 
 def split_uniform(df: DataFrame, n: int, key: Column, name: str = "center", buckets: int = 32) -> DataFrame:

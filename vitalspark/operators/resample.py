@@ -25,12 +25,7 @@ def draw_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, by: Se
     Rows are ranked by id inside their group, and draws join rows by (group, rank).
     """
     ids = df.select(*by, spec.id)
-    if by:
-        from pyspark.sql import Window
-
-        ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(spec.id)) - 1)
-    else:
-        ranked = bucket_rank(ids, spec.id, buckets, "rank")
+    ranked = bucket_rank(ids, spec.id, buckets, "rank", by)
     sizes = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     draws = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.join(F.broadcast(sizes))
     draws = draws.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
