@@ -277,7 +277,7 @@ def fit(sample: pd.DataFrame) -> Model:
     sample = sample.sort_values(["toxic", "text"], kind="stable")
     toxic = sample["toxic"].to_numpy(int)
     if not len(toxic) or toxic.min() == toxic.max():
-        return Model(np.zeros(1), np.zeros((2, 2)), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
+        return Model(np.zeros(DIMENSION), np.zeros((2, 2)), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
     words = [_WORD.findall(t) for t in sample["text"]]
     weights, trans = train_crf(words, toxic)
     model = Model(weights, trans, np.zeros(3))
