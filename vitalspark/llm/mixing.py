@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, slices, table
+from .common import WORD_PATTERN, materialise, shuffle_width, slices, table
 
 #: Words a block, slots a shard, rows of an offset bucket on average, and the largest number of sources.
 BLOCK, SHARD, BUCKET_ROWS, MAX_SOURCES = 256, 1024, 4096, 65_536
@@ -113,12 +113,13 @@ def quotas(sizes: list[int], wanted: list[Fraction], block: int, seed: int) -> p
 
 def _offsets(rows: DataFrame, count: int) -> DataFrame:
     """rows(src, row_id, doc_id, size) with each one's offset in its source's stream, by two-level sums."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(count // BUCKET_ROWS + 1)))
+    buckets = max(count // BUCKET_ROWS + 1, 4 * shuffle_width(rows.sparkSession))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     by = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     by = by.select("src", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(by, ["src", "bucket"]).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return rows.join(by.hint("merge"), ["src", "bucket"]).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
 
 class Mix:
@@ -158,7 +159,7 @@ class Mix:
         group = counts.withColumn("part", F.floor(F.col("shard") / BUCKET_ROWS))
         before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
         base = group.groupBy("src", "part").agg(F.sum("n").alias("sum")).select("src", "part", F.coalesce(F.sum("sum").over(before("src", "part")), F.lit(0)).alias("base"))
-        return group.join(base, ["src", "part"]).select("shard", "src", "n", (F.col("base") + F.coalesce(F.sum("n").over(before("src", "part", "shard")), F.lit(0))).alias("first"))
+        return group.join(base.hint("merge"), ["src", "part"]).select("shard", "src", "n", (F.col("base") + F.coalesce(F.sum("n").over(before("src", "part", "shard")), F.lit(0))).alias("first"))
 
     def slots(self) -> DataFrame:
         """(shard, src, epoch, block, take): one row a slot; take is the number of words from the block's start."""
@@ -200,12 +201,12 @@ class Mix:
     def parts(self) -> DataFrame:
         """(row_id, epoch, lo, hi): words of a row that the mix takes; an epoch takes a word once at most."""
         slots = self.slots().select("src", "epoch", "block", "take")
-        return self.pieces().join(slots, ["src", "block"]).select("row_id", "epoch", "lo", F.least("hi", F.col("lo") + F.col("take") - F.col("skip")).alias("hi")).where("hi > lo")
+        return self.pieces().join(slots.hint("merge"), ["src", "block"]).select("row_id", "epoch", "lo", F.least("hi", F.col("lo") + F.col("take") - F.col("skip")).alias("hi")).where("hi > lo")
 
     def taken(self) -> DataFrame:
         """rows with `taken`, the words that the mix takes of each."""
         sums = self.parts().groupBy("row_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-        return self.rows.join(sums, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+        return self.rows.join(sums.hint("merge"), "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def sized(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
@@ -250,7 +251,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) for t in out]).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    joined = tagged.join(parts, tagged["__row"] == parts["row_id"]).drop("row_id", "__row")
+    joined = tagged.join(parts.withColumnRenamed("row_id", "__row").hint("merge"), "__row").drop("__row")
     return joined.mapInArrow(cut, docs.schema)
 
 
