@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, table, texts
 
 #: Pre-tokens kept in a worker's table; when full, it is emptied.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 250_000
 #: Pre-tokens of more bytes than this are streamed and not memoised.
 LONG = 256
 #: Bytes that the transducer takes in at a time beyond its lookahead.

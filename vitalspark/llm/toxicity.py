@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ REACH, PLACES = 12, 2
 #: Size of the hashed weight table, penalty, learning rate and passes.
 DIMENSION, RIDGE, RATE, EPOCHS = 1 << 18, 1e-5, 0.5, 6
 #: Tokens of a segment of the blocked forward-backward recursion; words kept in a worker's table.
-SEGMENT, TABLE_SIZE = 256, 500_000
+SEGMENT, TABLE_SIZE = 256, 200_000
 HELD_OUT = 5
 _WORD = re.compile(r"\w+")
 
@@ -152,9 +153,7 @@ class Model:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.own: list[float] = []
-        self.left: list[float] = []
-        self.right: list[float] = []
+        self.own, self.left, self.right = array("d"), array("d"), array("d")
         self.columns: tuple | None = None
 
     def _number(self, word: str) -> int:
@@ -177,7 +176,7 @@ class Model:
         if not len(ids):
             return np.zeros(0)
         if self.columns is None:
-            self.columns = tuple(np.array(x) for x in (self.own, self.left, self.right))
+            self.columns = tuple(np.array(x, float) for x in (self.own, self.left, self.right))
         own, left, right = self.columns
         e = own[ids]
         inner = np.ones(len(ids), bool)
