@@ -65,6 +65,43 @@ def test_near(docs, empty, rows):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
 
 
+def test_near_in_a_hot_group(spark):
+    """Near copies stay together among many texts that share most of their words with them and are not alike."""
+    rng = random.Random(7)
+    say = lambda n: ["".join(rng.choice("abdeimnorst") for _ in range(7)) for _ in range(n)]
+    common = say(150)
+    texts = [common + say(50) for _ in range(2000)]
+    copies = [[w if rng.random() > 0.08 else say(1)[0] for w in texts[k]] for k in range(300)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts + copies)], "doc_id long, text string")
+    by = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).select("doc_id", "class_id").collect()}
+    words = near_dedup.Words()
+    own = [words(" ".join(t)) for t in texts[:300] + copies]
+    sketch = near_dedup.sketches(own)
+    meet = [k for k in range(300) if near_dedup.alike(own[k], own[300 + k]) and (sketch[k] == sketch[300 + k]).any()]
+    assert len(meet) > 250 and [k for k in meet if by[k] != by[2000 + k]] == []
+
+
+def test_block_links_join_what_all_pairs_join():
+    rng = random.Random(8)
+    base = [[rng.randrange(1, 60) for _ in range(40)] for _ in range(4)]
+    texts = [[w if rng.random() > 0.1 else rng.randrange(1, 60) for w in base[k % 4] if rng.random() > 0.04] for k in range(80)]
+    raw = [near_dedup.np.array(t, "<u8").view("u1").reshape(-1, 8)[:, :5].tobytes() for t in texts]
+    nodes = [b"%03d" % k for k in range(80)]
+
+    def classes(pairs):
+        label = {n: n for n in nodes}
+        for a, b in pairs:
+            label = {n: min(label[a], label[b]) if v in (label[a], label[b]) else v for n, v in label.items()}
+        return label
+
+    every = [(nodes[i], nodes[j]) for i in range(80) for j in range(i) if near_dedup.alike(texts[i], texts[j])]
+    sides = [k % 3 % 2 for k in range(80)]
+    got = near_dedup.block_links(nodes, nodes, sides, raw, False)
+    assert set(map(frozenset, got)) <= set(map(frozenset, every)) and classes(got) == classes(every) and 4 <= len(set(classes(every).values())) < 80
+    crossing = [(a, b) for a, b in every if sides[int(a)] != sides[int(b)]]
+    assert classes(near_dedup.block_links(nodes, nodes, sides, raw, True)) == classes(crossing)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (200, 201)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dedup.components(edges, "a", "b").collect()}

@@ -6,19 +6,21 @@ matches with a probability that falls with edits and with reordering. ROWS compo
 share a key are candidates. Candidates are verified by a banded bit-parallel alignment of their words: a link is
 1 - distance / longer length >= SIMILARITY. Links are closed to classes by label propagation with shortcuts.
 
-Candidates without all pairs: the members of a key are compared with its least member only. Members that fail stay
-together and elect a new least member, their key refined by the next sketch component, until no key has two members
-left. A passage in otherwise different texts thus splits geometrically, round by round, and a group of near copies of
-any size is done in one round; no group is cut short. Texts that share the passage still meet on the keys that lie
-outside it.
+Candidates: the members of a key are compared with its least member first, and the links found are closed to classes.
+A key whose members are then of one class is done, so a group of near copies of any size costs one comparison a member.
+In every other key all pairs of members of different classes are compared, those that passed as well as those that
+failed: members are dealt to chunks and every two chunks meet in a block. Two exact lower bounds of the distance,
+from lengths and from word counts in buckets, spare the alignment of most pairs; a pair that the block's own links
+have already put into one class is skipped. So two texts that share a key and are aligned are of one class, whatever
+else the key holds.
 
 Skew: equal texts are one node from the start (partial aggregation by digest); keys, pairs and labels are narrow rows
-joined by equi-joins that AQE may split; nothing but counts comes to the driver.
+joined by equi-joins that AQE may split; a hot key is many blocks of bounded bytes; nothing but counts comes to the driver.
 
 Defined results: a null text counts as empty; empty texts are equal; a text of fewer than SHINGLE words is one k-mer;
 texts whose words agree are alike whatever their spacing; class_id is the least doc_id of a class (nulls only if all
-are null); n_links counts the verified links of a row's text to other texts; repeated rows share their class; an
-empty table gives an empty result; other columns are ignored.
+are null); n_links counts the links of a row's text among the pairs that were aligned, enough to hold its class together
+and not all that exist; repeated rows share their class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WORD_PATTERN, materialise, maybe_broadcast, slices, table
+from .common import WORD_PATTERN, materialise, maybe_broadcast, slices, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 1, 11
+#: Members and packed bytes of a chunk on average, and the buckets of the two word-count bounds.
+CHUNK, CHUNK_BYTES, COARSE, FINE = 1024, 4 << 20, 64, 1024
 _WORD = re.compile(WORD_PATTERN)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -168,37 +172,30 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select(_node().alias("node"), "text").mapInArrow(run, "node binary, parts binary").groupBy("node").agg(F.min("parts").alias("parts"))
 
 
-def _keys(parts: DataFrame, level: int = 0) -> DataFrame:
-    """(key, band, node): a row for each band; from level 1 on, (key, band, node, parts) rows with the key refined by the
-    component `level` places after the band's own."""
+def _keys(parts: DataFrame) -> DataFrame:
+    """(key, node): a row for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_pylist()
             if not nodes:
                 continue
-            x = np.frombuffer(b"".join(batch.column("parts").to_pylist()), "<u8").reshape(len(nodes), -1)
+            x = np.frombuffer(b"".join(batch.column("parts").to_pylist()), "<u8").reshape(len(nodes), BANDS, ROWS)
+            key = np.zeros((len(nodes), BANDS), np.uint64)
             with np.errstate(over="ignore"):
-                if level:
-                    band = batch.column("band").to_numpy()
-                    key = _mix(batch.column("key").to_numpy().astype(np.uint64) * _C2 + x[np.arange(len(nodes)), (band * ROWS + level + ROWS - 1) % x.shape[1]])
-                    at = np.arange(len(nodes))
-                else:
-                    grouped = x.reshape(len(nodes), BANDS, ROWS)
-                    key = np.zeros((len(nodes), BANDS), np.uint64)
-                    for r in range(ROWS):
-                        key = _mix(key * _C1 + grouped[:, :, r] + np.arange(BANDS, dtype=np.uint64))
-                    key, at, band = key.ravel(), np.repeat(np.arange(len(nodes)), BANDS), np.tile(np.arange(BANDS), len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(nodes, pa.binary()).take(pa.array(at))], names=["key", "band", "node"])
-
-    return parts.mapInArrow(run, "key long, band int, node binary")
-
-
-def _grouped(keys: DataFrame, small: bool = False) -> DataFrame:
-    """(key, band, node, lead) of the members of keys with two nodes or more, the lead itself left out."""
+                for r in range(ROWS):
+                    key = _mix(key * _C1 + x[:, :, r] + np.arange(BANDS, dtype=np.uint64))
+            at = np.repeat(np.arange(len(nodes)), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at))], names=["key", "node"])
+
+    return parts.mapInArrow(run, "key long, node binary")
+
+
+def _grouped(keys: DataFrame) -> DataFrame:
+    """(key, node, lead) of the members of keys with two nodes or more, the lead itself left out."""
     leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
     # written, the leads are an input of their own, so that the join can split a hot key
-    return keys.join(maybe_broadcast(leads, 64) if small else materialise(leads, "omh-leads").hint("merge"), "key").where("node <> lead")
+    return keys.join(materialise(leads, "omh-leads").hint("merge"), "key").where("node <> lead")
 
 
 def _word_arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,35 +234,96 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("node", "lead", "words", "lead_words").mapInArrow(run, "node binary, lead binary, ok boolean")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(node, lead): verified links between different texts."""
+def _counts(words: list[np.ndarray], buckets: int) -> np.ndarray:
+    """(texts, buckets) numbers of words by hash bucket, capped at 255: a cap never makes two texts look further apart."""
+    return np.array([np.minimum(np.bincount((w % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255) for w in words], np.int16)
+
+
+def block_links(nodes: list[bytes], labels: list[bytes], sides: list[int], raw: list[bytes], cross: bool) -> list[tuple[bytes, bytes]]:
+    """Links that join all alike members of different labels in a block; with `cross` only pairs of different sides."""
+    order = sorted(range(len(nodes)), key=lambda k: (len(raw[k]), nodes[k]))
+    number = {name: k for k, name in enumerate(dict.fromkeys(labels))}
+    label, side = np.array([number[labels[k]] for k in order]), np.array([sides[k] for k in order])
+    words = [np.array(_unpack(raw[k]), np.uint64) for k in order]
+    size = np.array([len(w) for w in words])
+    most = (size * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    end = np.searchsorted(size, size / SIMILARITY + 1e-6, side="right")  # longer ones differ by more than they may
+    coarse, fine, found = _counts(words, COARSE), {}, []
+
+    def finely(k: int) -> np.ndarray:
+        if k not in fine:
+            fine[k] = _counts(words[k : k + 1], FINE)[0]
+        return fine[k]
+
+    for i in range(len(order)):
+        other = label[i + 1 : end[i]] != label[i]
+        if cross:
+            other &= side[i + 1 : end[i]] != side[i]
+        js = i + 1 + np.flatnonzero(other)
+        if len(js):  # an edit mends at most two units of the difference of counts, and at most one of the lengths
+            apart = np.abs(coarse[js] - coarse[i]).sum(1, dtype=np.int64)
+            js = js[apart + size[js] - size[i] <= 2 * most[js]]
+        own = words[i].tolist() if len(js) else None
+        for j in js.tolist():
+            if label[j] == label[i] or int(np.abs(finely(j) - finely(i)).sum(dtype=np.int64)) + size[j] - size[i] > 2 * most[j]:
+                continue
+            if alike(words[j].tolist(), own):
+                found.append((nodes[order[j]], nodes[order[i]]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows(key, node, label, words) → (node, lead): links that join all alike members of a key."""
+    per = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.octet_length("words")) / CHUNK_BYTES), F.lit(1)).cast("int").alias("chunks"))
+    dealt = rows.join(materialise(per, "omh-chunks").hint("merge"), "key").withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "node", "label", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(block: tuple, members: list[tuple]) -> pa.RecordBatch:
+            sides, nodes, labels, raw = map(list, zip(*members))
+            pairs = block_links(nodes, labels, sides, raw, block[1] != block[2])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["node", "lead"])
+
+        now, members = None, []
+        for batch in (s for b in batches for s in slices(b)):
+            for key, one, two, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two", "side", "node", "label", "words"))):
+                if (key, one, two) != now:
+                    if len(members) > 1:
+                        yield give(now, members)
+                    now, members = (key, one, two), []
+                members.append(member)
+        if len(members) > 1:
+            yield give(now, members)
+
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "node binary, lead binary")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, lead), verified links between different texts, enough to join all alike texts that share a key; and
+    (node, label), the classes that they close to, of the texts that have a link."""
     parts = materialise(_sketch(docs), "omh-sketch")
     members = materialise(_grouped(_keys(parts)), "omh-members")
     wanted = members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct()
     words = materialise(_word_arrays(docs, materialise(wanted, "omh-wanted")), "omh-words")
-    found, place = None, 1
-    for level in range(1, 1_000_000):
-        tried = materialise(_verify(members.select("node", "lead").distinct(), words), "omh-pairs")
-        ok = tried.where("ok").select("node", "lead")
-        found = ok if found is None else found.unionByName(ok)
-        bad = tried.where("not ok").select("node", "lead")
-        failed = materialise(members.join(maybe_broadcast(bad, 96) if level > 1 else bad.hint("merge"), ["node", "lead"]).select("key", "band", "node", "lead"), "omh-failed")
-        if level == 1:  # what failed is all that later rounds look at, and it only shrinks
-            left = failed.select("node").unionByName(failed.select(F.col("lead").alias("node"))).distinct()
-            parts, words = (materialise(t.join(left, "node", "left_semi"), "omh-left") for t in (parts, words))
-            parts, words = maybe_broadcast(parts, 320), _broadcast_words(words)
-        for _ in range(level):  # a round refines by one component more than the last one did
-            if place < BANDS * ROWS:
-                failed = _keys(failed.join(parts, "node").select("key", "band", "node", "parts"), place)
-                place += 1
-        members = materialise(_grouped(materialise(failed.select("key", "band", "node"), "omh-keys"), small=True), "omh-members")
-        if members.isEmpty():
-            return found.distinct()
-
-
-def _broadcast_words(words: DataFrame) -> DataFrame:
-    size = words.agg(F.sum(F.octet_length("words") + 96)).first()[0] or 0
-    return F.broadcast(words) if size <= BROADCAST_BYTES else words
+    tried = materialise(_verify(members.select("node", "lead").distinct(), words), "omh-pairs")
+    found = tried.where("ok").select("node", "lead")
+    known = components(found, "node", "lead")
+    label = maybe_broadcast(known, 128)
+    bad = tried.where("not ok").select("node", "lead").join(label, "node", "left").withColumnRenamed("label", "own")
+    bad = bad.join(label.select(F.col("node").alias("lead"), "label"), "lead", "left").where("coalesce(own, node) <> coalesce(label, lead)").select("node", "lead")
+    open_ = materialise(members.join(materialise(bad, "omh-failed").hint("merge"), ["node", "lead"]).select("key").distinct(), "omh-open")
+    rows = members.join(maybe_broadcast(open_, 64), "key", "left_semi")
+    rows = rows.select("key", "node").unionByName(rows.select("key", F.col("lead").alias("node")).distinct())
+    rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(words, "node")
+    more = materialise(_blocks(materialise(rows, "omh-rows")).distinct(), "omh-block-links")
+    ends = more.join(label, "node", "left").select("lead", "node", F.coalesce("label", "node").alias("own")).join(label.select(F.col("node").alias("lead"), "label"), "lead", "left")
+    ends = materialise(ends.select("node", "lead", "own", F.coalesce("label", "lead").alias("label")), "omh-ends")
+    classes = components(ends, "own", "label").withColumnRenamed("label", "class")  # of classes, which are few
+    single = ends.select("node", F.col("own").alias("label")).unionByName(ends.select(F.col("lead").alias("node"), "label")).where("node = label")
+    every = known.unionByName(single).distinct()
+    return found.unionByName(more).distinct(), every.join(maybe_broadcast(classes, 128).withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("class", "label").alias("label"))
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -288,8 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) → doc_id, node (digest of the text), class_id, first (digest of the text that stays), n_links."""
     ids = materialise(docs.select("doc_id", _node().alias("node")), "near-ids")
     nodes = materialise(ids.groupBy("node").agg(F.min("doc_id").alias("rep")), "near-nodes")
-    found = materialise(links(docs), "near-links")
-    label = components(found, "node", "lead")
+    found, label = links(docs)
+    found = materialise(found, "near-links")
     ends = found.select("node").unionByName(found.select(F.col("lead").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.join(label, "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
