@@ -77,6 +77,19 @@ def test_main_text():
     assert html_extract.main_text(other, "body>div.post-N") == "Body text of it"
 
 
+def test_main_text_is_whole_around_the_winning_path():
+    say = lambda word, n: (word + " ") * n
+    sections = "".join(f"<section><p>{say(w, 100)}</section>" for w in ("one", "two", "six"))
+    for tag in ("article", "div class=post", "main", "body"):
+        page = f"<html><{tag}><h1>Title</h1><p>{say('lead', 40)}{sections}<p>closing</{tag.split()[0]}>"
+        won = html_extract.best(html_extract.scores(page))
+        assert won.endswith("section") and html_extract.main_text(page, won) == " ".join(f"Title {say('lead', 40)}{say('one', 100)}{say('two', 100)}{say('six', 100)}closing".split())
+        direct = f"<{tag}>" + "".join(f"<p>paragraph {k}" for k in range(10)) + "<section>short</section>"
+        assert html_extract.main_text(f"<html>{direct}", won).split() == [w for k in range(10) for w in ("paragraph", str(k))] + ["short"]
+    page = "<body><article><section>text of it</section><div><a href=x>link one</a> <a href=y>link two</a></div></article><div>other</div>"
+    assert html_extract.main_text(page, "body>article>section") == "text of it"
+
+
 def test_targets_and_quotas():
     sizes = {"a": 100, "b": 10, "c": 50, None: 7}
     t = mixing.targets(sizes)

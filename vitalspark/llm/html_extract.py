@@ -5,7 +5,8 @@ path is its chain of generalised tag.class names (digits in class names become N
 length less twice their link text, to the containers around them, the nearest one in full and each further one
 DECAY times as much. Spark sums the points by (host, path); the path with most points wins its host. Each page
 is then read again and gives the blocks inside containers of the winning path, or, if it has none, those of its
-own best path. Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+own best path. What stands around them is text too: the rest of the outermost article or main around them, or else of
+the containers around them (of body only its own blocks, sections and quotations), but no part that is mostly links. Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) never count, neither in the vote nor in the text.
 
 Skew: votes are partially aggregated, so a host with a third of all pages sends few rows; the table of winners
@@ -70,7 +71,7 @@ def _names(attributes: str) -> tuple[str, bool]:
                 words = _WORDS.findall(_CAMEL.sub(" ", name).lower())
                 dropped = dropped or not HINTS.isdisjoint(words) and ABOUT.isdisjoint(words)
             if key == "class" and value.split():
-                label = "." + re.sub(r"\d+", "N", value.split()[0].lower())
+                label = "." + re.sub(r"\d+", "N", value.split()[0].lower()).replace(">", "")
         elif key in ("hidden",) or key == "aria-hidden" and (a or b or c).lower() == "true":
             dropped = True
         elif key == "style" and "display:none" in (a or b or c).replace(" ", "").lower():
@@ -191,14 +192,44 @@ def best(points: dict[str, float]) -> str | None:
     return min(points, key=lambda p: (-points[p], p)) if points else None
 
 
+def _tag(path: str) -> str:
+    return path.rsplit(">", 1)[-1].split(".", 1)[0]
+
+
+def _around(found: list, won: set[int]) -> list[str]:
+    """The text of the blocks inside the containers of these numbers and of what belongs to the same text around them."""
+    scope: dict[int, str] = {}  # containers around the winners whose other parts are text too, by tag
+    for around, _, _ in found:
+        at = next((k for k, (n, _) in enumerate(around) if n in won), None)
+        if at is None:
+            continue
+        tags = [_tag(p) for _, p in around[: at + 1]]
+        whole = next((k for k, t in enumerate(tags) if t in ("article", "main")), 0)
+        scope.update((n, t) for (n, _), t in zip(around[whole:at], tags[whole:]) if t != "html")
+    parts: dict[int, list[int]] = defaultdict(list)  # blocks by the part of the scope that they are in
+    text: list[int] = []
+    for k, (around, _, _) in enumerate(found):
+        at = max((i for i, (n, _) in enumerate(around) if n in scope), default=None)
+        if any(n in won for n, _ in around):
+            text.append(k)
+        elif at is not None and (at == len(around) - 1 or scope[around[at][0]] != "body" or _tag(around[at + 1][1]) in ("section", "blockquote")):
+            parts[around[min(at + 1, len(around) - 1)][0]].append(k)
+    for own in parts.values():
+        if 2 * sum(found[k][2] for k in own) <= sum(len(found[k][1]) for k in own):
+            text += own
+    return [found[k][1] for k in sorted(text)]
+
+
 def main_text(page: str, path: str | None) -> str:
-    """The blocks inside containers of the path, or of the page's own best path where it has none."""
+    """The blocks inside containers of the path, or of the page's own best path where it has none, and around them."""
     found = blocks(page)
-    inside = [t for around, t, _ in found if any(p == path for _, p in around)]
-    if not inside:
+    won = {n for around, _, _ in found for n, p in around if p == path}
+    if not won:
         own = best(scores(page))
-        inside = [t for around, t, _ in found if own is None or any(p == own for _, p in around)]
-    return " ".join(inside)
+        if own is None:
+            return " ".join(t for _, t, _ in found)
+        won = {n for around, _, _ in found for n, p in around if p == own}
+    return " ".join(_around(found, won))
 
 
 def host() -> F.Column:
