@@ -90,6 +90,20 @@ def test_main_text_is_whole_around_the_winning_path():
     assert html_extract.main_text(page, "body>article>section") == "text of it"
 
 
+@pytest.mark.parametrize(
+    "element", ["article class='post category-social'", "article class='tag-advertising'", "main id=search", "h2 id='form-validation'", "h3 class='notice'", "section id='related-work'", "section id='discussion'",
+                "h2 id='side-effects'", "div class='tag-comments'", "div id='reply-to-critics'", "p class='two-side-story'"],
+)
+def test_names_of_topics_are_no_boilerplate(element):
+    page = f"<body><div><p>before</div><{element}>text of it</{element.split()[0]}>"
+    assert "text of it" in [t for _, t, _ in html_extract.blocks(page)]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-2", "adBox", "page-header", "site-footer", "comments", "comment-12", "related-posts", "social-share", "sidebar left", "cookie-consent", "search-form", "main-nav", "discussion-thread", "site-comments-area"])
+def test_names_of_boilerplate(name):
+    assert html_extract.blocks(f"<body><div class='{name}'>gone</div><div id='{name.split()[0]}'>gone</div>") == []
+
+
 def test_targets_and_quotas():
     sizes = {"a": 100, "b": 10, "c": 50, None: 7}
     t = mixing.targets(sizes)

@@ -40,7 +40,7 @@ RAW = frozenset("script style textarea noscript template iframe svg math object
 DROPPED = frozenset("nav header footer aside form head button select menu dialog".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_DROPPED = frozenset(["button", "select"])
-#: Words of class, id and role attributes that mark boilerplate.
+#: Words of class, id and role attributes that mark boilerplate where they begin or end the name, or stand among words about layout.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist"
     " consent cookie cookies disqus footer foot form forms header masthead menu menus modal nav navbar navigation newsletter notice notices"
@@ -50,6 +50,16 @@ HINTS = frozenset(
 )
 #: Words that make such a name one about the layout around the boilerplate, as in has-sidebar.
 ABOUT = frozenset("has with no without layout enabled disabled free".split())
+#: Hints that are also words of headings and topics: they mark a name only beside other hints or words about layout.
+AMBIGUOUS = frozenset("alert alerts banner banners comment discussion feedback foot form forms login notice notices promotion related recommended reply replies respond search share sharing side skip social subscription".split())
+LAYOUT = frozenset(
+    "area articles bar block body bottom box btn button buttons column container content entries entry footer group head icon icons inner item items left link links"
+    " list main news outer page panel post posts products reading right row section site slot stories text thread title top topics unit videos wrap wrapper".split()
+)
+#: First words of names that tell the topic of what they stand at, as in category-social.
+TOPICS = frozenset("cat category format keyword label postid subject tag tagged tags topic type".split())
+#: Elements that are the text itself, whatever their names.
+TEXT = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 #: Paths longer than this are abbreviated by a digest of their outer part.
 LONGEST_PATH = 400
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -60,16 +70,27 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"body": {"head"}, "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _names(attributes: str) -> tuple[str, bool]:
+def _marks(name: str, anchor: bool) -> bool:
+    """Whether a class, id or role marks boilerplate; `anchor`: it is the id of a section."""
+    words = [w for w in _WORDS.findall(_CAMEL.sub(" ", name).lower()) if not w.isdigit()]
+    if not words or words[0] in TOPICS or not ABOUT.isdisjoint(words):
+        return False
+    plain = all(w in HINTS or w in LAYOUT for w in words)
+    hints = HINTS.intersection(words if plain else (words[0], words[-1]))
+    if hints <= AMBIGUOUS:
+        return bool(hints) and plain and not anchor
+    return plain or not anchor
+
+
+def _names(attributes: str, tag: str = "") -> tuple[str, bool]:
     """The first class, generalised, and whether class, id or role mark boilerplate."""
     label, dropped = "", False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
             value = html.unescape(a or b or c)
-            for name in value.split():
-                words = _WORDS.findall(_CAMEL.sub(" ", name).lower())
-                dropped = dropped or not HINTS.isdisjoint(words) and ABOUT.isdisjoint(words)
+            if tag not in TEXT:
+                dropped = dropped or any(_marks(name, key == "id" and tag == "section") for name in value.split())
             if key == "class" and value.split():
                 label = "." + re.sub(r"\d+", "N", value.split()[0].lower()).replace(">", "")
         elif key in ("hidden",) or key == "aria-hidden" and (a or b or c).lower() == "true":
@@ -159,7 +180,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[int, str], ...], str, int]]:
                 if open_[k][0] == "p":
                     close(k)
                     break
-        label, gone = _names(m[3]) if m[3] else ("", False)
+        label, gone = _names(m[3], tag) if m[3] else ("", False)
         container = tag in CONTAINERS
         gone = int((gone and tag not in ("html", "body")) or tag in DROPPED)
         if container:
