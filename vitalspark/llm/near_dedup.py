@@ -12,7 +12,7 @@ In every other key all pairs of members of different classes are compared, those
 failed: members are dealt to chunks and every two chunks meet in a block. Two exact lower bounds of the distance,
 from lengths and from word counts in buckets, spare the alignment of most pairs; a pair that the block's own links
 have already put into one class is skipped. So two texts that share a key and are aligned are of one class, whatever
-else the key holds.
+else the key holds. Not all aligned texts share a key: the README has the measured share, 0.5 to 0.6 at alignment 0.8.
 
 Skew: equal texts are one node from the start (partial aggregation by digest); keys, pairs and labels are narrow rows
 joined by equi-joins that AQE may split; a hot key is many blocks of bounded bytes; nothing but counts comes to the driver.
