@@ -53,6 +53,12 @@ def test_exact(docs, empty, rows):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
 
 
+def test_exact_with_a_null_condition(docs, rows):
+    got = {r["row_id"]: r for r in exact_dedup.exact_dedup(docs, F.col("source") == "s1").collect()}
+    want = {r["row_id"]: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert len(got) == len(rows) and all((got[k]["keep_id"], got[k]["group_size"]) == (r["keep_id"], r["group_size"]) for k, r in want.items())
+
+
 def test_near(docs, empty, rows):
     got = near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()
     assert len(got) == len(rows)

@@ -145,10 +145,10 @@ def _groups(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
     """docs(doc_id, text, ...) → one row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
-    in_snapshot says which rows form the immutable snapshot; by default those whose id has an even crc32.
+    in_snapshot says which rows form the immutable snapshot; by default those whose id has an even crc32. Null is no.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0 if in_snapshot is None else in_snapshot).alias("old"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0 if in_snapshot is None else F.coalesce(in_snapshot, F.lit(False))).alias("old"))
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "old", digest), "digests")
     snap = materialise(_groups(rows.where("old")), "snapshot")
