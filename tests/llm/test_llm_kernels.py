@@ -159,6 +159,13 @@ def test_em_trusts_labelers_that_agree():
     assert post[1, 1, 1, 1, 0, 0] > 0.95 and post[-1, -1, 0, -1, 0, 0] < 0.05 and right[0] > 0.9
 
 
+def test_classifier_depends_on_shares_and_not_on_the_number_of_candidates():
+    cells = {("email", 1, 1, 1, 1, 0, 0): 8, ("email", -1, -1, 0, -1, 0, 0): 6, ("ip", 1, -1, 0, 1, 2, 1): 3}
+    post = dict(zip(cells, (0.97, 0.04, 0.6)))
+    few, many = (pii.fit_classifier({c: n * k for c, n in cells.items()}, post) for k in (1, 100_000))
+    assert np.allclose(few, many, atol=1e-6)
+
+
 def chain(e, trans):
     n = len(e)
     f, b = np.zeros((n, 2)), np.zeros((n, 2))

@@ -158,7 +158,7 @@ def fit_classifier(cells: dict[tuple, int], post: dict[tuple, float]) -> np.ndar
     x = np.array([_features(c[0], c[1:]) for c in cells])
     y = np.array([post[c[0], *c[1:]] for c in cells])
     n = np.array(list(cells.values()), float)
-    n *= min(1.0, 1e5 / n.sum())
+    n *= 1e5 / n.sum()  # the penalty weighs the same whatever the number of candidates
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-x @ w))
