@@ -34,38 +34,6 @@ def test_chunks_depend_on_the_text_alone_and_resist_shifts():
     assert fingerprint.likeness(a, b) > 0.9 and fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, a[:0]) == 0 and fingerprint.likeness(a[:0], a[:0]) == 1
 
 
-def codec():
-    return bpe._codec(bpe.default_vocabulary())
-
-
-def test_bpe_equals_the_library():
-    from tokenizers import Tokenizer
-
-    ref, own, rng = Tokenizer.from_file(bpe.default_vocabulary()), codec(), random.Random(3)
-    texts = ["", " ", "a" * 5000, "ab" * 4000, "<|endoftext|>hi <|endoftext|>", "don't I'll", "\r\n\t x", "é" * 900, "😀" * 400, " " * 3000 + "a", "-" * 6000]
-    texts += ["".join(rng.choice("abcdehtinr") for _ in range(4500)) for _ in range(4)]
-    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(50)) for _ in range(200)]
-    for t in texts:
-        ids = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
-        assert "".join(own.decode(ids, step=7)) == t
-
-
-def test_bpe_streams_in_pieces_of_any_size():
-    own = codec()
-    raw = b"thereinthetionating" * 900
-    whole = own._merge_long(raw)
-    for n in (1, 997, 5000):
-        assert [i for part in own.stream(raw[k : k + n] for k in range(0, len(raw), n)) for i in part] == whole
-
-
-def test_lookahead_of_a_small_merge_list():
-    # a+b, then b+c of lower priority: whether "ab" forms is known with its own last byte; b+c must wait for none
-    assert bpe.sufficient_lookahead([(0, 1), (1, 2)], [3, 4], {0: 1, 1: 1, 2: 1, 3: 2, 4: 2}) == 2
-    # b+c first: "ab" needs one byte more
-    assert bpe.sufficient_lookahead([(1, 2), (0, 1)], [3, 4], {0: 1, 1: 1, 2: 1, 3: 2, 4: 2}) == 3
-
-
 def test_main_text():
     page = """<html><head><title>x<body class="has-sidebar"><div id="page-header"><a href=x>Home</a></div><div class="wrap"><div class="post-12"><h1>Ti&amp;tle</h1>
     <p>Some long  text&nbsp;here, with <a href=q>link</a>s and <b>bold</b>ness.<p>Second &am one<ul><li>one<li>two</ul><form>buy <input></form><div class="adBox">AD</div></div>

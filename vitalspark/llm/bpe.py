@@ -1,22 +1,28 @@
 """Byte-level BPE encoding by a bounded-lookahead transducer, and decoding by an incremental state machine.
 
 Method: the merge list alone fixes how far right of a token's end the input can still change that token (the
-sufficient lookahead, see `sufficient_lookahead`). The transducer buffers a long pre-token, merges the buffer
-and emits the tokens that end at least the lookahead before the buffer's end; since no merge crosses a token
-boundary of the full result, the rest is encoded on its own. So a pre-token of any length needs a buffer of
-fixed size. Pre-tokens never merge with each other, and short ones, nearly all, are memoised in a table of
-bounded size. Decoding feeds token bytes in pieces to a UTF-8 state machine that holds at most three pending
-bytes and writes U+FFFD for what no valid sequence can begin.
+sufficient lookahead, see `sufficient_lookahead`). A text is fed in pieces of PIECE characters to a transducer with two
+levels of state. The first finds the borders of added tokens and pre-tokens: what could still change with further input
+(a few characters, or the last unfinished pre-token) is held back. The second gets the bytes of a pre-token and emits
+those tokens that end at least the lookahead before the end of what it holds; a pre-token's end makes all of it stable,
+and no merge crosses a token border of the full result, so what is left is encoded on its own. A pre-token that ends
+within WINDOWS lookaheads is looked up in a table of bounded size first. Neither level holds more than a piece and
+WINDOWS lookaheads, whatever the length of a text, a pre-token or a run of white space. Decoding feeds the bytes of
+the emitted tokens to a UTF-8 state machine that holds at most three pending bytes and writes U+FFFD for what no valid
+sequence can begin. Digests are updated as ids and text come out.
 
 Defined results: a null text counts as empty, and an empty text has no token; the strings of added tokens
-become their ids; equal texts give equal ids; truncation and padding of the file are not used; an empty
-table gives an empty result; columns other than doc_id and text are ignored, whatever their names.
+become their ids; equal texts give equal ids; truncation and padding of the file are not used; a file with another
+pre-tokenizer, normalizer or kind of added tokens than the ones built here is refused, as is a merge list in which a
+token is made by a later rule than one that uses it (its lookahead may have no bound); an empty table gives an empty
+result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -27,14 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, table, texts
 
-#: Pre-tokens kept in a worker's table; when full, it is emptied.
-TABLE_SIZE = 250_000
-#: Pre-tokens of more bytes than this are streamed and not memoised.
-LONG = 256
-#: Bytes that the transducer takes in at a time beyond its lookahead.
-STEP = 4096
-#: The pre-token pattern of the byte-level vocabulary.
+#: Pre-tokens kept in a worker's table and bytes of the longest one; when full, it is emptied.
+TABLE_SIZE, LONGEST_KEPT = 100_000, 64
+#: Characters fed at a time, and lookaheads that the byte level takes in before it emits.
+PIECE, WINDOWS = 1 << 16, 8
+#: Bytes from which merges are ordered by a heap; the result is the same.
+HEAP = 24
+#: The pre-token pattern of the byte-level vocabulary, and its classes of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CLASSES = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
+#: Characters beyond a border on which it may depend: the longest contraction, and the one after white space.
+BORDER = 3
 
 
 def _byte_chars() -> dict[str, int]:
@@ -48,25 +57,30 @@ def sufficient_lookahead(merges: list[tuple[int, int]], made: list[int], size: d
     """Bytes after a token's end beyond which the input cannot change the token any more.
 
     Merging (u, v) by rule r fails only if something right of v takes v, or a part on v's right edge, first: a
-    rule (s, x) of lower rank than the rule that puts s into its parent. Whether that x forms depends in turn on
-    what stands right of x. need(r) = |v| + the largest need of such rules; ranks fall along the chain, so one
-    pass in order of rank computes all. The result also covers the first byte outside.
+    rule (s, x) of lower rank than a rule that puts s into its parent. Whether that x forms depends in turn on
+    what stands right of x. need(r) = |v| + the largest need of such rules. All rules that make a token count; each
+    must rank below the rules that use it, so one pass in order of rank computes all. The result also covers the
+    first byte outside.
     """
-    parent = {}  # token → (rank, left, right) of the rule that first makes it
-    for rank, ((u, v), t) in enumerate(zip(merges, made, strict=True)):
-        parent.setdefault(t, (rank, u, v))
+    makers: dict[int, list[tuple[int, int]]] = {}  # token → (rank, right part) of the rules that make it
+    for rank, ((_, v), t) in enumerate(zip(merges, made, strict=True)):
+        makers.setdefault(t, []).append((rank, v))
     ranks: dict[int, list[int]] = {}  # left part → ranks of its rules, and the largest need so far
     needs: dict[int, list[int]] = {}
     best = 0
     for rank, (u, v) in enumerate(merges):
-        more, s, bound = 0, v, rank
-        while True:
+        if any(own[-1][0] >= rank for s in (u, v) if (own := makers.get(s))):
+            raise ValueError(f"merge {rank} uses a token that a later merge makes")
+        more, todo, seen = 0, [(v, rank)], {v: rank}
+        while todo:
+            s, bound = todo.pop()
             k = bisect_left(ranks.get(s, ()), bound)
             if k:
                 more = max(more, needs[s][k - 1])
-            if s not in parent:
-                break
-            bound, _, s = parent[s]
+            for own, right in makers.get(s, ()):
+                if seen.get(right, -1) < own:
+                    seen[right] = own
+                    todo.append((right, own))
         need = size[v] + more
         ranks.setdefault(u, []).append(rank)
         own = needs.setdefault(u, [])
@@ -81,10 +95,11 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        _check(spec)
         model, to_byte = spec["model"], _byte_chars()
         vocab: dict[str, int] = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items() if t not in self.added} | {i: t.encode() for t, i in self.added.items()}
         self.single = [vocab.get(c) for c, b in sorted(to_byte.items(), key=lambda x: x[1])]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = [(vocab[a], vocab[b]) for a, b in pairs]
@@ -92,9 +107,11 @@ class Codec:
         self.rule = {m: (rank, t) for rank, (m, t) in reversed(list(enumerate(zip(merges, made, strict=True))))}
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.lookahead = sufficient_lookahead(merges, made, self.size)
-        self.whole = {self.bytes_of[i]: self._pack([i]) for i in vocab.values() if self._merge(self.bytes_of[i]) == [i]}
+        self.window = WINDOWS * max(self.lookahead, max(self.size.values()))
         self.split = regex.compile(PATTERN)
+        self.classes = [regex.compile(c) for c in CLASSES]
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.longest = max(map(len, self.added), default=0)
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -105,6 +122,8 @@ class Codec:
         """Apply the merge of lowest rank, leftmost first, until none applies."""
         single, rule = self.single, self.rule
         ids = [single[b] for b in raw]
+        if len(ids) > HEAP:
+            return self._merge_heap(ids)
         found = [rule.get(p) for p in zip(ids, ids[1:])]
         while True:
             best = None
@@ -120,79 +139,163 @@ class Codec:
             if at < len(found):
                 found[at] = rule.get((ids[at], ids[at + 1]))
 
-    def _merge_long(self, raw: bytes) -> list[int]:
-        """As _merge for buffers of thousands of bytes: rounds that apply one rank everywhere, left to right."""
-        ids = np.array([self.single[b] for b in raw], np.int64)
-        while len(ids) > 1:
-            pairs, back = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)
-            known = [self.rule.get((int(p) >> 32, int(p) & 0xFFFFFFFF)) for p in pairs]
-            live = [(f, k) for k, f in enumerate(known) if f is not None]
-            if not live:
-                break
-            (_, token), k = min(live)
-            at = np.flatnonzero(back == k)
-            if ids[at[0]] == ids[at[0] + 1]:  # runs of one token: pairs may overlap, the left one wins
-                run = np.cumsum(np.r_[True, np.diff(at) != 1]) - 1
-                start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-                at = at[(np.arange(len(at)) - start[run]) % 2 == 0]
-            ids[at] = token
-            ids = np.delete(ids, at + 1)
-        return ids.tolist()
-
-    def stream(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
-        """Token ids of one pre-token that arrives in pieces; the buffer keeps STEP + lookahead bytes at most."""
-        held = b""
+    def _merge_heap(self, ids: list[int]) -> list[int]:
+        """As _merge, with a heap of (rank, place) over a linked list: of one rank the leftmost place comes first."""
+        rule, n = self.rule, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(f[0], k, f[1], p) for k, p in enumerate(zip(ids, ids[1:])) if (f := rule.get(p))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, token, (a, b) = heapq.heappop(heap)
+            right = after[k]
+            if ids[k] != a or right >= n or ids[right] != b:
+                continue  # one of the two has merged since
+            ids[k], ids[right] = token, -1
+            after[k] = then = after[right]
+            if then < n:
+                before[then] = k
+                if f := rule.get((token, ids[then])):
+                    heapq.heappush(heap, (f[0], k, f[1], (token, ids[then])))
+            if (prior := before[k]) >= 0 and (f := rule.get((ids[prior], token))):
+                heapq.heappush(heap, (f[0], prior, f[1], (ids[prior], token)))
+        return [i for i in ids if i >= 0]
+
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[bytes]:
+        """Packed ids of one pre-token that arrives in pieces, each as soon as it is stable."""
+        state = Bytes(self)
         for piece in pieces:
-            held += piece
-            while len(held) > STEP + self.lookahead:
-                ids, end = [], 0
-                part = held[: STEP + self.lookahead]
-                for i in self._merge_long(part):
-                    if end + self.size[i] > len(part) - self.lookahead:
-                        break
-                    end += self.size[i]
-                    ids.append(i)
-                if not ids:
-                    raise RuntimeError("a token is longer than the transducer's step")
-                yield ids
-                held = held[end:]
-        if held:
-            yield self._merge_long(held)
-
-    def _token(self, word: str) -> bytes:
+            yield from state.feed(piece)
+        yield state.end()
+
+    def _word(self, word: str) -> bytes:
+        """A whole pre-token: its end is known, so a short one is stable at once and may be kept in the table."""
         raw = word.encode()
-        if len(raw) > LONG:
-            return b"".join(self._pack(ids) for ids in self.stream(raw[k : k + STEP] for k in range(0, len(raw), STEP)))
-        if (out := self.whole.get(raw)) is None:
-            out = self._pack(self._merge(raw))
-        if len(self.memo) >= TABLE_SIZE:
-            self.memo.clear()
-        self.memo[word] = out
+        if len(raw) > self.window:
+            return b"".join(self.stream([raw]))
+        out = self._pack(self._merge(raw))
+        if len(raw) <= LONGEST_KEPT:
+            if len(self.memo) >= TABLE_SIZE:
+                self.memo.clear()
+            self.memo[word] = out
         return out
 
+    def words(self, found: list[str]) -> bytes:
+        memo, word = self.memo.get, self._word
+        return b"".join([memo(w) or word(w) for w in found])
+
+    def pieces(self, text: str, piece: int = 0) -> Iterator[bytes]:
+        """Packed ids of a text in the order and at the pace in which the transducer emits them."""
+        piece = piece or PIECE
+        state = Text(self, piece)
+        for k in range(0, len(text), piece):
+            yield from state.feed(text[k : k + piece], k + piece >= len(text))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
-        if self.special:
-            for m in self.special.finditer(text):
-                out += [self._plain(text[at : m.start()]), self._pack([self.added[m[0]]])]
-                at = m.end()
-        out.append(self._plain(text[at:] if at else text))
-        return b"".join(out) if len(out) > 1 else out[0]
-
-    def _plain(self, text: str) -> bytes:
-        memo, token = self.memo.get, self._token
-        return b"".join([memo(w) or token(w) for w in self.split.findall(text)])
+        return b"".join(self.pieces(text))
 
-    def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
-        """Text in pieces; the state between pieces is the incremental decoder's pending bytes."""
+    def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
+        """Text of packed ids that come in pieces; the state between pieces is the decoder's pending bytes."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
         bytes_of = self.bytes_of.__getitem__
-        for k in range(0, len(ids), 4 * step):
-            yield state.decode(b"".join(map(bytes_of, np.frombuffer(ids[k : k + 4 * step], "<u4").tolist())))
+        for part in ids:
+            yield state.decode(b"".join(map(bytes_of, np.frombuffer(part, "<u4").tolist())))
         yield state.decode(b"", True)
 
 
+def _check(spec: dict) -> None:
+    """Refuse settings that this codec does not follow (truncation and padding are unused by contract)."""
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("not a byte-level BPE file without normalizer and prefix space")
+    model = spec["model"]
+    if model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix")):
+        raise ValueError("the model's dropout, fallback, prefix or suffix is not supported")
+    if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that strip or match whole words are not supported")
+
+
+class Bytes:
+    """The byte level of the transducer: the part of one pre-token that is not yet stable."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.held = codec, b""
+
+    def feed(self, raw: bytes) -> Iterator[bytes]:
+        codec, at = self.codec, 0
+        while at < len(raw):
+            take = codec.window - len(self.held)
+            self.held += raw[at : at + take]
+            at += take
+            if len(self.held) == codec.window:
+                ids, end = [], 0
+                for i in codec._merge(self.held):
+                    if end + codec.size[i] > codec.window - codec.lookahead:
+                        break
+                    end += codec.size[i]
+                    ids.append(i)
+                self.held = self.held[end:]
+                yield codec._pack(ids)
+
+    def end(self) -> bytes:
+        raw, self.held = self.held, b""
+        return self.codec._pack(self.codec._merge(raw)) if raw else b""
+
+
+class Text:
+    """The character level of the transducer: text whose borders are open, and the class of an unfinished pre-token."""
+
+    def __init__(self, codec: Codec, piece: int):
+        self.codec, self.piece, self.held = codec, piece, ""
+        self.keep = codec.longest + BORDER  # the last characters, on which a border before them may depend
+        self.inside: regex.Pattern | None = None  # the class of a pre-token that `state` has begun to take in
+        self.state = Bytes(codec)
+
+    def feed(self, piece: str, last: bool) -> Iterator[bytes]:
+        codec, at = self.codec, 0
+        text, self.held = self.held + piece if self.held else piece, ""
+        if codec.special:
+            for m in codec.special.finditer(text):
+                yield from self._plain(text[at : m.start()], True)
+                yield codec._pack([codec.added[m[0]]])
+                at = m.end()
+        yield from self._plain(text[at:] if at else text, last)
+
+    def _plain(self, text: str, border: bool) -> Iterator[bytes]:
+        """Text without added tokens; without a border at its end, what depends on more text is held back."""
+        codec = self.codec
+        if self.inside:
+            m = self.inside.match(text)
+            end = m.end() if m else 0
+            if not border and end > len(text) - self.keep:  # it may go on
+                stop = max(0, len(text) - self.keep)
+                self.held = text[stop:]
+                yield from self.state.feed(text[:stop].encode())
+                return
+            if self.inside is codec.classes[-1] and end < len(text):
+                end -= 1  # the last white space before other characters does not belong to the run
+            yield from self.state.feed(text[:end].encode())
+            yield self.state.end()
+            self.inside, text = None, text[end:]
+        found = codec.split.findall(text)
+        if border:
+            if found:
+                yield codec.words(found)
+            return
+        over, first = 0, ""
+        while found and over <= self.keep:
+            first = found.pop()
+            over += len(first)
+        if found:
+            yield codec.words(found)
+        self.held = text[len(text) - over :]
+        if over > self.piece and len(first) > over - self.piece + self.keep:  # a pre-token that is longer than a piece
+            self.inside = next(c for c in codec.classes if (m := c.match(first, first[0] == " ")) and m.end() == len(first))
+            stop = len(first) - self.keep - 1
+            yield from self.state.feed(self.held[:stop].encode())
+            self.held = self.held[stop:]
+
+
 def _codec(path: str) -> Codec:
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
@@ -202,6 +305,23 @@ def _codec(path: str) -> Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def round_trip(codec: Codec, text: str, piece: int = 0) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids, and digest of the text decoded from them, all taken as tokens come out."""
+    sent, back = hashlib.sha256(), hashlib.sha256()
+    n = 0
+
+    def tokens() -> Iterator[bytes]:
+        nonlocal n
+        for part in codec.pieces(text, piece):
+            n += len(part) // 4
+            sent.update(part)
+            yield part
+
+    for part in codec.decode(tokens()):
+        back.update(part.encode())
+    return n, sent.hexdigest(), back.hexdigest()
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text, ...) → doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -226,14 +346,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         codec = _codec(path)
 
         def work(batch):
-            ids = [codec.encode(t) for t in texts(batch)]
-            back = []
-            for x in ids:
-                digest = hashlib.sha256()
-                for piece in codec.decode(x):
-                    digest.update(piece.encode())
-                back.append(digest.hexdigest())
-            yield {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": back}
+            n, ids, back = zip(*(round_trip(codec, t) for t in texts(batch)))
+            yield {"doc_id": batch.column("doc_id"), "n_tokens": list(n), "ids_sha256": list(ids), "decoded_sha256": list(back)}
 
         return work
 
