@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,7 +85,9 @@ def test_targets_and_quotas():
         assert sorted(p) == list(range(n)) and (mixing.permute(p, np.full(n, n), np.full(n, 99), True) == np.arange(n)).all()
 
 
-def test_word_distance_equals_dynamic_programming():
+@pytest.mark.parametrize("masked", [near_dedup.MASKED, 0])
+def test_word_distance_equals_dynamic_programming(monkeypatch, masked):
+    monkeypatch.setattr(near_dedup, "MASKED", masked)
     rng = random.Random(1)
     for k in range(3000):
         a = [rng.randrange(1, 5) for _ in range(rng.randrange(0, 25))]
@@ -100,6 +103,18 @@ def test_word_distance_equals_dynamic_programming():
         assert got == row[-1] if row[-1] <= most else got > most
 
 
+def test_word_distance_of_long_texts_is_bounded_in_memory(monkeypatch):
+    rng = random.Random(2)
+    a = [rng.choice((rng.randrange(40), rng.randrange(9000))) for _ in range(9000)]
+    b = [w if rng.random() > 0.1 else -1 for w in a if rng.random() > 0.02]
+    tracemalloc.start()
+    far = near_dedup.distance(a, b, 1800)
+    assert tracemalloc.get_traced_memory()[1] < 2e6
+    tracemalloc.stop()
+    monkeypatch.setattr(near_dedup, "MASKED", 1 << 30)
+    assert far == near_dedup.distance(a, b, 1800) <= 1800
+
+
 def test_sketches_depend_on_the_text_alone():
     words = near_dedup.Words()
     texts = [words(t) for t in ("a b c d e f g h", "a", "", "x y z " * 50, "a b c d e f g h")]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Largest measured size in bytes of a table that an operator broadcasts; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
+#: Largest size in bytes of the Arrow batches that go to Python workers.
+ARROW_BYTES = 4 << 20
 #: Separator characters of words: space and the six ASCII controls \\t \\n \\v \\f \\r.
 WORD_PATTERN = "[^\x20\x09-\x0d]+"
 
@@ -59,6 +63,35 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, which are else bounded by rows of any length alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name)  # a number of bytes with or without a unit
+    if not size.removesuffix("b").isdigit() or int(size.removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and the next task may be another query's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of bounded bytes; the worker's freed memory goes back when a task ends."""
+    bounded_batches(df.sparkSession)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """mapInArrow where make() runs once a task and gives a function from a batch to dicts of columns."""
     kinds = StructType.fromDDL(schema)
@@ -71,7 +104,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 for columns in work(part):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kinds)
+    return map_arrow(df, run, kinds)
 
 
 def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_width, slices, table
+from .common import map_arrow, materialise, shuffle_width, slices, table
 
 #: Bytes of the rolling window; least, target and largest chunk length in bytes.
 WINDOW, LEAST, TARGET, MOST = 16, 16, 48, 192
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             own = [x or "" for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([encode(c) for c in chunks([x.encode() for x in own])])], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_chars long, fingerprint string")
 
 
 def _arrow(docs: DataFrame) -> pa.DataType:
@@ -205,7 +205,7 @@ def compare_next(docs: DataFrame) -> DataFrame:
 
     width = max(1, min(runs, shuffle_width(docs.sparkSession)))
     ordered = laid.repartition(width, "run").sortWithinPartitions("run", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(ordered, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

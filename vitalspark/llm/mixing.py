@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, shuffle_width, slices, table
+from .common import WORD_PATTERN, map_arrow, materialise, shuffle_width, slices, table
 
 #: Words a block, slots a shard, rows of an offset bucket on average, and the largest number of sources.
 BLOCK, SHARD, BUCKET_ROWS, MAX_SOURCES = 256, 1024, 4096, 65_536
@@ -155,7 +155,7 @@ class Mix:
                 cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["shard", "src", "n"])
 
-        counts = materialise(self.spark.range(-(-total // shard)).mapInArrow(draw, "shard long, src int, n long"), "mix-draws")
+        counts = materialise(map_arrow(self.spark.range(-(-total // shard)), draw, "shard long, src int, n long"), "mix-draws")
         group = counts.withColumn("part", F.floor(F.col("shard") / BUCKET_ROWS))
         before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
         base = group.groupBy("src", "part").agg(F.sum("n").alias("sum")).select("src", "part", F.coalesce(F.sum("sum").over(before("src", "part")), F.lit(0)).alias("base"))
@@ -188,7 +188,7 @@ class Mix:
                 take = np.where(j == quota[s] - 1, cut[s], size)
                 yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(s.astype(np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(take)], names=["shard", "src", "epoch", "block", "take"])
 
-        return draws.mapInArrow(expand, "shard long, src int, epoch int, block long, take long")
+        return map_arrow(draws, expand, "shard long, src int, epoch int, block long, take long")
 
     def pieces(self) -> DataFrame:
         """(row_id, src, block, lo, hi, skip): the words [lo, hi) of a row that lie in a block, `skip` words after its start."""
@@ -252,7 +252,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
     joined = tagged.join(parts.withColumnRenamed("row_id", "__row").hint("merge"), "__row").drop("__row")
-    return joined.mapInArrow(cut, docs.schema)
+    return map_arrow(joined, cut, docs.schema)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ and not all that exist; repeated rows share their class; an empty table gives an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, maybe_broadcast, slices, table
+from .common import WORD_PATTERN, map_arrow, materialise, maybe_broadcast, slices, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 1, 11
 #: Members and packed bytes of a chunk on average, and the buckets of the two word-count bounds.
 CHUNK, CHUNK_BYTES, COARSE, FINE = 1024, 4 << 20, 64, 1024
+#: Words up to which an alignment keeps a bit mask of each word; beyond, masks of the band are made as they are needed.
+MASKED = 4096
 _WORD = re.compile(WORD_PATTERN)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit word hashes with a table of bounded size."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.memo, self.most = {}, most
 
     def __call__(self, text: str) -> list[int]:
@@ -109,6 +112,25 @@ def sketches(words: list[list[int]]) -> np.ndarray:
     return out
 
 
+def _bits(places: Sequence[int], low: int, high: int) -> int:
+    """An integer with the bits of the places in [low, high), counted from low; its size is the band's at most."""
+    n = len(places)
+    if n == 1:
+        return 1 << places[0] - low if low <= places[0] < high else 0
+    if n > 4:
+        places = places[bisect_left(places, low) : bisect_left(places, high)]
+        if len(places) > 32:
+            own = bytearray((high - low >> 3) + 1)
+            for p in places:
+                own[p - low >> 3] |= 1 << (p - low & 7)
+            return int.from_bytes(own, "little")
+    eq = 0
+    for p in places:
+        if low <= p < high:
+            eq |= 1 << p - low
+    return eq
+
+
 def distance(a: list[int], b: list[int], most: int) -> int:
     """Word edit distance if at most `most`, else any larger number: bit-parallel columns inside a diagonal band."""
     lo = 0
@@ -122,9 +144,13 @@ def distance(a: list[int], b: list[int], most: int) -> int:
     m, n = len(a), len(b)
     if not m or not n or abs(m - n) > most:
         return max(m, n) if not m or not n else most + 1
-    masks: dict[int, int] = {}
+    masks: dict[int, int] = {}  # of whole texts: their memory grows as the square, so only of short ones
+    places: dict[int, list[int]] = {}
     for k, w in enumerate(a):
-        masks[w] = masks.get(w, 0) | 1 << k
+        if m <= MASKED:
+            masks[w] = masks.get(w, 0) | 1 << k
+        else:
+            places.setdefault(w, []).append(k)
     width = min(m, 2 * most + 2)
     mask = (1 << width) - 1
     up, down, top, skipped = mask, 0, 0, 0  # vertical +1 and -1 steps of the rows in the band; value above them
@@ -136,7 +162,8 @@ def distance(a: list[int], b: list[int], most: int) -> int:
             mask = (1 << rows) - 1
             if rows == width:
                 up |= 1 << (rows - 1)
-        eq = masks.get(b[j - 1], 0) >> skipped & mask
+        w = b[j - 1]
+        eq = (masks.get(w, 0) >> skipped if masks else _bits(places.get(w, ()), skipped, skipped + width)) & mask
         x = (((eq & up) + up) ^ up) | eq
         right = down | ~(x | up) & mask
         left = up & x
@@ -169,7 +196,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 parts = sketches([w for _, w in own]).astype("<u8")
                 yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in own], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "parts"])
 
-    return docs.select(_node().alias("node"), "text").mapInArrow(run, "node binary, parts binary").groupBy("node").agg(F.min("parts").alias("parts"))
+    return map_arrow(docs.select(_node().alias("node"), "text"), run, "node binary, parts binary").groupBy("node").agg(F.min("parts").alias("parts"))
 
 
 def _keys(parts: DataFrame) -> DataFrame:
@@ -188,7 +215,7 @@ def _keys(parts: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(len(nodes)), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at))], names=["key", "node"])
 
-    return parts.mapInArrow(run, "key long, node binary")
+    return map_arrow(parts, run, "key long, node binary")
 
 
 def _grouped(keys: DataFrame) -> DataFrame:
@@ -209,7 +236,7 @@ def _word_arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(own, pa.binary())], names=["node", "words"])
 
     wanted = docs.select(_node().alias("node"), "text").join(maybe_broadcast(nodes, 64), "node", "left_semi")
-    return wanted.mapInArrow(run, "node binary, words binary").groupBy("node").agg(F.min("words").alias("words"))
+    return map_arrow(wanted, run, "node binary, words binary").groupBy("node").agg(F.min("words").alias("words"))
 
 
 def _unpack(raw: bytes) -> list[int]:
@@ -231,7 +258,7 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("lead"), pa.array(ok, pa.bool_())], names=["node", "lead", "ok"])
 
     both = pairs.join(words, "node").join(words.select(F.col("node").alias("lead"), F.col("words").alias("lead_words")), "lead")
-    return both.select("node", "lead", "words", "lead_words").mapInArrow(run, "node binary, lead binary, ok boolean")
+    return map_arrow(both.select("node", "lead", "words", "lead_words"), run, "node binary, lead binary, ok boolean")
 
 
 def _counts(words: list[np.ndarray], buckets: int) -> np.ndarray:
@@ -297,7 +324,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         if len(members) > 1:
             yield give(now, members)
 
-    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "node binary, lead binary")
+    return map_arrow(dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two"), run, "node binary, lead binary")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, shuffle_width, slices, table
+from .common import WORD_PATTERN, map_arrow, materialise, shuffle_width, slices, table
 from .near_dedup import Words
 
 LENGTH, SEED_WORDS, PACK = 13, 7, 4 << 20
@@ -122,7 +122,7 @@ def _pack(docs: DataFrame) -> DataFrame:
             known = np.array([batch.column("doc_id")[int(k)].is_valid for k in order], np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([ids[order].tobytes() + known.tobytes()], pa.binary()), pa.array([block], pa.binary()), pa.array([int(sizes.sum())])], names=["bucket", "ids", "texts", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket binary, ids binary, texts binary, size long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "bucket binary, ids binary, texts binary, size long")
 
 
 def _unpack(ids: bytes, block: bytes) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = materialise(_pack(docs), "repeat-buckets")
     size = packed.agg(F.sum("size")).first()[0] or 0
     parts = max(PARTS * shuffle_width(spark), int(size * 0.4) // PART_BYTES + 1)  # 0.3 seeds of 8 bytes a word of 6
-    seeds = packed.mapInArrow(_seeds(parts), _SENT_DDL)
+    seeds = map_arrow(packed, _seeds(parts), _SENT_DDL)
     shared = materialise(seeds.groupBy("part").applyInArrow(_shared, _BITS_DDL), "repeat-seeds")
     runs = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extend(parts), _SENT_DDL)
     earlier = materialise(runs.groupBy("part").applyInArrow(_earlier, _BITS_DDL), "repeat-runs")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts
+from .common import arrow_map, map_arrow, table, texts
 
 #: Training rows a class at most, and characters a training text has at most.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
@@ -39,7 +39,7 @@ REACH, PLACES = 12, 2
 #: Size of the hashed weight table, penalty, learning rate and passes.
 DIMENSION, RIDGE, RATE, EPOCHS = 1 << 18, 1e-5, 0.5, 6
 #: Tokens of a segment of the blocked forward-backward recursion; words kept in a worker's table.
-SEGMENT, TABLE_SIZE = 256, 200_000
+SEGMENT, TABLE_SIZE = 256, 100_000
 HELD_OUT = 5
 _WORD = re.compile(r"\w+")
 
@@ -144,6 +144,10 @@ class Model:
         self.weights, self.trans, self.document, self.rate = weights.astype(np.float32), trans, document, rate
         self._clear()
 
+    def fresh(self) -> Model:
+        """The same model with empty tables: a task's tables end with the task."""
+        return Model(self.weights, self.trans, self.document, self.rate)
+
     def __getstate__(self):
         return self.weights, self.trans, self.document, self.rate
 
@@ -315,10 +319,12 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
+        crf = model.fresh()
+
         def work(batch) -> Iterator[dict]:
             own = texts(batch)
-            aggregates, words, m = model.documents(own)
-            p = model.score(aggregates)
+            aggregates, words, m = crf.documents(own)
+            p = crf.score(aggregates)
             out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": p, "predicted": (p >= 0.5).astype(int)}
             if spans:
                 at, marks = 0, []
@@ -357,11 +363,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         from .common import slices
 
+        crf = model.fresh()
         for batch in (s for b in batches for s in slices(b)):
-            p = model.score(model.documents(texts(batch))[0])
+            p = crf.score(crf.documents(texts(batch))[0])
             yield batch.filter(pa.array(p < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
