@@ -65,12 +65,12 @@ def test_main_text_is_whole_around_the_winning_path():
 )
 def test_names_of_topics_are_no_boilerplate(element):
     page = f"<body><div><p>before</div><{element}>text of it</{element.split()[0]}>"
-    assert "text of it" in [t for _, t, _ in html_extract.blocks(page)]
+    assert "text of it" in [t for _, t, _ in html_extract.Page(page).blocks]
 
 
 @pytest.mark.parametrize("name", ["ad", "ad-slot-2", "adBox", "page-header", "site-footer", "comments", "comment-12", "related-posts", "social-share", "sidebar left", "cookie-consent", "search-form", "main-nav", "discussion-thread", "site-comments-area"])
 def test_names_of_boilerplate(name):
-    assert html_extract.blocks(f"<body><div class='{name}'>gone</div><div id='{name.split()[0]}'>gone</div>") == []
+    assert html_extract.Page(f"<body><div class='{name}'>gone</div><div id='{name.split()[0]}'>gone</div>").blocks == []
 
 
 def test_targets_and_quotas():

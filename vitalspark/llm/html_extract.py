@@ -1,19 +1,24 @@
 """Main-text extraction from web pages by consensus of paths within a host.
 
-Method: every page is read into blocks of text, each with the chain of containers around it. A container's
+Method: every page is read into blocks of text and a tree of the containers around them. A container's
 path is its chain of generalised tag.class names (digits in class names become N). Blocks give points, their
 length less twice their link text, to the containers around them, the nearest one in full and each further one
-DECAY times as much. Spark sums the points by (host, path); the path with most points wins its host. Each page
+DECAY times as much. A page has one vote, however long it is, for the path that got most of its points. Spark counts
+the votes by (host, path); the path with most wins its host. Each page
 is then read again and gives the blocks inside containers of the winning path, or, if it has none, those of its
 own best path. What stands around them is text too: the rest of the outermost article or main around them, or else of
 the containers around them (of body only its own blocks, sections and quotations), but no part that is mostly links. Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) never count, neither in the vote nor in the text.
 
+Time and memory are linear in a page's length, whatever its markup: containers link to their parents, open elements are
+found by name, and a tag without an end is found out once.
+
 Skew: votes are partially aggregated, so a host with a third of all pages sends few rows; the table of winners
 is broadcast only if its measured size is under the bound and otherwise joined by a shuffle that AQE may split.
 
 Defined results: a null html is empty and gives an empty text; a null url belongs to host ''; rows that repeat
-each give their row; unclosed and stray tags are tolerated; ties of votes go to the smaller path; an empty
+each give their row; unclosed and stray tags are tolerated; a tag whose quotes never end ends at the first '>', as do all
+tags after it; a '<' without any '>' after it is text; ties of votes go to the smaller path; an empty
 table gives an empty result; other columns are ignored. Text of a page without any container is its whole text
 outside boilerplate.
 """
@@ -22,8 +27,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from hashlib import blake2s
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +65,14 @@ LAYOUT = frozenset(
 TOPICS = frozenset("cat category format keyword label postid subject tag tagged tags topic type".split())
 #: Elements that are the text itself, whatever their names.
 TEXT = frozenset("article main h1 h2 h3 h4 h5 h6".split())
-#: Paths longer than this are abbreviated by a digest of their outer part.
-LONGEST_PATH = 400
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Outer parts of paths, and class names, that are longer than this are abbreviated by a digest; it changes no text.
+LONGEST_PATH, LONGEST_CLASS = 400, 80
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_DECLARATION = re.compile("<[!?]")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Numbers of character references beyond any code point, and leading zeros, which integers of text may not have many of.
+_HUGE, _ZEROS = re.compile("&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile("&#0{9,}")
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: End tags that HTML lets one leave out: a start tag of the key ends an open element of the set.
@@ -88,11 +97,13 @@ def _names(attributes: str, tag: str = "") -> tuple[str, bool]:
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
-            value = html.unescape(a or b or c)
+            value = unescape(a or b or c)
             if tag not in TEXT:
                 dropped = dropped or any(_marks(name, key == "id" and tag == "section") for name in value.split())
             if key == "class" and value.split():
                 label = "." + re.sub(r"\d+", "N", value.split()[0].lower()).replace(">", "")
+                if len(label) > LONGEST_CLASS:
+                    label = f".#{blake2s(label.encode(), digest_size=16).hexdigest()}"
         elif key in ("hidden",) or key == "aria-hidden" and (a or b or c).lower() == "true":
             dropped = True
         elif key == "style" and "display:none" in (a or b or c).replace(" ", "").lower():
@@ -100,157 +111,214 @@ def _names(attributes: str, tag: str = "") -> tuple[str, bool]:
     return label, dropped
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[int, str], ...], str, int]]:
-    """Blocks in page order: the containers around, outermost first, as (number, path); the text; link characters."""
-    out: list = []
-    open_: list[list] = []  # [tag, is container, is dropped]
-    around: list[tuple[int, str]] = []
-    text: list[str] = []
-    number = dropped = links = linked = 0
-    at = 0
+def unescape(raw: str) -> str:
+    if "&#" in raw:
+        raw = _ZEROS.sub("&#0", _HUGE.sub("\ufffd", raw))
+    return html.unescape(raw)
+
+
+class Page:
+    """The blocks of a page in order, each with its innermost container, and the containers with parent and path."""
 
-    def flush() -> None:
-        nonlocal links
-        if text:
-            words = " ".join("".join(text).split())
+    def __init__(self, page: str):
+        self.parent: list[int] = [-1]  # container 0 is the page itself and has no path
+        self.path: list[str] = [""]
+        self.tag: list[str] = [""]
+        self.blocks: list[tuple[int, str, int]] = []  # container, text, link characters
+        self._text: list[str] = []
+        self._open: list[tuple[str, bool, int]] = []  # tag, is container, is dropped
+        self._places: dict[str, list[int]] = defaultdict(list)  # of open elements by tag
+        self._containers: list[int] = []  # places of open containers
+        self._now = self._dropped = self._links = self._linked = 0
+        self._read(page)
+        self._flush()
+
+    def _flush(self) -> None:
+        if self._text:
+            words = " ".join("".join(self._text).split())
             if words:
-                out.append((tuple(around), words, links))
-            text.clear()
-        links = 0
-
-    def add(raw: str) -> None:
-        nonlocal links
-        if raw and not dropped:
-            own = html.unescape(raw)
-            text.append(own)
-            if linked:
-                links += len(own.strip())
-
-    def close(k: int) -> None:
-        nonlocal dropped, linked
-        for tag, container, gone in reversed(open_[k:]):
+                self.blocks.append((self._now, words, self._links))
+            self._text.clear()
+        self._links = 0
+
+    def _add(self, raw: str) -> None:
+        if raw and not self._dropped:
+            own = unescape(raw)
+            self._text.append(own)
+            if self._linked:
+                self._links += len(own.strip())
+
+    def _close(self, place: int) -> None:
+        """Close the open elements from this place on."""
+        for tag, container, gone in reversed(self._open[place:]):
+            self._places[tag].pop()
             if container:
-                around.pop()
-            dropped -= gone
-            linked -= tag == "a"
-        del open_[k:]
-
-    end = len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>"), False))
-            continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag closes the nearest open element of its name; without one it only ends a block
-            if tag in BLOCKS:
-                flush()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    close(k)
-                    break
-                if open_[k][1] and tag not in CONTAINERS and tag not in DROPPED:
-                    break
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            at = stop.end() if stop else (at if m[3].endswith("/") else end)
-            continue
+                self._containers.pop()
+                self._now = self.parent[self._now]
+            self._dropped -= gone
+            self._linked -= tag == "a"
+        del self._open[place:]
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((own[-1] for t in tags if (own := self._places.get(t))), default=-1)
+
+    def _read(self, page: str) -> None:
+        at, end, quotes = 0, len(page), True
+        last = page.rfind(">")
+        while at < end:
+            start = page.find("<", at)
+            if start < 0 or start > last:  # no tag ends any more; an open comment or declaration runs to the end
+                mark = _DECLARATION.search(page, at)
+                self._add(page[at : mark.start() if mark else end])
+                return
+            self._add(page[at:start])
+            first = page[start + 1 : start + 2]
+            if first in ("!", "?"):
+                mark, stop, skip = next((x for x in (("<!--", "-->", 4), ("<![CDATA[", "]]>", 9)) if page.startswith(x[0], start)), ("", ">", 1))
+                until = page.find(stop, start + skip)
+                until = end if until < 0 else until
+                if mark == "<![CDATA[":
+                    self._add(html.escape(page[start + skip : until], False))
+                at = until + len(stop)
+                continue
+            m = _TAG.match(page, start + 1)
+            if m is None:
+                self._add("<")
+                at = start + 1
+                continue
+            close = self._tag_end(page, m.end()) if quotes else page.find(">", m.end())
+            if close < 0:
+                quotes = False
+                close = page.find(">", m.end())
+            tag, attributes = m[2].lower(), page[m.end() : close]
+            at = close + 1
+            if m[1]:
+                self._end(tag)
+            elif tag in RAW:
+                if not attributes.endswith("/"):
+                    until = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    if until is None:
+                        return
+                    at = until.end()
+            else:
+                self._start(tag, attributes)
+
+    @staticmethod
+    def _tag_end(page: str, at: int) -> int:
+        """Place of the '>' outside quotes that ends a tag, or -1."""
+        while m := _QUOTE_OR_END.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        return -1
+
+    def _end(self, tag: str) -> None:
+        """An end tag closes the nearest open element of its name; without one it only ends a block."""
         if tag in BLOCKS:
-            flush()
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            continue
+            self._flush()
+        place = self._last((tag,))
+        inside = self._containers[-1] if self._containers else -1
+        if place >= 0 and (tag in CONTAINERS or tag in DROPPED or place >= inside):
+            self._close(place)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            self._flush()
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+            return
+        inside = self._containers[-1] if self._containers else -1
         if tag in _CLOSES:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] in _CLOSES[tag]:
-                    close(k)
-                    break
-                if open_[k][1] or open_[k][0] in ("ul", "ol", "table", "dl"):
-                    break
+            place = self._last(_CLOSES[tag])
+            if place >= 0 and place >= max(inside, self._last(("ul", "ol", "table", "dl"))):
+                self._close(place)
         elif tag in CONTAINERS:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][1]:
-                    break
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-        label, gone = _names(m[3], tag) if m[3] else ("", False)
+            place = self._last(("p",))
+            if place > inside:
+                self._close(place)
+        label, gone = _names(attributes, tag) if attributes else ("", False)
         container = tag in CONTAINERS
         gone = int((gone and tag not in ("html", "body")) or tag in DROPPED)
+        place = len(self._open)
         if container:
-            number += 1
-            outer = around[-1][1] + ">" if around else ""
+            outer = self.path[self._now] + ">" if self._now else ""
             if len(outer) > LONGEST_PATH:
                 outer = f"#{blake2s(outer.encode(), digest_size=16).hexdigest()}>"
-            around.append((number, outer + tag + label[:80]))
-        dropped += gone
-        linked += tag == "a"
-        open_.append([tag, container, gone])
-    flush()
-    return out
+            self.parent.append(self._now)
+            self.path.append(outer + tag + label)
+            self.tag.append(tag)
+            self._now = len(self.path) - 1
+            self._containers.append(place)
+        self._dropped += gone
+        self._linked += tag == "a"
+        self._open.append((tag, container, gone))
+        self._places[tag].append(place)
+
+    def scores(self) -> dict[str, float]:
+        """Points of each container path."""
+        points: dict[str, float] = defaultdict(float)
+        for at, text, links in self.blocks:
+            own = max(0, len(text) - 2 * links)
+            while at and own >= 0.01:
+                points[self.path[at]] += own
+                own *= DECAY
+                at = self.parent[at]
+        return points
+
+    def text(self, path: str | None) -> str:
+        """The blocks inside containers of the path, or of the page's own best path where it has none, and around them."""
+        if path not in self.path[1:]:
+            path = best(self.scores())
+            if path is None:
+                return " ".join(t for _, t, _ in self.blocks)
+        return " ".join(self.blocks[k][1] for k in self._around(path))
+
+    def _around(self, path: str) -> list[int]:
+        """Numbers of the blocks inside the containers of the path and of what belongs to the same text around them."""
+        n = len(self.path)
+        won, whole = [False] * n, [0] * n  # inside a winner; the outermost article or main around
+        first = []  # outermost winners
+        for c in range(1, n):
+            p = self.parent[c]
+            won[c] = won[p] or self.path[c] == path
+            whole[c] = whole[p] or (c if self.tag[c] in ("article", "main") else 0)
+            if won[c] and not won[p]:
+                first.append(c)
+        scope = [False] * n  # containers around the winners whose other parts are text too
+        for c in first:
+            at = c
+            while at != whole[c] and (at := self.parent[at]) and not scope[at]:
+                scope[at] = self.tag[at] != "html"
+        near, part = [0] * n, [0] * n  # the nearest container of the scope, and the part of it that one is in
+        for c in range(1, n):
+            p = self.parent[c]
+            near[c] = c if scope[c] else near[p]
+            part[c] = c if scope[c] or scope[p] else part[p]
+        parts: dict[int, list[int]] = defaultdict(list)
+        text: list[int] = []
+        for k, (c, _, _) in enumerate(self.blocks):
+            if won[c]:
+                text.append(k)
+            elif near[c] and (near[c] == c or self.tag[near[c]] != "body" or self.tag[part[c]] in ("section", "blockquote")):
+                parts[part[c]].append(k)
+        for own in parts.values():
+            if 2 * sum(self.blocks[k][2] for k in own) <= sum(len(self.blocks[k][1]) for k in own):
+                text += own
+        return sorted(text)
 
 
 def scores(page: str) -> dict[str, float]:
     """Points of each container path of a page."""
-    points: dict[str, float] = defaultdict(float)
-    for around, text, links in blocks(page):
-        own = max(0, len(text) - 2 * links)
-        for _, path in reversed(around):
-            points[path] += own
-            own *= DECAY
-            if own < 0.01:
-                break
-    return points
+    return Page(page).scores()
 
 
 def best(points: dict[str, float]) -> str | None:
     return min(points, key=lambda p: (-points[p], p)) if points else None
 
 
-def _tag(path: str) -> str:
-    return path.rsplit(">", 1)[-1].split(".", 1)[0]
-
-
-def _around(found: list, won: set[int]) -> list[str]:
-    """The text of the blocks inside the containers of these numbers and of what belongs to the same text around them."""
-    scope: dict[int, str] = {}  # containers around the winners whose other parts are text too, by tag
-    for around, _, _ in found:
-        at = next((k for k, (n, _) in enumerate(around) if n in won), None)
-        if at is None:
-            continue
-        tags = [_tag(p) for _, p in around[: at + 1]]
-        whole = next((k for k, t in enumerate(tags) if t in ("article", "main")), 0)
-        scope.update((n, t) for (n, _), t in zip(around[whole:at], tags[whole:]) if t != "html")
-    parts: dict[int, list[int]] = defaultdict(list)  # blocks by the part of the scope that they are in
-    text: list[int] = []
-    for k, (around, _, _) in enumerate(found):
-        at = max((i for i, (n, _) in enumerate(around) if n in scope), default=None)
-        if any(n in won for n, _ in around):
-            text.append(k)
-        elif at is not None and (at == len(around) - 1 or scope[around[at][0]] != "body" or _tag(around[at + 1][1]) in ("section", "blockquote")):
-            parts[around[min(at + 1, len(around) - 1)][0]].append(k)
-    for own in parts.values():
-        if 2 * sum(found[k][2] for k in own) <= sum(len(found[k][1]) for k in own):
-            text += own
-    return [found[k][1] for k in sorted(text)]
-
-
 def main_text(page: str, path: str | None) -> str:
-    """The blocks inside containers of the path, or of the page's own best path where it has none, and around them."""
-    found = blocks(page)
-    won = {n for around, _, _ in found for n, p in around if p == path}
-    if not won:
-        own = best(scores(page))
-        if own is None:
-            return " ".join(t for _, t, _ in found)
-        won = {n for around, _, _ in found for n, p in around if p == own}
-    return " ".join(_around(found, won))
+    return Page(page).text(path)
 
 
 def host() -> F.Column:
@@ -258,24 +326,24 @@ def host() -> F.Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, points) summed over all pages."""
+    """(host, path, n): for each host the paths that its pages vote for, and how many do."""
 
     def make():
         def work(batch) -> Iterator[dict]:
-            total: dict[tuple[str, str], float] = defaultdict(float)
+            seen: Counter = Counter()
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for path, points in scores(page or "").items():
-                    total[name, path] += points
-            yield {"host": [k[0] for k in total], "path": [k[1] for k in total], "points": list(total.values())}
+                if path := best(scores(page or "")):
+                    seen[name, path] += 1
+            yield {"host": [k[0] for k in seen], "path": [k[1] for k in seen], "n": list(seen.values())}
 
         return work
 
-    return arrow_map(pages.select(host().alias("host"), "html"), "host string, path string, points double", make).groupBy("host", "path").agg(F.sum(F.round("points", 3)).alias("points"))
+    return arrow_map(pages.select(host().alias("host"), "html"), "host string, path string, n long", make).groupBy("host", "path").agg(F.sum("n").alias("n"))
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path): for each host the path of most points, ties to the smaller path."""
-    least = F.min(F.struct((-F.col("points")).alias("points"), "path"))
+    """(host, path): for each host the path of most votes, ties to the smaller path."""
+    least = F.min(F.struct((-F.col("n")).alias("n"), "path"))
     return votes(pages).groupBy("host").agg(least.alias("least")).select("host", F.col("least.path").alias("path"))
 
 
