@@ -4,12 +4,13 @@ Method: the documents of a source, in a pseudorandom but fixed order, form one s
 blocks of BLOCK words. The mix is a sequence of shards of SHARD slots; each shard draws its multinomial counts of
 sources. A source's slots are numbered through all shards; slot j takes block permutation[epoch](j mod blocks) with
 epoch = j div blocks, a keyed Feistel permutation of the source's block numbers, and blocks join documents by number.
-The draws only decide order: what a source draws beyond its quota of slots goes to the sources that drew too few, so
-each source's words are its target to a word (its last slot is cut). As no quota exceeds `cap` epochs, and each epoch
+The draws decide which shard and slot a block comes to (`sharded` gives the shards); what a source draws beyond its
+quota of slots goes to the sources that drew too few, so each source's words are its target to a word (its last slot
+is cut). As no quota exceeds `cap` epochs, and each epoch
 takes every block once, no document is taken more than `cap` times its size.
 
-Skew: offsets in a source's stream come from two-level sums (source and hash bucket, then within the bucket), so a
-source with a third of all rows is many small windows; blocks spread by number. Draws are per shard and in parallel.
+Skew: offsets in a source's stream come from sums in levels (within a hash bucket, over LEVEL buckets, over LEVEL of those
+and so on), so a source with a third of all rows is many small windows at any size; blocks spread by number. Draws are per shard and in parallel.
 The table of sources reaches the driver: MAX_SOURCES at most, beyond which the call fails with that reason, because
 weights are given per source and are configuration.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, map_arrow, materialise, shuffle_width, slices, table
 
-#: Words a block, slots a shard, rows of an offset bucket on average, and the largest number of sources.
-BLOCK, SHARD, BUCKET_ROWS, MAX_SOURCES = 256, 1024, 4096, 65_536
+#: Words a block, slots a shard, rows of an offset bucket on average, buckets of a level, and the largest number of sources.
+BLOCK, SHARD, BUCKET_ROWS, LEVEL, MAX_SOURCES = 256, 1024, 4096, 4096, 65_536
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), Fraction(3, 2), 2, 20240607
 _WORD = re.compile(WORD_PATTERN)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -111,15 +112,32 @@ def quotas(sizes: list[int], wanted: list[Fraction], block: int, seed: int) -> p
     return pd.DataFrame(rows, columns=["blocks", "slots", "cut"])
 
 
+def _before(value: str, keys: list[str], order: list[str]) -> Column:
+    """The sum of value over the rows before in a group of keys."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _bases(sums: DataFrame, buckets: int) -> DataFrame:
+    """sums(src, bucket, sum), buckets numbered from 0 → (src, bucket, base): the sum of a source's buckets before.
+
+    Levels of LEVEL buckets: a task orders LEVEL rows of a source at most, whatever the number of buckets.
+    """
+    if buckets <= LEVEL:
+        return sums.select("src", "bucket", _before("sum", ["src"], ["bucket"]).alias("base"))
+    part = F.floor(F.col("bucket") / LEVEL)
+    above = sums.groupBy("src", part.alias("bucket")).agg(F.sum("sum").alias("sum"))
+    above = _bases(above, -(-buckets // LEVEL)).select("src", F.col("bucket").alias("part"), F.col("base").alias("first"))
+    own = sums.withColumn("part", part).withColumn("within", _before("sum", ["src", "part"], ["bucket"]))
+    return own.join(above.hint("merge"), ["src", "part"]).select("src", "bucket", (F.col("first") + F.col("within")).alias("base"))
+
+
 def _offsets(rows: DataFrame, count: int) -> DataFrame:
-    """rows(src, row_id, doc_id, size) with each one's offset in its source's stream, by two-level sums."""
+    """rows(src, row_id, doc_id, size) with each one's offset in its source's stream, by sums in levels."""
     buckets = max(count // BUCKET_ROWS + 1, 4 * shuffle_width(rows.sparkSession))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    by = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.select("src", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(by.hint("merge"), ["src", "bucket"]).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    sums = materialise(rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum")), "mix-buckets")
+    within = _before("size", ["src", "bucket"], ["doc_id", "size", "row_id"])
+    return rows.join(_bases(sums, buckets).hint("merge"), ["src", "bucket"]).withColumn("offset", F.col("base") + within)
 
 
 class Mix:
@@ -140,7 +158,8 @@ class Mix:
         self.rows = materialise(_offsets(named, sum(r["n"] for r in found)), "mix-offsets")
 
     def draws(self) -> DataFrame:
-        """(shard, src, n): multinomial counts of sources of each shard, numbered by `first` through a source's draws."""
+        """(shard, src, n, slot, first): multinomial counts of sources of each shard, the slots before them in the shard, and
+        the source's slots in all shards before."""
         slots = self.quota["slots"].to_numpy()
         total, shard, seed = int(slots.sum()), self.shard, self.seed
 
@@ -151,18 +170,16 @@ class Mix:
                 for k in batch.column("id").to_pylist():
                     n = np.random.default_rng([seed, k]).multinomial(min(shard, total - k * shard), p)
                     src = np.flatnonzero(n)
-                    out.append((np.full(len(src), k), src, n[src]))
-                cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["shard", "src", "n"])
+                    out.append((np.full(len(src), k), src, n[src], (np.cumsum(n) - n)[src]))
+                cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["shard", "src", "n", "slot"])
 
-        counts = materialise(map_arrow(self.spark.range(-(-total // shard)), draw, "shard long, src int, n long"), "mix-draws")
-        group = counts.withColumn("part", F.floor(F.col("shard") / BUCKET_ROWS))
-        before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        base = group.groupBy("src", "part").agg(F.sum("n").alias("sum")).select("src", "part", F.coalesce(F.sum("sum").over(before("src", "part")), F.lit(0)).alias("base"))
-        return group.join(base.hint("merge"), ["src", "part"]).select("shard", "src", "n", (F.col("base") + F.coalesce(F.sum("n").over(before("src", "part", "shard")), F.lit(0))).alias("first"))
+        counts = materialise(map_arrow(self.spark.range(-(-total // shard)), draw, "shard long, src int, n long, slot long"), "mix-draws")
+        first = _bases(counts.select("src", F.col("shard").alias("bucket"), F.col("n").alias("sum")), -(-total // shard))
+        return counts.join(first.withColumnRenamed("bucket", "shard").hint("merge"), ["src", "shard"]).select("shard", "src", "n", "slot", F.col("base").alias("first"))
 
     def slots(self) -> DataFrame:
-        """(shard, src, epoch, block, take): one row a slot; take is the number of words from the block's start."""
+        """(shard, slot, src, epoch, block, take): one row a slot; take is the number of words from the block's start."""
         draws = materialise(self.draws(), "mix-numbered")
         drawn = np.zeros(len(self.quota), np.int64)
         for r in draws.groupBy("src").agg(F.sum("n").alias("n")).collect():  # a row a source
@@ -170,13 +187,14 @@ class Mix:
         quota, blocks, cut = (self.quota[c].to_numpy() for c in ("slots", "blocks", "cut"))
         over, under = np.maximum(drawn - quota, 0), np.maximum(quota - drawn, 0)
         over_first, under_end = np.cumsum(over) - over, np.cumsum(under)
-        size, seed = self.block, self.seed
+        size, seed, total, per = self.block, self.seed, int(quota.sum()), self.shard
 
         def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                shard, src, n, first = (batch.column(c).to_numpy() for c in ("shard", "src", "n", "first"))
+                shard, src, n, slot, first = (batch.column(c).to_numpy() for c in ("shard", "src", "n", "slot", "first"))
                 at = np.repeat(np.arange(len(n)), n)
-                j = first[at] + np.arange(len(at)) - (np.cumsum(n) - n)[at]
+                step = np.arange(len(at)) - (np.cumsum(n) - n)[at]
+                j = first[at] + step
                 s = src[at].astype(np.int64)
                 late = np.flatnonzero(j >= quota[s])  # beyond the quota: the slot goes to a source that drew too few
                 rank = over_first[s[late]] + j[late] - quota[s[late]]
@@ -186,9 +204,11 @@ class Mix:
                 epoch = j // blocks[s]
                 block = permute(j % blocks[s], blocks[s], _key(s, epoch, seed))
                 take = np.where(j == quota[s] - 1, cut[s], size)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(s.astype(np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(take)], names=["shard", "src", "epoch", "block", "take"])
+                shard = shard[at]
+                place = permute(slot[at] + step, np.minimum(per, total - shard * per), _key(shard, np.full(len(shard), -1), seed))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), pa.array(s.astype(np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(take)], names=["shard", "slot", "src", "epoch", "block", "take"])
 
-        return map_arrow(draws, expand, "shard long, src int, epoch int, block long, take long")
+        return map_arrow(draws, expand, "shard long, slot long, src int, epoch int, block long, take long")
 
     def pieces(self) -> DataFrame:
         """(row_id, src, block, lo, hi, skip): the words [lo, hi) of a row that lie in a block, `skip` words after its start."""
@@ -209,6 +229,32 @@ class Mix:
         return self.rows.join(sums.hint("merge"), "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def sharded(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """docs(doc_id, source, text, ...) → shard, slot, source, epoch, block, n_words, text: the output shards, a row a slot.
+
+    A slot's text is its block's words, of one or several documents, joined by one space; `block` tokens at most.
+    """
+    tagged = materialise(docs.select("doc_id", "source", "text").withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
+    mix = Mix(materialise(sized(tagged, F.col("row_id")), "mix-sizes"), block=block, shard=shard)
+    cuts = mix.pieces().groupBy("row_id").agg(F.collect_list(F.struct("src", "block", "lo", "hi", "skip")).alias("cuts"))  # of one document
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b)):
+            out = []
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
+                words = _WORD.findall(text)
+                out += [(c["src"], c["block"], c["skip"], words[c["lo"] : c["hi"]]) for c in cuts]
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["src", "block", "skip", "words"])
+
+    pieces = map_arrow(tagged.join(cuts.hint("merge"), "row_id").select("text", "cuts"), cut, "src int, block long, skip long, words array<string>")
+    filled = pieces.groupBy("src", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("skip", "words"))), lambda p: p["words"])).alias("words"))  # a block's words
+    names = mix.spark.createDataFrame([(k, s) for k, s in enumerate(mix.sources["source"])], "src int, source string")
+    slots = mix.slots().join(materialise(filled, "mix-blocks").hint("merge"), ["src", "block"]).join(F.broadcast(names), "src")
+    words = F.slice("words", F.lit(1), F.col("take").cast("int"))
+    return slots.select("shard", "slot", "source", "epoch", "block", F.size(words).alias("n_words"), F.array_join(words, " ").alias("text"))
+
+
 def sized(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
     """(row_id, doc_id, source, size) of docs; its rows are numbered unless they bring a number."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
