@@ -185,6 +185,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.drop_toxic(docs, none).count() == docs.count() and toxicity.score(empty, toxicity.train(empty, none)).count() == 0
 
 
+def test_toxicity_trains_on_long_texts_too(spark):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("aeinort") for _ in range(5)) for _ in range(200)]
+    text = lambda k, n: " ".join("vilezz" if k % 2 and j % 50 == 7 else rng.choice(plain) for j in range(n))
+    docs = spark.createDataFrame([(k, text(k, 6000), "clash") for k in range(60)] + [(99, text(1, 200_000), "clash")], "doc_id long, text string, held_out string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[k] == k % 2 for k in range(60)) and got[99] == 1
+
+
 def test_pages(spark):
     pages = [(k, f"http://h.x/{k}", f"<nav>menu</nav><article class='a{k}'><p>text number {k} of it<p>and &lt;more&gt;</article><footer>f</footer>", "t", k) for k in range(5)]
     pages += [(9, None, None, "t", 1), (9, "not a url", "", "t", 1), (None, "http://h.x/z", "<p>loose", "t", 1)]

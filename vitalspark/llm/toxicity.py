@@ -7,8 +7,10 @@ transition weights) is trained on these tokens. Over a whole text, forward-backw
 exactly; marginals aggregate to a document score by a logistic model over (log-odds of the largest marginal, log
 of the summed marginals), and runs of tokens of at least one half are the offending spans.
 
-Sample: at most TRAIN_DOCS rows a class, those of smallest hash of doc_id, texts of at most TRAIN_CHARS
-characters; everything else (scores, spans) covers every whole text. Only the model, of fixed size, is sent out.
+Sample: of each class at most TRAIN_DOCS labelled documents, those of smallest hash of doc_id, as long as they hold
+TRAIN_CHARS characters at most in all, each whole whatever its length; the CRF is trained on windows around at most
+TOXIC_PLACES toxic, CLEAN_PLACES clean look-alike and PLACES random tokens of each. Everything else (scores, spans)
+covers every whole text. Only the model, of fixed size, is sent out.
 
 Defined results: a null text counts as empty; a text without a word scores like one whose largest marginal is 0;
 a null doc_id has the crc32 of the empty string and no label; several labels of an id count as toxic if any is;
@@ -27,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_arrow, table, texts
+from .common import arrow_map, map_arrow, materialise, table, texts
 
-#: Training rows a class at most, and characters a training text has at most.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
-#: Words on either side of a toxic token, and of random places, that the CRF is trained on.
-REACH, PLACES = 12, 2
+#: Training documents a class at most, and their characters in all: the bound of the driver's sample.
+TRAIN_DOCS, TRAIN_CHARS = 3000, 8_000_000
+#: Words on either side of a place that the CRF is trained on, and places a document: random ones, tokens that are marked
+#: toxic in a toxic document, and such tokens in a clean one.
+REACH, PLACES, TOXIC_PLACES, CLEAN_PLACES = 12, 2, 20, 4
+#: A feature marks toxic tokens if it is this much commoner in toxic documents, and in at least this many of them.
+RATIO, LEAST_DOCS = 10, 3
 #: Size of the hashed weight table, penalty, learning rate and passes.
 DIMENSION, RIDGE, RATE, EPOCHS = 1 << 18, 1e-5, 0.5, 6
 #: Tokens of a segment of the blocked forward-backward recursion; words kept in a worker's table.
@@ -66,13 +71,13 @@ def significant_features(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     for own, label in zip(words, toxic.tolist(), strict=True):
         seen[label].update({f for w in set(own) for f in word_features(w)})
     n_clean, n_toxic = int((toxic == 0).sum()), int((toxic == 1).sum())
-    tried = [(f, d) for f, d in seen[1].items() if d >= 3]
+    tried = [(f, d) for f, d in seen[1].items() if d >= LEAST_DOCS]
     level = 2 * math.log(max(len(tried), 1)) + 2
     rate = n_toxic / (n_toxic + n_clean)
     out = set()
     for f, d in tried:
         c = seen[0][f]
-        if d / n_toxic < 10 * (c + 0.5) / (n_clean + 1):
+        if d / n_toxic < RATIO * (c + 0.5) / (n_clean + 1):
             continue
         g = 2 * (d * math.log(d / ((d + c) * rate)) + (c * math.log(c / ((d + c) * (1 - rate))) if c else 0))
         if g > level:
@@ -224,9 +229,9 @@ def train_crf(words: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np
         if not own:
             continue
         marks = np.array([bad(w) for w in own]) if label else np.zeros(len(own), bool)
-        centres = [*np.flatnonzero(marks)[:20].tolist(), *rng.integers(0, len(own), PLACES).tolist()]
+        centres = [*np.flatnonzero(marks)[:TOXIC_PLACES].tolist(), *rng.integers(0, len(own), PLACES).tolist()]
         if not label:
-            centres += [k for k, w in enumerate(own) if bad(w)][:4]
+            centres += [k for k, w in enumerate(own) if bad(w)][:CLEAN_PLACES]
         for c in sorted(set(centres)):
             lo, hi = max(0, c - REACH), c + REACH + 1
             pieces.append((own[lo:hi], marks[lo:hi]))
@@ -307,8 +312,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x TRAIN_DOCS rows at most
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(chosen, "doc_id")
-    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").toPandas()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialise(rows.withColumn("size", F.length("text")), "toxic-sample")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # of the sample's ids and sizes alone
+    held = rows.select("doc_id", "toxic", F.sum("size").over(order).alias("chars")).where(F.col("chars") <= TRAIN_CHARS)
+    sample = rows.join(F.broadcast(held.select("doc_id")), "doc_id").select("text", "toxic").toPandas()
     taken = sample["toxic"].value_counts().to_dict()
     sample["weight"] = [sizes[t] / taken[t] for t in sample["toxic"]]  # classes count as in all labels
     return fit(sample)
