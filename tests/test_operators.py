@@ -313,5 +313,21 @@ def test_simulator(spark):
     assert linear.agg(F.avg(F.col("treatment") - F.col("propensity_scores"))).first()[0] == pytest.approx(0, abs=0.05)
     coded = with_categoricals(df, ["X_0"], 4, missing=0.1)
     assert {r[0] for r in coded.select("cat_X_0").distinct().collect()} == {None, 0, 1, 2, 3}
-    tied = CoxSimulator(500, 2, ties=0.3, censored=1e-6, seed=2).generate(spark).groupBy("time").count().where("count > 1").agg(F.sum("count")).first()[0]
-    assert tied >= 0.15 * 500
+    levels = with_categoricals(df, ["X_0", "X_1", "X_2"], seed=4).agg(*[F.countDistinct(f"cat_X_{k}") for k in range(3)]).first()
+    assert all(2 <= n <= 10 for n in levels) and len(set(levels)) > 1
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.9])
+def test_simulated_ties_reach_the_share(spark, share):
+    df = CoxSimulator(500, 2, ties=share, censored=1e-6, seed=2).generate(spark)
+    assert 500 - df.select("time").distinct().count() == int(share * 500)
+    assert df.count() == 500 and df.where("time <= 0").count() == 0
+
+
+def test_simulator_does_not_depend_on_partitions(spark):
+    make = lambda n: CoxSimulator(600, 2, seed=3, ties=0.1).generate(spark, n).orderBy("patient_id").collect()
+    a, b = make(2), make(7)
+    assert [r["patient_id"] for r in a] == [r["patient_id"] for r in b]
+    assert all(x == pytest.approx(y, rel=1e-9) for r, s in zip(a, b) for x, y in zip(r, s))
+    g = CoxSimulator(20_000, 2, seed=8, features="independent").generate(spark).agg(F.avg("X_0"), F.stddev("X_0"), F.corr("X_0", "X_1"), F.kurtosis("X_1")).first()
+    assert abs(g[0]) < 0.03 and abs(g[1] - 1) < 0.03 and abs(g[2]) < 0.03 and abs(g[3]) < 0.15

@@ -1,5 +1,8 @@
-"""Simulated cohorts from a Cox model: features, allocation, effects, times, ties, censoring. Randomness is Spark's seeded
-generators by row, so a cohort of any size is a map over spark.range; the scheme is statistical, not bitwise, parity."""
+"""Simulated cohorts from a Cox model: features, allocation, effects, times, ties, censoring.
+
+Every draw is a digest of (seed, number of the draw, row id), so a cohort of any size is a map over spark.range, the same
+for any partitioning and in any engine that has MD5; the scheme is statistical, not bitwise, parity.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +11,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cohort import bucket_rank
 from .newton import dot
 
 
+def uniforms(seed: int, draw: int, key: str) -> tuple[Column, Column]:
+    """Two independent uniform draws in (0, 1) of 52 bits each, from one digest of (seed, draw, row id)."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(draw), F.col(key)).cast("binary"))
+    part = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return part(1), part(14)
+
+
+def normal(seed: int, draw: int, key: str) -> Column:
+    """A standard normal draw by the Box-Muller transform."""
+    u, v = uniforms(seed, draw, key)
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
 @dataclass(frozen=True)
 class CoxSimulator:
     n: int
@@ -30,7 +46,7 @@ class CoxSimulator:
     shape: float = 1.0  # of the Weibull baseline
     censoring: str = "exponential"  # or random
     censored: float = 0.2
-    ties: float = 0.0  # share of rows that share their time with another
+    ties: float = 0.0  # distinct times are fewer than rows by this share of the rows
     seed: int = 1
 
     def coefficients(self) -> np.ndarray:
@@ -52,8 +68,9 @@ class CoxSimulator:
     def generate(self, spark: SparkSession, partitions: int | None = None) -> DataFrame:
         """patient_id, X_0.., propensity_scores, treatment, cate, time, event; rows at or before censoring are events."""
         base = spark.range(0, self.n, 1, partitions) if partitions else spark.range(self.n)
-        df = base.withColumnRenamed("id", "patient_id").withColumns({f"__g{k}": F.randn(self.seed * 1000 + k) for k in range(self.p)})
-        df = df.withColumns({f"__u{k}": F.rand(self.seed * 1000 + 500 + k) for k in range(3)})
+        df = base.withColumnRenamed("id", "patient_id")
+        (u0, u1), (u2, _) = uniforms(self.seed, self.p, "patient_id"), uniforms(self.seed, self.p + 1, "patient_id")
+        df = df.withColumns({f"__g{k}": normal(self.seed, k, "patient_id") for k in range(self.p)} | {"__u0": u0, "__u1": u1, "__u2": u2})
         factor, (alpha, beta) = self._features(), self.coefficients()
         g = [F.col(f"__g{k}") for k in range(self.p)]
         df = df.withColumns({f"X_{i}": dot(g[: i + 1], factor[i, : i + 1]) for i in range(self.p)})
@@ -67,7 +84,7 @@ class CoxSimulator:
         effect = {"constant": F.lit(self.effect), "linear": F.exp(math.log(self.effect) + dot(x, alpha) / 2), "lognormal": F.exp(math.log(self.effect) + F.col("__g0") / 2)}[self.cate]
         df = df.withColumn("cate", effect)
         hazard = F.exp(dot(x, beta)) * F.when(F.col("treatment") == 1, F.col("cate")).otherwise(1.0)
-        latent = F.lit(self.scale) * F.pow(-F.log(F.greatest(F.col("__u1"), F.lit(1e-300))) / hazard, F.lit(1 / self.shape))
+        latent = F.lit(self.scale) * F.pow(-F.log(F.col("__u1")) / hazard, F.lit(1 / self.shape))
         df = df.withColumn("__t", latent)
         if self.ties:
             df = with_ties(df, "__t", self.ties)
@@ -78,35 +95,35 @@ class CoxSimulator:
             hit = F.col("__u2") < self.censored
             return df.withColumns({"event": F.when(hit, 0).otherwise(1), "time": F.when(hit, F.col("__t") * F.col("__u2") / self.censored).otherwise(F.col("__t"))})
         mean = df.agg(F.avg("__t")).first()[0]
-        limit = -F.log(F.greatest(F.col("__u2"), F.lit(1e-300))) * F.lit(mean * (1 - self.censored) / max(self.censored, 1e-9))
+        limit = -F.log(F.col("__u2")) * F.lit(mean * (1 - self.censored) / max(self.censored, 1e-9))
         return df.withColumns({"event": (F.col("__t") <= limit).cast("int"), "time": F.least(F.col("__t"), limit)})
 
 
 def with_ties(df: DataFrame, time: str, share: float) -> DataFrame:
-    """Times replaced by quantile-bin means, the number of bins halved until the share of tied rows is met."""
+    """Times replaced by the means of quantile bins, as many as leave n - int(share * n) distinct times.
+
+    Bins are ranges of ranks, which need no sort of all rows in one task; a bin's rows move together.
+    """
     n = df.count()
-    bins = max(1, n // 2)
-    while True:
-        cuts = df.select(F.percentile_approx(time, [k / min(bins, 2000) for k in range(min(bins, 2000) + 1)], 10_000)).first()[0]
-        edges = sorted(set(cuts))
-        step = F.expr(f"array({', '.join(repr(float(c)) + 'D' for c in edges)})")
-        binned = df.withColumn("__bin", F.size(F.filter(step, lambda c: c < F.col(time))))
-        means = binned.groupBy("__bin").agg(F.avg(time).alias("__mean"), F.count(F.lit(1)).alias("__n"))
-        tied = means.agg(F.sum(F.when(F.col("__n") > 1, F.col("__n")).otherwise(0)) / F.lit(n)).first()[0]
-        if tied >= share or bins <= 2:
-            # only the wanted share of rows moves to its bin's mean
-            keep = F.pmod(F.xxhash64(time), F.lit(10_000)) < F.lit(int(share * 10_000))
-            return binned.join(F.broadcast(means), "__bin").withColumn(time, F.when(keep, F.col("__mean")).otherwise(F.col(time))).drop("__bin", "__mean", "__n")
-        bins //= 2
-
-
-def with_categoricals(df: DataFrame, columns: Sequence[str], levels: int, missing: float = 0.0, seed: int = 9) -> DataFrame:
-    """Columns cut at quantiles to ordinal codes `cat_*`, a share of all cells replaced by nulls."""
+    bins = max(1, n - int(share * n))
+    if bins >= n:
+        return df
+    ranked = bucket_rank(df, time, max(1, n // 100_000), "__place").withColumn("__bin", F.floor(F.col("__place") * bins / F.lit(n)))
+    means = ranked.groupBy("__bin").agg(F.avg(time).alias("__mean"))
+    return ranked.join(means, "__bin").withColumn(time, F.col("__mean")).drop("__bin", "__mean", "__place", "__n")
+
+
+def with_categoricals(df: DataFrame, columns: Sequence[str], levels: int | Sequence[int] | None = None, missing: float = 0.0, seed: int = 9, key: str = "patient_id") -> DataFrame:
+    """Columns cut at quantiles to ordinal codes `cat_*`, a share of all cells replaced by nulls.
+
+    levels: a number for all columns, one for each, or none, when each column draws between 2 and 10.
+    """
+    if levels is None:
+        levels = np.random.default_rng(seed).integers(2, 11, len(columns)).tolist()
+    counts = [levels] * len(columns) if isinstance(levels, int) else list(levels)
+    cuts = df.select(*[F.percentile_approx(c, [j / n for j in range(1, n)], 10_000).alias(f"c{k}") for k, (c, n) in enumerate(zip(columns, counts, strict=True))]).first() if columns else []
     out = df
     for k, c in enumerate(columns):
-        cuts = df.select(F.percentile_approx(c, [j / levels for j in range(1, levels)], 10_000)).first()[0]
-        code = sum((F.when(F.col(c) > F.lit(float(v)), 1).otherwise(0) for v in cuts[1:]), F.when(F.col(c) > F.lit(float(cuts[0])), 1).otherwise(0))
-        out = out.withColumn(f"cat_{c}", F.when(F.rand(seed + k) < missing, None).otherwise(code.cast("long")))
+        code = sum((F.when(F.col(c) > F.lit(float(v)), 1).otherwise(0) for v in cuts[k][1:]), F.when(F.col(c) > F.lit(float(cuts[k][0])), 1).otherwise(0))
+        out = out.withColumn(f"cat_{c}", F.when(uniforms(seed, k, key)[0] < missing, None).otherwise(code.cast("long")))
     return out
-
-
