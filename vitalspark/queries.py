@@ -22,6 +22,7 @@ from .operators.moments import arm_moments, effective_sample_size, merged_moment
 from .operators.privacy import fit_private_logit
 from .operators.resample import bootstrap_variance, draw_multiplicities, replicate, valid_replicates
 from .operators.simulate import CoxSimulator
+from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
 from .sources.tables import COHORT_SQL, COVARIATES, cohort, fingerprint, table
 
@@ -252,7 +253,10 @@ def logit_irls(spark, sf):
     return rounded(spark.createDataFrame([m.coef], "intercept double, x_lines double"), 5)
 
 
-@query("logit_multi")
+_LOGIT4 = C1 + ", l4 AS (SELECT *, CAST(treated AS double) AS y, CAST(1 AS double) AS x0, x_lines AS x1, x_bal AS x2, CAST(x_urgent AS double) AS x3 FROM c1)" + unrolled.logit("l4", 4, "l")
+
+
+@query("logit_multi", _LOGIT4 + " " + " UNION ALL ".join(f"SELECT '{c}' AS term, round(b{k}, 5) AS coef FROM ln9" for k, c in enumerate(("intercept", *COVARIATES))))
 def logit_multi(spark, sf):
     m = fit_logit(cohort(spark, sf), COVARIATES, "treated")
     return rounded(spark.createDataFrame(list(zip(("intercept", *m.features), m.coef)), "term string, coef double"), 5)
@@ -310,6 +314,11 @@ def sandwich_query(spark, sf):
     return rounded(spark.createDataFrame([(float(sandwich(df, spec, ["treated"], fit)[0, 0]) ** 0.5,)], "robust_se double"), 5)
 
 
+def _summary(rows: DataFrame) -> DataFrame:
+    """A summary table without the tail probabilities, which DuckDB has no function for."""
+    return rounded(rows.drop("p", "minus_log2_p", "cmp_to"), 4)
+
+
 @query("summary", _cox_sql(_ATE) + " SELECT 'treated' AS covariate, round(beta, 4) AS coef, round(exp(beta), 4) AS exp_coef, round(1 / sqrt(h), 4) AS se, round(beta - 1.959963984540054 / sqrt(h), 4) AS ci_low, round(beta + 1.959963984540054 / sqrt(h), 4) AS ci_high, round(beta * sqrt(h), 3) AS z FROM n10")
 def summary(spark, sf):
     result = ExternalControlAnalysis(SPEC, ps=F.col("ps"), clip=None).fit(cohort(spark, sf))
@@ -317,9 +326,12 @@ def summary(spark, sf):
     return rounded(s, 4).withColumn("z", F.round("z", 3))
 
 
-@query("summary_robust")
+_ROBUST = _cox_sql(_ATE) + _AB.format(w=_ATE).replace("SELECT round(sqrt(sum(f * f)) / any_value(h), 5) AS robust_se FROM phi", "SELECT sqrt(sum(f * f)) / any_value(h) AS se FROM phi")
+
+
+@query("summary_robust", _ROBUST.replace(" SELECT sqrt(sum(f * f)) / any_value(h) AS se FROM phi", ", rse AS (SELECT sqrt(sum(f * f)) / any_value(h) AS se FROM phi) ") + " SELECT 'treated' AS covariate, round(beta, 4) AS coef, round(exp(beta), 4) AS exp_coef, round(se, 4) AS se, round(beta - 1.959963984540054 * se, 4) AS ci_low, round(beta + 1.959963984540054 * se, 4) AS ci_high, round(exp(beta - 1.959963984540054 * se), 4) AS exp_low, round(exp(beta + 1.959963984540054 * se), 4) AS exp_high, round(beta / se, 4) AS z FROM n10, rse")
 def summary_robust(spark, sf):
-    return rounded(ExternalControlAnalysis(SPEC, ps=F.col("ps"), variance="robust").fit(cohort(spark, sf)).summary, 4)
+    return _summary(ExternalControlAnalysis(SPEC, ps=F.col("ps"), variance="robust").fit(cohort(spark, sf)).summary)
 
 
 @query("cox_by_center", _cox_sql("CAST(1 AS double)", by="center") + " SELECT center, round(beta, 5) AS coef, round(1 / sqrt(h), 5) AS se FROM n10")
@@ -352,19 +364,27 @@ def cox_multi(spark, sf):
     return _fit_rows(spark, fit_cox(cohort(spark, sf), SPEC, ["treated", "x_lines"])).drop("z")
 
 
-@query("cox_elastic_net")
+#: Columns in units of their deviation; the penalty of step k on coefficient b, softabs sharpened by a.
+_NET = C1 + ", sc AS (SELECT *, CAST(1 AS double) AS w, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS x{k}" for k, c in enumerate(("treated", *COVARIATES))) + " FROM c1)"
+_NET += unrolled.cox("sc", 4, "e", steps=15, penalty=("0.1 * (0.5 * (2 / (1 + exp(-{a} * {b})) - 1) + 0.5 * {b})", "0.1 * (0.5 * {a} / 2 * (1 - (2 / (1 + exp(-{a} * {b})) - 1) * (2 / (1 + exp(-{a} * {b})) - 1)) + 0.5)"))
+
+
+@query("cox_elastic_net", _NET + " " + " UNION ALL ".join(f"SELECT '{c}' AS covariate, round(b{k} / (SELECT stddev_samp({c}) FROM c1), 4) AS coef FROM en15" for k, c in enumerate(("treated", *COVARIATES))))
 def cox_elastic_net(spark, sf):
-    return _fit_rows(spark, fit_cox(cohort(spark, sf), SPEC, ["treated", *COVARIATES], penalizer=0.1, l1_ratio=0.5, max_iter=15))
+    return _fit_rows(spark, fit_cox(cohort(spark, sf), SPEC, ["treated", *COVARIATES], penalizer=0.1, l1_ratio=0.5, max_iter=15)).select("covariate", "coef")
+
 
+_EFRON1 = C1 + ", e1 AS (SELECT time, CAST(event AS double) AS event, CAST(1 AS double) AS w, CAST(treated AS double) AS x0 FROM c1)" + unrolled.cox("e1", 1, "e", efron=True)
 
-@query("cox_efron")
+
+@query("cox_efron", _EFRON1 + " SELECT 'treated' AS covariate, round(b0, 4) AS coef, round(sqrt(v0_0), 4) AS se, round(b0 / sqrt(v0_0), 4) AS z FROM en9")
 def cox_efron(spark, sf):
     return _fit_rows(spark, fit_cox(cohort(spark, sf), SPEC, ["treated"], ties="efron"))
 
 
-@query("naive_comparison")
+@query("naive_comparison", _EFRON1 + " " + unrolled.summary("e", ["treated"]))
 def naive_comparison(spark, sf):
-    return rounded(NaiveComparison(SPEC).fit(cohort(spark, sf)).summary, 4)
+    return _summary(NaiveComparison(SPEC).fit(cohort(spark, sf)).summary)
 
 
 @query("naive_comparison_breslow", _cox_sql("CAST(1 AS double)") + " SELECT round(beta, 5) AS coef, round(1 / sqrt(h), 5) AS se FROM n10")
@@ -372,24 +392,37 @@ def naive_comparison_breslow(spark, sf):
     return rounded(NaiveComparison(SPEC, ties="breslow").fit(cohort(spark, sf)).summary.select("coef", "se"), 5)
 
 
-@query("covariate_adjusted")
+_ADJUSTED = ("treated", *COVARIATES)
+
+
+@query("covariate_adjusted", C1 + ", r4 AS (SELECT time, CAST(event AS double) AS event, CAST(1 AS double) AS w, " + ", ".join(f"CAST({c} AS double) AS x{k}" for k, c in enumerate(_ADJUSTED)) + " FROM c1)" + unrolled.cox("r4", 4, "a", efron=True) + " " + unrolled.summary("a", _ADJUSTED))
 def covariate_adjusted(spark, sf):
-    return rounded(CovariateAdjusted(SPEC).fit(cohort(spark, sf)).summary, 4)
+    return _summary(CovariateAdjusted(SPEC).fit(cohort(spark, sf)).summary)
+
+
+def _iptw_sql(weight: str, columns: tuple[str, ...], efron: bool, source: str = "l4, ln9") -> str:
+    """A Cox fit under weights of the propensity p that is fitted on all covariates."""
+    ps = f"SELECT *, 1 / (1 + exp(-({' + '.join(f'b{k} * x{k}' for k in range(4))}))) AS p FROM {source}"
+    rows = ", ".join(f"CAST({c} AS double) AS x{k}" for k, c in enumerate(columns))
+    return _LOGIT4 + f", wr AS (SELECT time, CAST(event AS double) AS event, {weight} AS w, {rows} FROM ({ps}))" + unrolled.cox("wr", len(columns), "c", efron) + " " + unrolled.summary("c", columns)
 
 
-@query("pooled_iptw")
+_OWN_ATE = "treated / p + (1 - treated) / (1 - p)"
+
+
+@query("pooled_iptw", _iptw_sql(_OWN_ATE, ("treated",), True))
 def pooled_iptw(spark, sf):
-    return rounded(PooledIPTW(SPEC).fit(cohort(spark, sf)).summary, 4)
+    return _summary(PooledIPTW(SPEC).fit(cohort(spark, sf)).summary)
 
 
-@query("pooled_iptw_att")
+@query("pooled_iptw_att", _iptw_sql("treated + p * (1 - treated) / (1 - p)", ("treated",), False))
 def pooled_iptw_att(spark, sf):
-    return rounded(PooledIPTW(SPEC, effect="ATT", ties="breslow").fit(cohort(spark, sf)).summary, 4)
+    return _summary(PooledIPTW(SPEC, effect="ATT", ties="breslow").fit(cohort(spark, sf)).summary)
 
 
-@query("aiptw")
+@query("aiptw", _iptw_sql(_OWN_ATE, ("treated", "x_lines"), False))
 def aiptw(spark, sf):
-    return rounded(ExternalControlAnalysis(SPEC, strategy="aiptw", cox_columns=["x_lines"]).fit(cohort(spark, sf)).summary, 4)
+    return _summary(ExternalControlAnalysis(SPEC, strategy="aiptw", cox_columns=["x_lines"]).fit(cohort(spark, sf)).summary)
 
 
 @query("maic_targets", C1 + " SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" for c in COVARIATES) + " FROM c1 WHERE treated = 0")
@@ -397,7 +430,12 @@ def maic_targets_query(spark, sf):
     return rounded(maic_targets(cohort(spark, sf), "treated", COVARIATES))
 
 
-@query("maic_weights")
+_MAIC_Z = "x_lines - ml AS x0, x_bal - mb AS x1, x_lines * x_lines - (ml * ml + sl * sl) AS x2, x_bal * x_bal - (mb * mb + sb * sb) AS x3"
+_MAIC = C1 + ", tg AS (SELECT avg(x_lines) AS ml, stddev_samp(x_lines) AS sl, avg(x_bal) AS mb, stddev_samp(x_bal) AS sb FROM c1 WHERE treated = 0)" + f", zs AS (SELECT c1.*, {_MAIC_Z} FROM c1, tg), zt AS (SELECT x0, x1, x2, x3 FROM zs WHERE treated = 1)" + unrolled.moments("zt", 4, "m")
+_MAIC_W = "CASE WHEN treated = 1 THEN exp(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3) ELSE 1 END"
+
+
+@query("maic_weights", _MAIC + f" SELECT patient_id, round({_MAIC_W}, 4) AS w FROM zs, mn14")
 def maic_weights(spark, sf):
     df = cohort(spark, sf)
     return rounded(df.select("patient_id", fit_maic(df, "treated", ["x_lines", "x_bal"]).weight("treated").alias("w")), 4)
@@ -412,9 +450,9 @@ def maic_balance(spark, sf):
     return rounded(df.where("treated = 1").agg(mean.alias("x_lines_mean"), F.sqrt(F.sum(w * F.col("x_lines") * F.col("x_lines")) / F.sum(w) - mean * mean).alias("x_lines_std")), 4)
 
 
-@query("matching_adjusted")
+@query("matching_adjusted", _MAIC + f", wm AS (SELECT time, CAST(event AS double) AS event, {_MAIC_W} AS w, CAST(treated AS double) AS x0 FROM zs, mn14)" + unrolled.cox("wm", 1, "c", efron=True) + " " + unrolled.summary("c", ["treated"]))
 def matching_adjusted(spark, sf):
-    return rounded(MatchingAdjusted(CohortSpec(covariates=("x_lines", "x_bal"))).fit(cohort(spark, sf)).summary, 4)
+    return _summary(MatchingAdjusted(CohortSpec(covariates=("x_lines", "x_bal"))).fit(cohort(spark, sf)).summary)
 
 
 @query("c_index", C1 + """, cells AS (SELECT time AS t, event AS e, x_lines AS s, count(*) AS n FROM c1 GROUP BY ALL),
@@ -679,9 +717,30 @@ def first_records(spark, sf):
 # ---------------------------------------------------------------- simulation and others without a SQL form
 
 
-@query("simulate_cox")
+_SIMULATED = CoxSimulator(1000, 5, ties=0.2, seed=3)
+
+
+def _simulated_sql(sim: CoxSimulator) -> str:
+    """The simulator with linear propensity, constant effect and exponential censoring, from the same digests."""
+    uniform = lambda k, at: f"((CAST('0x' || substr(md5('{sim.seed}:{k}:' || id), {at}, 13) AS bigint) + 0.5) / 4503599627370496.0)"
+    dotted = lambda b, x: " + ".join(f"({v!r}::double) * {x}{k}" for k, v in enumerate(map(float, b)))
+    factor, (alpha, beta) = sim._features(), sim.coefficients()
+    g = ", ".join(f"sqrt(-2 * ln({uniform(k, 1)})) * cos(2 * pi() * {uniform(k, 14)}) AS g{k}" for k in range(sim.p))
+    x = ", ".join(f"{dotted(factor[i, : i + 1], 'g')} AS x{i}" for i in range(sim.p))
+    bins = sim.n - int(sim.ties * sim.n)
+    limit = f"-ln(u2) * (SELECT avg(t) FROM tied) * {(1 - sim.censored) / sim.censored!r}"
+    outs = ", ".join(f"round(x{k}, 6) AS X_{k}" for k in range(sim.p))
+    return f"""WITH base AS (SELECT CAST(id AS varchar) AS id FROM (SELECT unnest(generate_series(0, {sim.n - 1})) AS id)),
+d AS (SELECT id, {g}, {uniform(sim.p, 1)} AS u0, {uniform(sim.p, 14)} AS u1, {uniform(sim.p + 1, 1)} AS u2 FROM base),
+f AS (SELECT *, {x} FROM d), p AS (SELECT *, 1 / (1 + exp(-({dotted(alpha, 'x')}) / {sim.overlap!r})) AS ps FROM f), a AS (SELECT *, CASE WHEN u0 < ps THEN 1 ELSE 0 END AS treatment FROM p),
+l AS (SELECT *, {sim.scale!r} * pow(-ln(u1) / (exp({dotted(beta, 'x')}) * CASE WHEN treatment = 1 THEN {sim.effect!r} ELSE 1 END), {1 / sim.shape!r}) AS latent FROM a),
+r AS (SELECT *, floor((row_number() OVER (ORDER BY latent) - 1) * {bins} / {sim.n}.0) AS bin FROM l), tied AS (SELECT *, avg(latent) OVER (PARTITION BY bin) AS t FROM r)
+SELECT CAST(id AS bigint) AS patient_id, {outs}, round(ps, 6) AS propensity_scores, CAST(treatment AS int) AS treatment, {sim.effect!r}::double AS cate, round(least(t, {limit}), 6) AS time, CAST(CASE WHEN t <= {limit} THEN 1 ELSE 0 END AS int) AS event FROM tied"""
+
+
+@query("simulate_cox", _simulated_sql(_SIMULATED))
 def simulate_cox(spark, sf):
-    return CoxSimulator(1000, 5, ties=0.2, seed=3).generate(spark)
+    return rounded(_SIMULATED.generate(spark))
 
 
 @query("missforest")
