@@ -296,6 +296,21 @@ def test_etl(spark):
     assert etl.select_matching(rows, "^[ab]$").columns == ["a", "b"]
 
 
+def test_nearest_record_of_several_index_rows(spark):
+    index = spark.createDataFrame([(1, "2020-01-10"), (1, "2020-03-10"), (1, "2020-03-10"), (2, None)], "id int, at string").withColumn("at", F.to_timestamp("at"))
+    records = spark.createDataFrame([(1, "2020-01-12", "a"), (1, "2020-03-09", "b"), (1, "2020-03-11", "c")], "id int, seen string, v string").withColumn("seen", F.to_timestamp("seen"))
+    got = etl.nearest_record(index, records, "id", "at", "seen", F.expr("interval -5 days"), F.expr("interval 5 days")).collect()
+    assert sorted((r["id"], str(r["at"])[:10], r["v"]) for r in got) == [(1, "2020-01-10", "a"), (1, "2020-03-10", "b"), (1, "2020-03-10", "b"), (2, "None", None)]
+
+
+def test_impute_once_and_overwrite(spark):
+    rows = spark.createDataFrame([(1, 2.0, "os"), (1, None, "pfs"), (2, None, "os"), (2, None, "pfs"), (3, 4.0, "os")], "id int, x double, kind string")
+    got = {(r["id"], r["kind"]): r["x"] for r in etl.impute_once(rows, "id", ["x"]).collect()}
+    assert got == {(1, "os"): 2.0, (1, "pfs"): 2.0, (2, "os"): 3.0, (2, "pfs"): 3.0, (3, "os"): 4.0}
+    out = rows.withColumns(etl.overwrite_where(F.col("x") > 3, kind="far", x=F.col("x") * 2))
+    assert {(r["id"], r["kind"], r["x"]) for r in out.where("id <> 2").collect()} == {(1, "os", 2.0), (1, "pfs", None), (3, "far", 8.0)}
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("m", 0, 0.01), ("m", 1, 0.2), ("o", 0, 0.3)], "method string, rep int, p double")
     assert {r["method"]: r["power"] for r in report.power(rows, ["method"]).collect()} == {"m": 0.5, "o": 0.0}

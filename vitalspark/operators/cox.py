@@ -7,6 +7,7 @@ step is one Spark job over cached rows or, for a binary treatment, over the tabl
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..cohort import CohortSpec
 from ..functions.stats import normal_quantile, soft_abs, two_sided_p
-from .newton import dot, symmetric, triangle
+from .newton import dot, safe_offset, symmetric, triangle
 from .scan import auto_buckets, running, suffix_sum
 
 #: Rows of a table by time that the driver takes to iterate on; larger ones stay in Spark.
@@ -68,6 +69,11 @@ def time_table(df: DataFrame, spec: CohortSpec, x: Column, by: Sequence[str] = (
     return suffix_sum(at, list(by), "time", ["r0", "r1"], buckets).where(F.col("dw") > 0)
 
 
+def time_buckets(df: DataFrame, spec: CohortSpec) -> int:
+    """Buckets for scans by time, from the number of distinct times: one for a million or fewer."""
+    return auto_buckets(df.agg(F.approx_count_distinct(spec.duration)).first()[0])
+
+
 def fit_binary(table: DataFrame, by: str | None = None, max_iter: int = 50, tol: float = 1e-9) -> dict:
     """{group: (beta, information, log-likelihood, iterations)} from a `time_table`; one group None without by.
 
@@ -125,17 +131,18 @@ class _Problem:
         rows = df.select(F.col(spec.duration).cast("double").alias("t"), F.col(spec.event).cast("double").alias("e"), spec.w.alias("w"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
         self.rows = rows.na.drop().where("w > 0").persist(StorageLevel.MEMORY_AND_DISK)
         self.x = [F.col(f"x{k}") for k in range(self.p)]
-        stats = self.rows.agg(*[f(c).alias(f"s{k}{n}") for k, c in enumerate(self.x) for n, f in enumerate((F.avg, F.stddev_samp))], F.approx_count_distinct("t").alias("times"), F.count(F.lit(1)).alias("n")).first()
+        stats = self.rows.agg(*[f(c).alias(f"s{k}{n}") for k, c in enumerate(self.x) for n, f in enumerate((F.avg, F.stddev_samp, F.min, F.max))], F.approx_count_distinct("t").alias("times"), F.count(F.lit(1)).alias("n")).first()
         self.mean = np.array([stats[f"s{k}0"] for k in range(self.p)], float)
         self.scale = np.array([stats[f"s{k}1"] or 1.0 for k in range(self.p)], float)
         self.n, self.buckets = stats["n"], auto_buckets(stats["times"])
+        self.reach = tuple((np.array([stats[f"s{k}{n}"] or 0.0 for k in range(self.p)], float) - self.mean) / self.scale for n in (2, 3))
         self.z = [(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(self.x, self.mean, self.scale)]
 
     def by_time(self, beta: np.ndarray) -> DataFrame:
         """Sums at each time, and of everyone at risk: s0, s1_i, s2_ij; of events: dw, n_events, d1_i, with e0, e1_i, e2_ij."""
         rows = self.rows.withColumns({f"z{k}": z for k, z in enumerate(self.z)})
         z = [F.col(f"z{k}") for k in range(self.p)]
-        r = F.col("w") * F.exp(dot(z, beta))
+        r = F.col("w") * F.exp(dot(z, beta, -safe_offset(beta, self.reach)))
         sums = {"s0": r} | {f"s1_{i}": r * z[i] for i in range(self.p)} | {f"s2_{i}_{j}": r * z[i] * z[j] for i, j in triangle(self.p)}
         events = {"dw": F.col("w") * F.col("e"), "n_events": F.col("e")} | {f"d1_{i}": F.col("w") * F.col("e") * z[i] for i in range(self.p)}
         if self.ties == "efron":
@@ -158,7 +165,7 @@ class _Problem:
         m = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
         aggs = [F.sum(share * F.col(f"d1_{i}") - weight * m[i]) for i in range(p)]
         aggs += [F.sum(weight * (F.col(f"s2_{i}_{j}") / F.col("s0") - m[i] * m[j])) for i, j in triangle(p)]
-        aggs += [F.sum(weight * F.log("s0"))] + [F.sum(share * F.col(f"d1_{i}")) for i in range(p)]
+        aggs += [F.sum(weight * (F.log("s0") + F.lit(safe_offset(beta, self.reach))))] + [F.sum(share * F.col(f"d1_{i}")) for i in range(p)]
         row = [0.0 if v is None else float(v) for v in t.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first()]
         q = p * (p + 1) // 2
         return float(np.dot(row[p + q + 1 :], beta)) - row[p + q], np.array(row[:p]), -symmetric(row[p : p + q], p)
@@ -206,15 +213,22 @@ def fit_cox(df: DataFrame, spec: CohortSpec, columns: Sequence[str], ties: str =
 
 
 def sandwich(df: DataFrame, spec: CohortSpec, columns: Sequence[str], fit: CoxFit) -> np.ndarray:
-    """Robust variance V Q V, Q the Gram matrix of the weighted score residuals (Breslow).
+    """Robust variance V Q V, Q the Gram matrix of the weighted score residuals.
+
+    Residuals are those of Breslow's ties. For a fit with Efron's ties they are an approximation, good where few events
+    share a time, and the caller is warned.
 
     Running sums A = sum of dw / s0 and B = sum of dw s1 / s0^2 over event times up to a row's time turn the double sum
     over patients and event times into one join by time with a table of distinct times.
     """
+    if fit.ties == "efron":
+        warnings.warn("robust variance of an Efron fit from Breslow's residuals", stacklevel=2)
     p = len(columns)
     x = [F.col(f"x{k}") for k in range(p)]
-    rows = df.select(F.col(spec.duration).cast("double").alias("t"), F.col(spec.event).cast("double").alias("e"), spec.w.alias("w"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).na.drop()
-    rows = rows.withColumn("r", F.exp(dot(x, fit.beta))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(F.col(spec.duration).cast("double").alias("t"), F.col(spec.event).cast("double").alias("e"), spec.w.alias("w"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
+    ends = rows.agg(*[f(c) for f in (F.min, F.max) for c in x]).first()
+    offset = safe_offset(fit.beta, (np.array(ends[:p], float), np.array(ends[p:], float))) if p and ends[0] is not None else 0.0
+    rows = rows.withColumn("r", F.exp(dot(x, fit.beta, -offset)))
     try:
         w = F.col("w")
         at = rows.groupBy("t").agg(F.sum(w * F.col("r")).alias("s0"), *[F.sum(w * F.col("r") * x[i]).alias(f"s1_{i}") for i in range(p)], F.sum(w * F.col("e")).alias("dw"))

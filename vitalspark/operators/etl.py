@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 
 def micros(at: str) -> Column:
     """Microseconds since 1970 of a timestamp without a zone; one with a zone is taken in the session's."""
@@ -16,15 +18,17 @@ def micros(at: str) -> Column:
 def nearest_record(index: DataFrame, records: DataFrame, key: str, at: str, seen: str, low: Column, high: Column) -> DataFrame:
     """For each index row the record of the same key within [at + low, at + high] that is closest, then earliest.
 
-    An equi-join with a range condition and a least struct by key: no sort of a key's records, and partial aggregation
+    An equi-join with a range condition and a least struct by index row: no sort of a key's records, and partial aggregation
     keeps one candidate a task. Index rows without a record stay, with nulls.
     """
     columns = [c for c in records.columns if c != key]
     near = index.join(records, key).where((F.col(seen) >= F.col(at) + low) & (F.col(seen) <= F.col(at) + high))
     gap = F.abs(micros(seen) - micros(at))
-    best = near.groupBy(key).agg(F.min(F.struct(gap.alias("__gap"), F.col(seen).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in columns if c != seen])).alias("__best"))
+    best = near.groupBy(*index.columns).agg(F.min(F.struct(gap.alias("__gap"), F.col(seen).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in columns if c != seen])).alias("__best"))
+    best = best.select(*[F.col(c).alias(f"__of_{c}") for c in index.columns], "__best")
     rest = [F.col(f"__best.__{c}").alias(c) for c in columns if c != seen]
-    return index.join(best, key, "left").select(*index.columns, F.col("__best.__seen").alias(seen), *rest)
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in index.columns]  # a key may have several index rows
+    return index.join(best, same, "left").select(*index.columns, F.col("__best.__seen").alias(seen), *rest)
 
 
 def exclude_ids(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
@@ -42,6 +46,25 @@ def fill_mean_mode(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequ
     return filled.drop(*[f"__{c}" for c in (*numeric, *categorical)])
 
 
+def impute_once(df: DataFrame, key: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), impute: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df, which may repeat a key (one row a visit or endpoint), with columns imputed from one row a key and joined back.
+
+    A key's value is its first known one in order of value; impute(rows of key and columns) fills what no row of the key
+    has, by default with means and modes.
+    """
+    columns = [*numeric, *categorical]
+    once = df.groupBy(key).agg(*[F.min(c).alias(c) for c in columns])
+    filled = impute(once) if impute else fill_mean_mode(once, numeric, categorical)
+    filled = filled.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in columns])
+    joined = df.join(filled, F.col(key) == F.col("__key"), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__new_{c}")) for c in columns}).select(*df.columns)
+
+
+def overwrite_where(condition: Column, **values) -> dict[str, Column]:
+    """Columns for withColumns: each takes its value where the condition holds and stays where it does not or is null."""
+    return {name: F.when(condition, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(name)) for name, value in values.items()}
+
+
 def recode(name: str, mapping: dict, default: Column | None = None) -> Column:
     """Values replaced by a fixed mapping; others become the default, or null."""
     out = default if default is not None else F.lit(None)
@@ -90,7 +113,7 @@ def missing_order(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), max_iter: int = 10, trees: int = 20, depth: int = 6, seed: int = 5) -> DataFrame:
     """Random-forest imputation: start from means and modes, then refit each incomplete column on the others, fewest nulls
     first, until the change grows or max_iter; the matrix before the change grew is returned. Categories are integer
-    codes from 0. Models are Spark ML forests; each pass is written to a checkpoint, so plans stay short."""
+    codes from 0. Models are Spark ML forests; each pass is written to the shared folder, so plans stay short."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -98,7 +121,7 @@ def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Se
     columns = [*numeric, *categorical]
     original = df.select(key, *columns).withColumns({f"__na_{c}": F.col(c).isNull() for c in columns})
     todo = [c for c in missing_order(df, columns) if not original.where(F.col(f"__na_{c}")).isEmpty()]
-    now = fill_mean_mode(original, numeric, categorical).withColumns({c: F.col(c).cast("double") for c in columns}).persist()
+    now = settle(fill_mean_mode(original, numeric, categorical).withColumns({c: F.col(c).cast("double") for c in columns}), "imputed")
     last = None
     for _ in range(max_iter if todo else 0):
         new = now
@@ -108,7 +131,7 @@ def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Se
             kind = RandomForestClassifier if c in categorical else RandomForestRegressor
             model = kind(featuresCol="__x", labelCol=c, predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(~F.col(f"__na_{c}")))
             new = model.transform(rows).withColumn(c, F.when(F.col(f"__na_{c}"), F.col("__p")).otherwise(F.col(c))).select(*now.columns)
-        new = new.persist()
+        new = settle(new, "imputed")
         old = now.select(key, *[F.col(c).alias(f"__o_{c}") for c in columns])
         moved = new.join(old, key)
         change = [F.sum(F.pow(F.col(c) - F.col(f"__o_{c}"), F.lit(2))) for c in todo if c in numeric] or [F.lit(0.0)]
@@ -116,7 +139,6 @@ def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Se
         flips = [F.avg((F.col(c) != F.col(f"__o_{c}")).cast("double")) for c in todo if c in categorical] or [F.lit(0.0)]
         row = moved.agg(F.try_divide(sum(change[1:], change[0]), sum(size[1:], size[0])).alias("a"), sum(flips[1:], flips[0]).alias("b")).first()
         if last is not None and (row["a"] or 0) + (row["b"] or 0) >= last:
-            new.unpersist()
             break
         last, now = (row["a"] or 0) + (row["b"] or 0), new
     return now.drop(*[f"__na_{c}" for c in columns])

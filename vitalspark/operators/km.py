@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..cohort import CohortSpec
 from ..functions.stats import confidence
+from .cox import time_buckets
 from .scan import running
 
 
@@ -56,7 +57,11 @@ def regular_grid(curve: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFr
     return ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select(*by, (F.col("k") * F.col("__end") / F.lit(steps)).alias("time"))
 
 
-def kaplan_meier(df: DataFrame, spec: CohortSpec, by: Sequence[str] | None = None, buckets: int = 1) -> DataFrame:
-    """Weighted curves, by arm unless told otherwise; centres need no separate step because sums merge."""
+def kaplan_meier(df: DataFrame, spec: CohortSpec, by: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Weighted curves, by arm unless told otherwise; centres need no separate step because sums merge.
+
+    Without a number of buckets, distinct times are counted first: beyond a million, no arm is scanned in one task.
+    """
     by = [spec.treated] if by is None else list(by)
+    buckets = time_buckets(df, spec) if buckets is None else buckets
     return survival_curve(event_table(df, spec, by, buckets), by, buckets)

@@ -20,6 +20,14 @@ def dot(columns: Sequence[Column], beta: Sequence[float], intercept: float = 0.0
     return out
 
 
+def safe_offset(beta: Sequence[float], reach: tuple[np.ndarray, np.ndarray] | None) -> float:
+    """What is to be taken from linear predictors so that their exponentials, and products of these with columns, stay
+    finite: 0 unless a predictor could pass 500. reach: least and largest value of each column."""
+    if reach is None:
+        return 0.0
+    return max(0.0, float(np.maximum(np.asarray(beta) * reach[0], np.asarray(beta) * reach[1]).sum()) - 500.0)
+
+
 def triangle(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,55 +10,82 @@ from pyspark.sql import functions as F
 
 from ..cohort import CohortSpec, bucket_rank
 
-#: Fixed constants of the deterministic draws: with x = (j A + b B + C) mod P, draw j of replicate b takes row
-#: ((x x mod P) A mod P) mod n. Squaring modulo a prime keeps the draws from being a permutation of the rows.
-A, B, C, P = 48_271, 1_000_003, 12_345, 2_147_483_647
+#: Draws that may be needed until every centre has its rows; beyond, a centre is too small for the bootstrap.
+MAX_ATTEMPTS = 50
 
 
-def _drawn(n: Column, replicate: Column, j: Column) -> Column:
-    x = F.pmod(j * F.lit(A) + replicate * F.lit(B) + F.lit(C), F.lit(P)).cast("long")
-    return F.pmod(F.pmod(F.pmod(x * x, F.lit(P)) * F.lit(A), F.lit(P)), n)
+def _hash52(*parts: Column) -> Column:
+    """52 bits of a digest of the parts: the same draw in any engine that has MD5, and for tables of any size."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def draw_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def draw_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int | Sequence[int], by: Sequence[str] = (), buckets: int = 32, seed: int = 1, attempt: int = 0) -> DataFrame:
     """(replicate, id, multiplicity): n draws with replacement from all rows, or within each group of `by`.
 
-    Rows are ranked by id inside their group, and draws join rows by (group, rank).
+    Rows are ranked by id inside their group, and draws join rows by (group, rank). Draw j of a replicate takes the row of
+    rank hash(seed, replicate, attempt, group, j) mod n. replicates: a number, or the numbers to be drawn.
     """
+    names = F.sequence(F.lit(1), F.lit(replicates)) if isinstance(replicates, int) else F.array(*[F.lit(int(r)) for r in replicates])
     ids = df.select(*by, spec.id)
     ranked = bucket_rank(ids, spec.id, buckets, "rank", by)
     sizes = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draws = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.join(F.broadcast(sizes))
-    draws = draws.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    picks = draws.select(*by, "replicate", _drawn(F.col("n"), F.col("replicate"), F.col("rank")).alias("rank")).groupBy(*by, "replicate", "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
+    draws = ranked.join(F.broadcast(sizes) if not by else sizes, list(by)) if by else ranked.join(F.broadcast(sizes))
+    draws = draws.withColumn("replicate", F.explode(names))
+    pick = F.pmod(_hash52(F.lit(seed), "replicate", F.lit(attempt), *by, "rank"), F.col("n"))
+    picks = draws.select(*by, "replicate", pick.alias("rank")).groupBy(*by, "replicate", "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
     return picks.join(ranked, [*by, "rank"]).select("replicate", spec.id, "multiplicity")
 
 
+def draw_valid(df: DataFrame, spec: CohortSpec, replicates: int, least: int = 2, seed: int = 1) -> DataFrame:
+    """As draw_multiplicities over all rows, but a replicate in which a centre has fewer than `least` draws is drawn anew."""
+    centers = df.select(spec.id, spec.center)
+    n_centers = df.select(spec.center).distinct().count()
+    out, todo = None, list(range(1, replicates + 1))
+    for attempt in range(MAX_ATTEMPTS):
+        drawn = draw_multiplicities(df, spec, todo, seed=seed, attempt=attempt)
+        per = drawn.join(centers, spec.id).groupBy("replicate", spec.center).agg(F.sum("multiplicity").alias("n"))
+        good = [r[0] for r in per.where(F.col("n") >= least).groupBy("replicate").count().where(F.col("count") == n_centers).collect()]  # replicates
+        kept = drawn.where(F.col("replicate").isin(good)) if len(good) < len(todo) else drawn
+        out = kept if out is None else out.unionByName(kept)
+        todo = sorted(set(todo) - set(good))
+        if not todo:
+            return out
+    raise ValueError(f"no draw in {MAX_ATTEMPTS} gives every centre {least} rows")
+
+
 def poisson_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, id, multiplicity) with independent Poisson(1) multiplicities from a hash of row and replicate: no
-    ranking and no join, so the form for very large cohorts. Multiplicities above 8 (one row in a million) count as 8."""
-    import math
-
+    ranking and no join, so the form for very large cohorts. Bounds of up to 20 exhaust the hash's 52 bits."""
     bounds, total = [], 0.0
-    for k in range(8):
+    for k in range(20):
         total += math.exp(-1) / math.factorial(k)
         bounds.append(total)
-    u = (F.pmod(F.xxhash64(spec.id, "replicate", F.lit(seed)), F.lit(1 << 53)).cast("double")) / float(1 << 53)
-    m = sum((F.when(u >= b, 1).otherwise(0) for b in bounds[1:]), F.when(u >= bounds[0], 1).otherwise(0))
-    return df.select(spec.id, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("multiplicity", m).where("multiplicity > 0").select("replicate", spec.id, "multiplicity")
+    u = (_hash52(F.lit(seed), "replicate", spec.id).cast("double") + 0.5) / float(1 << 52)
+    m = sum((F.when(F.col("__u") >= b, 1).otherwise(0) for b in bounds[1:]), F.when(F.col("__u") >= bounds[0], 1).otherwise(0))
+    rows = df.select(spec.id, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__u", u)
+    return rows.where(F.col("__u") >= bounds[0]).select("replicate", spec.id, m.alias("multiplicity"))
+
+
+def fold_multiplicities(df: DataFrame, spec: CohortSpec, folds: int, repeats: int = 1, seed: int = 1) -> DataFrame:
+    """Cross-validation as replicates: replicate r * folds + k + 1 has every row but fold k's of repetition r, once."""
+    fold = F.pmod(_hash52(F.lit(seed), "repeat", spec.id), F.lit(folds))
+    rows = df.select(spec.id, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("fold", fold)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("k <> fold")
+    return rows.select((F.col("repeat") * folds + F.col("k") + 1).cast("int").alias("replicate"), spec.id, F.lit(1).cast("long").alias("multiplicity"))
 
 
 def replicate(df: DataFrame, spec: CohortSpec, multiplicities: DataFrame, keep_all: str | None = None, weight: str = "boot_weight") -> DataFrame:
-    """df repeated for each replicate that has a row, `weight` = multiplicity times the row's weight; replicate 0 is df.
+    """df repeated for each replicate that has a row, with its multiplicity and `weight`, that times the row's weight;
+    replicate 0 is df.
 
     With keep_all, a boolean expression, rows that meet it are in every replicate once (treated-only resampling).
     """
-    base = df.withColumns({"replicate": F.lit(0), weight: spec.w})
-    drawn = df.join(multiplicities, spec.id).withColumn(weight, spec.w * F.col("multiplicity")).drop("multiplicity")
-    out = base.unionByName(drawn)
+    once = {"multiplicity": F.lit(1).cast("long"), weight: spec.w}
+    drawn = df.join(multiplicities.withColumn("multiplicity", F.col("multiplicity").cast("long")), spec.id).withColumn(weight, spec.w * F.col("multiplicity"))
+    out = df.withColumns({"replicate": F.lit(0)} | once).unionByName(drawn)
     if keep_all:
         names = multiplicities.select("replicate").distinct()
-        out = out.where(f"replicate = 0 or not ({keep_all})").unionByName(df.where(keep_all).crossJoin(F.broadcast(names)).withColumn(weight, spec.w))
+        out = out.where(f"replicate = 0 or not ({keep_all})").unionByName(df.where(keep_all).crossJoin(F.broadcast(names)).withColumns(once))  # a name a replicate
     return out
 
 

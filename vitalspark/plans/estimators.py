@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..cohort import WEIGHTS, CohortSpec, model_columns
-from ..operators.cox import SUMMARY_SCHEMA, CoxFit, fit_binary, fit_cox, sandwich, summary_rows, time_table
+from ..cohort import WEIGHTS, CohortSpec, ate_weight, model_columns
+from ..operators.cox import SUMMARY_SCHEMA, CoxFit, fit_binary, fit_cox, sandwich, summary_rows, time_buckets, time_table
+from ..operators.grouped import fit_coxes, fit_logits, fit_moments
 from ..operators.logit import LogitModel, fit_logit
-from ..operators.maic import MaicModel, fit_maic
-from ..operators.resample import draw_multiplicities, poisson_multiplicities, replicate
+from ..operators.maic import LEAST_WEIGHT, MaicModel, fit_maic
+from ..operators.resample import draw_multiplicities, draw_valid, poisson_multiplicities, replicate
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class Result:
     summary: DataFrame
     scored: DataFrame
     propensity: LogitModel | MaicModel | None = None
-    replicates: dict[int, float] = field(default_factory=dict)
+    replicates: dict[int, np.ndarray] = field(default_factory=dict)  # the coefficients of each; 0 is the data as it is
 
 
 def _variance_name(name: str) -> str:
@@ -36,7 +38,9 @@ class _Estimator:
     ties = "breslow"
     effect = "ATE"
 
-    def __init__(self, spec: CohortSpec, variance: str = "naive", alpha: float = 0.05, replicates: int = 50, per_center: bool = False, sampling: str = "exact"):
+    def __init__(self, spec: CohortSpec, variance: str = "naive", alpha: float = 0.05, replicates: int = 50, per_center: bool = False, sampling: str | Callable[[DataFrame], DataFrame] = "exact"):
+        """sampling: exact (redrawn until every centre has two rows), poisson, or a function of the rows that gives
+        (replicate from 1 on, id, multiplicity), as folds do."""
         self.spec, self.variance, self.alpha, self.replicates, self.per_center, self.sampling = spec, _variance_name(variance), alpha, replicates, per_center, sampling
 
     def outcome_columns(self) -> tuple[str, ...]:
@@ -53,55 +57,66 @@ class _Estimator:
             fit = self._binary(scored, spec)
         else:
             fit = fit_cox(scored, spec, columns, ties=self.ties)
-        boot: dict[int, float] = {}
+        boot: dict[int, np.ndarray] = {}
         if self.variance == "naive":
             v = fit.naive_variance
         elif self.variance == "robust":
             v = sandwich(scored, spec, columns, fit)
         else:
             boot = self.bootstrap(df)
-            v = np.array([[np.var([b for k, b in boot.items() if k])]])
+            v = np.atleast_2d(np.cov(np.array([b for k, b in sorted(boot.items()) if k]).T, ddof=0))
         summary = df.sparkSession.createDataFrame(summary_rows(columns, fit.beta, v, self.alpha), SUMMARY_SCHEMA)
         return Result(fit, v, summary, scored, model, boot)
 
     def _binary(self, df: DataFrame, spec: CohortSpec) -> CoxFit:
-        beta, info, ll, steps = fit_binary(time_table(df, spec, F.col(spec.treated)))[None]
+        beta, info, ll, steps = fit_binary(time_table(df, spec, F.col(spec.treated), buckets=time_buckets(df, spec)))[None]
         return CoxFit((spec.treated,), np.array([beta]), np.array([[-info]]), ll, steps, True)
 
     def multiplicities(self, df: DataFrame) -> DataFrame:
+        if callable(self.sampling):
+            return self.sampling(df)
         if self.sampling == "poisson":
             return poisson_multiplicities(df, self.spec, self.replicates)
-        return draw_multiplicities(df, self.spec, self.replicates, [self.spec.center] if self.per_center else [])
+        if self.per_center:
+            return draw_multiplicities(df, self.spec, self.replicates, [self.spec.center])
+        return draw_valid(df, self.spec, self.replicates) if self.spec.center in df.columns else draw_multiplicities(df, self.spec, self.replicates)
 
     def keep_all(self) -> str | None:
         return None
 
-    def bootstrap(self, df: DataFrame) -> dict[int, float]:
-        """Treatment coefficient by replicate, the weight model refitted in each; replicate 0 is the data as it is.
+    def bootstrap(self, df: DataFrame) -> dict[int, np.ndarray]:
+        """Coefficients by replicate, the weight model refitted in each; replicate 0 is the data as it is.
 
-        Replicates share one drawn table, and the final Cox steps of all of them run as one grouped aggregation.
+        Replicates share one drawn table, and each iteration of the weight model and of the outcome model is one
+        aggregation for all of them: the number of jobs does not depend on the number of replicates.
         """
         spec = self.spec.weighted("boot_weight")
-        boot = replicate(df, self.spec, self.multiplicities(df), self.keep_all()).persist()
+        boot = replicate(df, self.spec, self.multiplicities(df), self.keep_all()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if self.outcome_columns() != (spec.treated,):
-                return {k: float(fit_cox(self._replicate_weights(boot.where(F.col("replicate") == k)), spec, self.outcome_columns(), ties=self.ties).beta[0]) for k in range(self.replicates + 1)}
-            parts = [self._replicate_weights(boot.where(F.col("replicate") == k)) for k in range(self.replicates + 1)] if self.refits() else [boot]
-            rows = parts[0]
-            for part in parts[1:]:
-                rows = rows.unionByName(part)
-            found = fit_binary(time_table(rows, spec, F.col(spec.treated), by=["replicate"]), by="replicate")
-            return {int(k): v[0] for k, v in found.items()}
+            groups = sorted(r[0] for r in boot.select("replicate").distinct().collect())  # a row a replicate
+            rows, columns = self._replicate_weights(boot, groups), self.outcome_columns()
+            if columns == (spec.treated,) and self.ties == "breslow":
+                found = fit_binary(time_table(rows, spec, F.col(spec.treated), by=["replicate"], buckets=time_buckets(df, spec)), by="replicate")
+                return {int(k): np.array([v[0]]) for k, v in found.items()}
+            return {k: b for k, (b, _) in fit_coxes(self._rows(rows), spec, "replicate", groups, columns, self.ties).items()}
         finally:
             boot.unpersist()
 
-    def refits(self) -> bool:
-        return False
+    def _rows(self, boot: DataFrame) -> DataFrame:
+        """Replicates as the outcome model takes them: Efron's ties count rows, so there a row drawn twice is two rows."""
+        if self.ties != "efron":
+            return boot
+        return boot.withColumn("boot_weight", F.col("boot_weight") / F.col("multiplicity")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("multiplicity").cast("int")))).drop("__copy")
 
-    def _replicate_weights(self, rows: DataFrame) -> DataFrame:
+    def _replicate_weights(self, rows: DataFrame, groups: Sequence[int]) -> DataFrame:
+        """Rows of all replicates with their weights, `boot_weight`, times those that the replicates' own models give."""
         return rows
 
 
+def _coefficients(spark: SparkSession, fits: dict, names: Sequence[str]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(k, *map(float, b)) for k, (b, _) in fits.items()], "replicate int, " + ", ".join(f"{n} double" for n in names)))  # a row a replicate
+
+
 class ExternalControlAnalysis(_Estimator):
     """Propensity scores, inverse-probability weights, weighted Cox model: strategies iptw, aiptw, and cox without weights."""
 
@@ -116,31 +131,34 @@ class ExternalControlAnalysis(_Estimator):
     def outcome_columns(self) -> tuple[str, ...]:
         return model_columns(self.spec, self.strategy, self.cox_columns)
 
-    def refits(self) -> bool:
-        return self.strategy != "cox"
-
-    def _weight(self, df: DataFrame, weight: Column | None) -> tuple[DataFrame, LogitModel | None]:
-        model = None
-        ps = self.ps
-        if ps is None:
-            model = fit_logit(df, self.propensity_columns, self.spec.treated, weight, self.l2)
-            ps = model.probability()
+    def _weight(self, df: DataFrame, ps: Column) -> DataFrame:
+        ps = ps if self.clip is None else F.least(F.greatest(ps, F.lit(float(self.clip))), F.lit(1 - float(self.clip)))
         scored = df.withColumn("propensity", ps)
-        own = WEIGHTS[self.effect](self.spec.treated, F.col("propensity"))
-        return scored.withColumn("iptw", own), model
+        weight = ate_weight(self.spec.treated, F.col("propensity"), None) if self.effect == "ATE" else WEIGHTS[self.effect](self.spec.treated, F.col("propensity"))
+        return scored.withColumn("iptw", weight)
 
     def weigh(self, df: DataFrame) -> tuple[DataFrame, CohortSpec, object]:
         if self.strategy == "cox":
             return df, self.spec, None
-        scored, model = self._weight(df, self.spec.w if self.spec.weight else None)
+        model = None if self.ps is not None else fit_logit(df, self.propensity_columns, self.spec.treated, self.spec.w if self.spec.weight else None, self.l2)
+        scored = self._weight(df, self.ps if model is None else model.probability())
         if self.spec.weight:
             scored = scored.withColumn("iptw", F.col("iptw") * self.spec.w)
         return scored, self.spec.weighted("iptw"), model
 
-    def _replicate_weights(self, rows: DataFrame) -> DataFrame:
+    def _replicate_weights(self, rows: DataFrame, groups: Sequence[int]) -> DataFrame:
         if self.strategy == "cox":
             return rows
-        scored, _ = self._weight(rows, F.col("boot_weight"))
+        ps = self.ps
+        if ps is None:
+            fits = fit_logits(rows, "replicate", groups, self.propensity_columns, self.spec.treated, F.col("boot_weight"), self.l2)
+            names = [f"__b{k}" for k in range(len(self.propensity_columns) + 1)]
+            rows = rows.join(_coefficients(rows.sparkSession, fits, names), "replicate")
+            eta = sum((F.col(n) * F.col(c).cast("double") for n, c in zip(names[1:], self.propensity_columns)), F.col(names[0]))
+            ps = 1 / (1 + F.exp(-eta))
+            scored = self._weight(rows, ps).drop(*names)
+        else:
+            scored = self._weight(rows, ps)
         return scored.withColumn("boot_weight", F.col("boot_weight") * F.col("iptw")).drop("iptw", "propensity")
 
 
@@ -165,14 +183,14 @@ class MatchingAdjusted(_Estimator):
     def keep_all(self) -> str | None:
         return f"{self.spec.treated} = 0"
 
-    def refits(self) -> bool:
-        return True
-
-    def _replicate_weights(self, rows: DataFrame) -> DataFrame:
-        # multiplicities enter the moments by repeating rows, as whole numbers
-        repeated = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("boot_weight").cast("int")))).drop("__copy")
-        model = fit_maic(repeated, self.spec.treated, self.spec.covariates)
-        return rows.withColumn("boot_weight", F.col("boot_weight") * model.weight(self.spec.treated))
+    def _replicate_weights(self, rows: DataFrame, groups: Sequence[int]) -> DataFrame:
+        scored, fits = fit_moments(rows, "replicate", groups, self.spec.treated, self.spec.covariates, F.col("boot_weight"))
+        p = len(next(iter(fits.values()))[0])
+        names = [f"__b{k}" for k in range(p)]
+        own = F.exp(sum((F.col(n) * F.col(f"x{k}") for k, n in enumerate(names[1:], 1)), F.col(names[0]) * F.col("x0")))
+        weight = F.when(F.col(self.spec.treated) == 1, F.when(own <= 0, LEAST_WEIGHT).otherwise(own)).otherwise(1.0)
+        scored = scored.join(_coefficients(rows.sparkSession, fits, names), "replicate")
+        return scored.withColumn("boot_weight", F.col("boot_weight") * weight).drop(*names, *[f"x{k}" for k in range(p)])
 
 
 class NaiveComparison(_Estimator):

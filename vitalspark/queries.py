@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .cohort import CohortSpec, att_weight, ate_weight, atc_weight, min_max, one_hot, reallocate, signed_time, split_control, split_uniform, violations, zscore
 from .functions.stats import repair_bounds
 from .operators import etl, report
-from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_table
+from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_buckets, time_table
 from .operators.km import center_event_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
 from .operators.logit import fit_logit
 from .operators.maic import fit_maic, maic_targets
@@ -294,7 +294,7 @@ ct AS (SELECT * FROM rt WHERE dw > 0), n0 AS (SELECT DISTINCT {key}CAST(0 AS dou
 @query("cox_iptw", _cox_sql(_ATE) + " SELECT round(beta, 5) AS coef, round(1 / sqrt(h), 5) AS se FROM n10")
 def cox_iptw(spark, sf):
     df, spec = weighted(spark, sf)
-    beta, info, _, _ = fit_binary(time_table(df, spec, F.col("treated")))[None]
+    beta, info, _, _ = fit_binary(time_table(df, spec, F.col("treated"), buckets=time_buckets(df, spec)))[None]
     return rounded(spark.createDataFrame([(beta, info**-0.5)], "coef double, se double"), 5)
 
 
@@ -471,8 +471,7 @@ _REPLICATES = 8
 def _draws_sql(by: str = "") -> str:
     part, key = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
     return C1 + f""", rk AS (SELECT *, row_number() OVER ({part}ORDER BY patient_id) - 1 AS rank, count(*) OVER ({f'PARTITION BY {by}' if by else ''}) AS n FROM c1),
-dx AS (SELECT {key}replicate, n, CAST((rank * 48271 + replicate * 1000003 + 12345) % 2147483647 AS bigint) AS u FROM rk, (SELECT unnest(generate_series(1, {_REPLICATES})) AS replicate)),
-dr AS (SELECT {key}replicate, (((u * u) % 2147483647) * 48271 % 2147483647) % n AS rank FROM dx),
+dr AS (SELECT {key}replicate, CAST('0x' || substr(md5('1:' || replicate || ':0:' || {by + " || ':' || " if by else ""}rank), 1, 13) AS bigint) % n AS rank FROM rk, (SELECT unnest(generate_series(1, {_REPLICATES})) AS replicate)),
 pk AS (SELECT {key}replicate, rank, count(*) AS multiplicity FROM dr GROUP BY {key}replicate, rank),
 mu AS (SELECT CAST(replicate AS int) AS replicate, patient_id, multiplicity, center, time, event, treated, x_lines, ps FROM pk JOIN rk USING ({key}rank))"""
 
@@ -524,6 +523,21 @@ def boot_variance(spark, sf):
     return bootstrap_variance(_boot_estimates(spark, sf), ["coef"]).select(F.round("std_coef", 5).alias("std_coef"), F.round("cov_coef_coef", 6).alias("cov_coef_coef"))
 
 
+#: Replicates that whole estimators are fitted on.
+_FEW = 2
+_BOOT_ROWS = _draws_sql().replace(f"generate_series(1, {_REPLICATES})", f"generate_series(1, {_FEW})") + ", bt AS (SELECT replicate, multiplicity, center, time, event, treated, x_lines, x_bal, x_urgent FROM mu)"
+
+
+@query("boot_adjusted", _BOOT_ROWS.replace("treated, x_lines, ps FROM pk", "treated, x_lines, x_bal, x_urgent, ps FROM pk") + "".join(
+    f", ba{k} AS (SELECT time, CAST(event AS double) AS event, CAST(multiplicity AS double) AS w, CAST(treated AS double) AS x0, x_lines AS x1 FROM bt WHERE replicate = {k})" + unrolled.cox(f"ba{k}", 2, f"b{k}_") for k in (1, 2)
+) + " " + " UNION ALL ".join(f"SELECT {k} AS replicate, round(b0, 4) AS treated, round(b1, 4) AS x_lines FROM b{k}_n9" for k in (1, 2)))
+def boot_adjusted(spark, sf):
+    """Both coefficients of a covariate-adjusted fit in each replicate, all replicates in one aggregation an iteration."""
+    est = CovariateAdjusted(CohortSpec(covariates=("x_lines",)), ties="breslow", variance="bootstrap", replicates=_FEW)
+    found = est.bootstrap(cohort(spark, sf))
+    return rounded(spark.createDataFrame([(k, *map(float, b)) for k, b in sorted(found.items()) if k], "replicate int, treated double, x_lines double"), 4)
+
+
 # ---------------------------------------------------------------- splits, ETL
 
 
