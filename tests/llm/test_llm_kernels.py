@@ -191,15 +191,34 @@ def test_toxic_words_are_learnt():
     assert toxicity.fit(rows.iloc[:0]).score(np.zeros((1, 2))).tolist() == [0.0]
 
 
-def test_windows_share_their_seed():
+def test_runs_share_their_anchor():
     words = near_dedup.Words()
     a, b = "q w e r t y u i o p a s d f g h j k l", "z x c v b n m " + "w e r t y u i o p a s d f" + " m n b v"
-    runs = [substring_dedup.Runs([t], words) for t in (a, b)]
-    both = set(runs[0].hash.tolist()) & set(runs[1].hash.tolist())
-    assert len(both) == 1
-    seeds = [set(r.seed[r.hash == next(iter(both))].tolist()) for r in runs]
-    assert seeds[0] == seeds[1]
-    assert len(substring_dedup.Runs(["too short"], words).hash) == 0 and len(substring_dedup.Runs([], words).hash) == 0
+    own = [substring_dedup.Anchors([t], words) for t in (a, b)]
+    n = substring_dedup.LENGTH
+    runs = [{tuple(x.flat[k : k + n].tolist()): (x.seed[c], o) for k, c, o in zip(x.run.tolist(), x.of.tolist(), x.offset.tolist())} for x in own]
+    (both,) = runs[0].keys() & runs[1].keys()
+    assert runs[0][both] == runs[1][both]
+    assert len(substring_dedup.Anchors(["too short"], words).run) == 0 and len(substring_dedup.Anchors([], words).run) == 0
+
+
+def test_extension_equals_comparing_all_pairs():
+    rng = np.random.default_rng(4)
+    side, n, around = substring_dedup.SIDE, substring_dedup.LENGTH, substring_dedup.AROUND
+    for _ in range(60):
+        rows = int(rng.integers(1, 40))
+        codes = rng.integers(1, 3, (rows, around)).astype(np.uint64)
+        key = rng.integers(0, 3, rows).astype(np.uint64)
+        codes[:, side:n] = (key[:, None] + 1) * 7 if rng.random() < 0.7 else rng.integers(1, 3, (rows, n - side))  # else anchors of one hash differ
+        codes[rng.random(rows) < 0.2, : rng.integers(1, side + 1)] = 0
+        ids = rng.integers(0, 12, rows)
+        want = np.zeros(rows, np.uint8)
+        for i in range(rows):
+            for o in range(side + 1):
+                own = codes[i, side - o : side - o + n]
+                hit = any(key[j] == key[i] and ids[j] < ids[i] and (codes[j, side - o : side - o + n] == own).all() for j in range(rows))
+                want[i] |= int(hit and (own != 0).all()) << o
+        assert (substring_dedup.match(key, ids, codes) == want).all()
 
 
 @pytest.mark.parametrize("text", ["", "a b"])

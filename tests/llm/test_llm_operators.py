@@ -114,9 +114,10 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 41)) and got[102] == 100 and got[201] == 200 and len(got) == 45
 
 
-@pytest.mark.parametrize("pack", [4 << 20, 3000])
-def test_repeats(docs, empty, rows, monkeypatch, pack):
+@pytest.mark.parametrize("pack, hot", [(4 << 20, 1 << 30), (3000, 1 << 30), (3000, 0)])
+def test_repeats(docs, empty, rows, monkeypatch, pack, hot):
     monkeypatch.setattr(substring_dedup, "PACK", pack)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     first, want = {}, []
     order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
     for i, text in ((-1 if r[0] is None else r[0], r[1]) for r in order):
