@@ -1,11 +1,17 @@
-"""A corpus pipeline of five of the training-data operators; each stage works on all that the one before kept."""
+"""A corpus pipeline of five of the training-data operators; each stage works on all that the one before kept.
+
+Defined results: a null text counts as empty and stays unless another empty one does; rows that repeat an id are documents
+of their own; a null id is kept like any other; extra columns go through all stages but the last, whatever their names;
+without labels of both classes no document is toxic, or all are if all labels say so; an empty table gives an
+empty result. Each stage's docstring has its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspark.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from vitalspark.llm.common import materialise, table
+from vitalspark.llm.common import materialise, remove_written, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        began = written()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"pipeline-{name}")
+            remove_written(spark, began, but=1)  # what the stage's result was made of
     return docs

@@ -59,6 +59,52 @@ def test_exact_with_a_null_condition(docs, rows):
     assert len(got) == len(rows) and all((got[k]["keep_id"], got[k]["group_size"]) == (r["keep_id"], r["group_size"]) for k, r in want.items())
 
 
+def test_exact_under_a_key_that_clashes(docs, rows):
+    """Texts that share a key but not their bytes are told apart, as if two had one SHA-256."""
+    weak = lambda text: F.unhex(F.lpad(F.hex(F.length(text) % 3), 4, "0"))
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs, key=weak).collect())
+    want = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == want and len(got) == len(rows)
+
+
+def test_snapshot_is_written_once_and_read_for_each_batch(spark, tmp_path):
+    of = lambda texts, at: exact_dedup._groups(spark.createDataFrame([(k + at, k, t) for k, t in enumerate(texts)], "doc_id long, row_id long, text string").withColumn("digest", exact_dedup.sha256(F.col("text"))))
+    path = str(tmp_path / "snapshot")
+    exact_dedup.write_snapshot(of([f"old {k}" for k in range(500)], 0), path)
+    for batch, n in ((["old 3", "old 3", "new", "old 400"], 2), (["x"], 0), ([], 0)):
+        snap, both = exact_dedup.against_snapshot(of(batch, 1000), path)
+        assert both.count() == n and snap.count() == 500
+    hit = {r["n"] for r in exact_dedup.against_snapshot(of(["old 3", "old 3", "new", "old 400"], 1000), path)[1].collect()}
+    assert hit == {3, 2}
+    nothing = str(tmp_path / "nothing")
+    exact_dedup.write_snapshot(of([], 0), nothing)
+    assert exact_dedup.against_snapshot(of(["x"], 0), nothing)[1].count() == 0
+
+
+def test_near_duplicates_of_all_pairs(spark):
+    """Every pair of texts whose five-word shingles agree by 0.8 or more (Jaccard) is in one class; 1,000 documents, brute force."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path).select("doc_id", "text")
+    shingles = {r["doc_id"]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in df.collect() if len(w := WORD.findall(r["text"] or "")) >= 5}
+    holders = defaultdict(set)
+    for k, own in shingles.items():
+        for s in own:
+            holders[s].add(k)
+    shared = defaultdict(int)
+    for ids in holders.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    shared[a, b] += 1
+    alike = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(shingles[a]) + len(shingles[b]) - n)]
+    by = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert len(alike) > 50 and [p for p in alike if by[p[0]] != by[p[1]]] == []
+
+
 def test_near(docs, empty, rows):
     got = near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()
     assert len(got) == len(rows)
@@ -227,3 +273,53 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(18, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Ties, nulls, repeated rows and clashing columns: without labels nothing is toxic, of equal texts the largest id stays, then the least of each class."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abdeimnorst") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = {k: " ".join(word() for _ in range(rng.randrange(20, 60))) for k in range(30)}
+    texts |= {k: texts[k - 30] for k in range(30, 40)}  # exact copies
+    texts |= {k: " ".join(w if rng.random() > 0.02 else word() for w in base) for k in range(40, 50)}  # near copies
+    texts |= {50: None, 51: "", 52: "same tie", 53: "same tie"}
+    rows = [(k, t, "en", "s" + str(k % 2) if k % 5 else None, None, "clash", k) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __parts string, block int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    for k in sorted(texts):  # the largest id of equal texts
+        kept[texts[k] or ""] = k
+    ids = sorted(kept.values())
+    near = [k for k in ids if 40 <= k < 50]
+    want = {k for k in ids if k not in near[1:]}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__parts", "block"], name
+    names = ("__row", "__n", "__node", "__d", "__own_doc_id", "__id", "__digest", "__lost", "ROW_ID", "__name")
+    clash = spark.createDataFrame([(1, "a b", "s", *"k" * 10), (1, "a b", "s", *"k" * 10), (2, "a b", None, *[None] * 10)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for f in (exact_dedup.keep_one, near_dedup.keep_one, mixing.mixed):
+        assert f(clash).columns == clash.columns and f(clash).count() > 0
+    assert {r["doc_id"] for r in docs.collect()} == want and docs.count() == len(want)
+    sizes = defaultdict(int)
+    for k in want:
+        sizes["s" + str(k % 2) if k % 5 else None] += len(WORD.findall(texts[k] or ""))
+    goal = {s: float(t) for s, t in mixing.targets(sizes).items()}
+    taken = defaultdict(int)
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect()
+    for r in mixed:
+        assert r["doc_id"] in want and r["n_chars"] == len(r["text"])
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(taken[s] - t) <= 1 for s, t in goal.items())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    own = bpe._codec(bpe.default_vocabulary())
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in out) == sorted((r["doc_id"], own.encode(r["text"])) for r in mixed)

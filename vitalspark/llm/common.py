@@ -49,14 +49,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this driver has written in the shared folder and not removed.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, for any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def written() -> int:
+    """A mark for `remove_written`: the number of tables written and not removed so far."""
+    return len(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Remove the tables that were written after a mark, all but the last `but`: for when what needed them is written."""
+    end = len(_WRITTEN) - but
+    for name in _WRITTEN[since:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:end]
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its measured row count times row_bytes keeps the bound, else as it is."""
     most = BROADCAST_BYTES // row_bytes

@@ -7,6 +7,7 @@ byte by byte. Duplicates inside the new batch are grouped on their own.
 
 Skew: a text that a third of the rows share is one digest; it is counted by partial aggregation, filters and
 screening see distinct digests only, and the join back to the rows is a plain equi-join that AQE may split.
+A snapshot and its filters are tables (`write_snapshot`) that every later batch reads again (`against_snapshot`).
 
 Defined results: a null text counts as empty; texts are compared unchanged (no case, space or Unicode
 folding); of equal texts the row with the largest doc_id stays (null ids sort below all others; of rows
@@ -17,17 +18,18 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, maybe_broadcast, shuffle_width, table
+from .common import BROADCAST_BYTES, fresh, materialise, maybe_broadcast, shared_dir, shuffle_width, table
 
 #: Distinct digests a snapshot segment holds on average; a filter of that size takes about 150 KB.
 SEGMENT_KEYS = 120_000
-_ID = "__own_doc_id"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -110,7 +112,7 @@ class FuseFilter:
 
 
 def _keys(digests: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x[:8]) for x in digests), np.uint64)
+    return np.frombuffer(b"".join(bytes(x[:8]).ljust(8, b"\0") for x in digests), np.uint64)
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,28 +144,58 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _stronger(key: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The next key where texts of one key differ: with a SHA-512, and at last the bytes of the text themselves."""
+    return (lambda text: F.concat(sha256(text), F.unhex(F.sha2(text, 512)))) if key is sha256 else (lambda text: F.encode(text, "utf-8"))
+
+
+def write_snapshot(groups: DataFrame, path: str) -> None:
+    """An immutable snapshot: groups(digest, keep, n), and the fuse filter of each of its segments; written once."""
+    groups.write.parquet(f"{path}/digests")
+    stored = groups.sparkSession.read.schema(groups.schema).parquet(f"{path}/digests")
+    segments = max(shuffle_width(groups.sparkSession), stored.count() // SEGMENT_KEYS + 1)
+    build_filters(stored, segments).withColumn("segments", F.lit(segments)).write.parquet(f"{path}/filters")
+
+
+def against_snapshot(batch: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """batch(digest, keep, n) against a written snapshot: its (digest, keep, n), and the digests that both have, with the
+    row that stays of both and the rows of both. A filter rules out most of the others before the join."""
+    spark = batch.sparkSession
+    snap = spark.read.parquet(f"{path}/digests")
+    filters = spark.read.parquet(f"{path}/filters")
+    segments = filters.select(F.coalesce(F.max("segments"), F.lit(1))).first()[0]
+    positive = screen(batch, filters.select("seg", "filter"), segments)
+    old = snap.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+    both = positive.join(batch, "digest").join(old, "digest")
+    return snap, both.select("digest", F.greatest("keep", "old_keep").alias("keep"), (F.col("n") + F.col("old_n")).alias("n"))
+
+
+def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, key: Callable[[Column], Column] = sha256) -> DataFrame:
     """docs(doc_id, text, ...) → one row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     in_snapshot says which rows form the immutable snapshot; by default those whose id has an even crc32. Null is no.
+    key: the digest that texts are grouped by; where texts of one key differ in bytes, all is done with a stronger one.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0 if in_snapshot is None else F.coalesce(in_snapshot, F.lit(False))).alias("old"))
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "old", digest), "digests")
-    snap = materialise(_groups(rows.where("old")), "snapshot")
+    digest = key(F.col("text")).alias("digest")
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "old", digest, *([] if key is sha256 else [sha256(F.col("text")).alias("sha")])), "digests")
+    path = f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(_groups(rows.where("old")), path)
     batch = materialise(_groups(rows.where("not old")), "batch")  # new-batch duplicates are grouped here, apart from the snapshot
-    segments = max(shuffle_width(spark), snap.count() // SEGMENT_KEYS + 1)
-    positive = screen(batch, build_filters(snap, segments), segments)
-    hits = materialise(positive.join(batch, "digest").join(snap.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n")), "digest").select("digest", F.greatest("keep", "old_keep").alias("keep"), (F.col("n") + F.col("old_n")).alias("n")), "hits")
+    snap, both = against_snapshot(batch, path)
+    hits = materialise(both, "hits")
     groups = hits.unionByName(snap.join(hits, "digest", "left_anti")).unionByName(batch.join(hits, "digest", "left_anti"))
     shared = materialise(groups.where("n > 1").select("digest"), "shared")
-    odd = _unequal(docs.select("text", digest), shared)
-    if not odd.isEmpty():  # equal SHA-256 but other bytes: those rows are grouped by the text itself
-        raise ValueError("texts of equal SHA-256 differ in bytes; group them by text")
+    if not _unequal(docs.select("text", digest), shared).isEmpty():  # other bytes under one key
+        return exact_dedup(docs.select("doc_id", "text", "old"), F.col("old"), _stronger(key))
     return rows.join(groups.select("digest", "keep", "n"), "digest").select(
         "row_id", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.lower(F.hex("digest" if key is sha256 else "sha")).alias("text_sha256"),
     )
 
 
@@ -182,13 +214,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = found.where("not kept")
     tied = lost.where("__id <=> keep_id").select("__digest", "__id").distinct()
     gone = maybe_broadcast(lost.where("not (__id <=> keep_id)").select("__digest", "__id"), 48)
-    match = lambda other: (F.col("__d") == other["__digest"]) & F.col(_ID).eqNullSafe(other["__id"])
-    rows = docs.withColumn("__d", digest).withColumn(_ID, F.col("doc_id"))
+    own, id_ = fresh(docs, "__d"), fresh(docs, "__own_doc_id")
+    match = lambda other: (F.col(own) == other["__digest"]) & F.col(id_).eqNullSafe(other["__id"])
+    rows = docs.withColumn(own, digest).withColumn(id_, F.col("doc_id"))
     rows = rows.join(gone, match(gone), "left_anti")
     if not tied.isEmpty():
-        same = rows.join(tied, match(tied), "left_semi").dropDuplicates(["__d", _ID])
+        same = rows.join(tied, match(tied), "left_semi").dropDuplicates([own, id_])
         rows = rows.join(tied, match(tied), "left_anti").unionByName(same)
-    return rows.drop("__d", _ID)
+    return rows.drop(own, id_)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

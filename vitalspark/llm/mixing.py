@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, map_arrow, materialise, shuffle_width, slices, table
+from .common import WORD_PATTERN, fresh, map_arrow, materialise, shuffle_width, slices, table
 
 #: Words a block, slots a shard, rows of an offset bucket on average, buckets of a level, and the largest number of sources.
 BLOCK, SHARD, BUCKET_ROWS, LEVEL, MAX_SOURCES = 256, 1024, 4096, 4096, 65_536
@@ -273,15 +273,16 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A document that an epoch takes whole keeps its text unchanged; else its text is the taken words, in order, joined
     by one space, and n_chars, if there, their code points.
     """
-    tagged = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    rows = materialise(sized(tagged, F.col("__row")), "mix-sizes")
-    parts = Mix(rows, block=block).parts().groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("__parts"))
+    row, cuts = fresh(docs, "__row"), fresh(docs, "__parts")
+    tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    rows = materialise(sized(tagged, F.col(row)), "mix-sizes")
+    parts = Mix(rows, block=block).parts().groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias(cuts))
     names = docs.columns
     n_chars = "n_chars" in names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
-            texts, found = batch.column("text").to_pylist(), batch.column("__parts").to_pylist()
+            texts, found = batch.column("text").to_pylist(), batch.column(cuts).to_pylist()
             at, out = [], []
             for k, (text, parts) in enumerate(zip(texts, found)):
                 words = None
@@ -297,7 +298,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) for t in out]).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    joined = tagged.join(parts.withColumnRenamed("row_id", "__row").hint("merge"), "__row").drop("__row")
+    joined = tagged.join(parts.withColumnRenamed("row_id", row).hint("merge"), row).drop(row)
     return map_arrow(joined, cut, docs.schema)
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, map_arrow, materialise, maybe_broadcast, slices, table
+from .common import WORD_PATTERN, fresh, map_arrow, materialise, maybe_broadcast, slices, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 1, 11
 #: Members and packed bytes of a chunk on average, and the buckets of the two word-count bounds.
@@ -388,9 +388,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the document of least id of each class."""
     lost = near_duplicates(docs).where("not (doc_id <=> class_id and node = first)").select("doc_id", "node").distinct()
     lost = maybe_broadcast(materialise(lost.select(F.col("doc_id").alias("__id"), F.col("node").alias("__lost")), "near-lost"), 96)
-    rows = docs.withColumn("__n", _node())
-    same = (rows["__n"] == lost["__lost"]) & rows["doc_id"].eqNullSafe(lost["__id"])
-    return rows.join(lost, same, "left_anti").drop("__n")
+    node = fresh(docs, "__node")
+    rows = docs.withColumn(node, _node())
+    same = (rows[node] == lost["__lost"]) & rows["doc_id"].eqNullSafe(lost["__id"])
+    return rows.join(lost, same, "left_anti").drop(node)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
