@@ -5,8 +5,9 @@ sufficient lookahead, see `sufficient_lookahead`). A text is fed in pieces of PI
 levels of state. The first finds the borders of added tokens and pre-tokens: what could still change with further input
 (a few characters, or the last unfinished pre-token) is held back. The second gets the bytes of a pre-token and emits
 those tokens that end at least the lookahead before the end of what it holds; a pre-token's end makes all of it stable,
-and no merge crosses a token border of the full result, so what is left is encoded on its own. A pre-token that ends
-within WINDOWS lookaheads is looked up in a table of bounded size first. Neither level holds more than a piece and
+and no merge crosses a token border of the full result, so what is left is encoded on its own. What is held is
+encoded as the one sequence of tokens of which any two neighbours stay apart, which is what merging by rank gives. A
+pre-token that ends within WINDOWS lookaheads is looked up in a table of bounded size first. Neither level holds more than a piece and
 WINDOWS lookaheads, whatever the length of a text, a pre-token or a run of white space. Decoding feeds the bytes of
 the emitted tokens to a UTF-8 state machine that holds at most three pending bytes and writes U+FFFD for what no valid
 sequence can begin. Digests are updated as ids and text come out.
@@ -22,9 +23,10 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
+import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,11 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, table, texts
 
 #: Pre-tokens kept in a worker's table and bytes of the longest one; when full, it is emptied.
-TABLE_SIZE, LONGEST_KEPT = 100_000, 64
+TABLE_SIZE, LONGEST_KEPT = 200_000, 64
 #: Characters fed at a time, and lookaheads that the byte level takes in before it emits.
 PIECE, WINDOWS = 1 << 16, 8
-#: Bytes from which merges are ordered by a heap; the result is the same.
-HEAP = 24
 #: The pre-token pattern of the byte-level vocabulary, and its classes of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CLASSES = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
@@ -108,22 +108,52 @@ class Codec:
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.lookahead = sufficient_lookahead(merges, made, self.size)
         self.window = WINDOWS * max(self.lookahead, max(self.size.values()))
+        self._derive(merges, made)
         self.split = regex.compile(PATTERN)
         self.classes = [regex.compile(c) for c in CLASSES]
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.longest = max(map(len, self.added), default=0)
         self.memo: dict[str, bytes] = {}
 
+    def _derive(self, merges: list[tuple[int, int]], made: list[int]) -> None:
+        """How each token is made, and the table of those that their own bytes encode to; others never come out."""
+        self.rank, self.parts = dict.fromkeys(self.bytes_of, -1), {}
+        self.near: dict[int, bool] = {}  # whether two tokens stay apart
+        several = {t for t, n in Counter(made).items() if n > 1}
+        whole = {self.bytes_of[i]: i for i in self.single if i is not None}
+        for rank, (pair, t) in enumerate(zip(merges, made, strict=True)):
+            if t in several:  # the rule that its own bytes end with
+                several.discard(t)
+                steps: list = []
+                if self._merge(self.bytes_of[t], steps) != [t]:
+                    self.rank.pop(t)
+                    continue
+                rank, pair = steps[-1]
+            elif t in self.parts or t not in self.rank:
+                continue
+            self.rank[t], self.parts[t] = rank, pair
+        for t, (u, v) in sorted(self.parts.items(), key=lambda x: self.rank[x[0]]):
+            if whole.get(self.bytes_of[u]) == u and whole.get(self.bytes_of[v]) == v and self._fits(u, v, self.rank[t]):
+                whole[self.bytes_of[t]] = t
+        self.trie: dict[int, int] = {}  # node and next byte → node
+        self.ends = [-1]  # the token that ends at a node
+        for raw, t in whole.items():
+            node = 0
+            for byte in raw:
+                then = self.trie.setdefault(node << 8 | byte, len(self.ends))
+                if then == len(self.ends):
+                    self.ends.append(-1)
+                node = then
+            self.ends[node] = t
+
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def _merge(self, raw: bytes) -> list[int]:
-        """Apply the merge of lowest rank, leftmost first, until none applies."""
+    def _merge(self, raw: bytes, steps: list | None = None) -> list[int]:
+        """By definition: apply the merge of lowest rank, leftmost first, until none applies; `steps` gets those applied."""
         single, rule = self.single, self.rule
         ids = [single[b] for b in raw]
-        if len(ids) > HEAP:
-            return self._merge_heap(ids)
         found = [rule.get(p) for p in zip(ids, ids[1:])]
         while True:
             best = None
@@ -132,6 +162,8 @@ class Codec:
                     best, at = f, k
             if best is None:
                 return ids
+            if steps is not None:
+                steps.append((best[0], (ids[at], ids[at + 1])))
             ids[at : at + 2] = [best[1]]
             del found[at]
             if at:
@@ -139,26 +171,60 @@ class Codec:
             if at < len(found):
                 found[at] = rule.get((ids[at], ids[at + 1]))
 
-    def _merge_heap(self, ids: list[int]) -> list[int]:
-        """As _merge, with a heap of (rank, place) over a linked list: of one rank the leftmost place comes first."""
-        rule, n = self.rule, len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(f[0], k, f[1], p) for k, p in enumerate(zip(ids, ids[1:])) if (f := rule.get(p))]
-        heapq.heapify(heap)
-        while heap:
-            _, k, token, (a, b) = heapq.heappop(heap)
-            right = after[k]
-            if ids[k] != a or right >= n or ids[right] != b:
-                continue  # one of the two has merged since
-            ids[k], ids[right] = token, -1
-            after[k] = then = after[right]
-            if then < n:
-                before[then] = k
-                if f := rule.get((token, ids[then])):
-                    heapq.heappush(heap, (f[0], k, f[1], (token, ids[then])))
-            if (prior := before[k]) >= 0 and (f := rule.get((ids[prior], token))):
-                heapq.heappush(heap, (f[0], prior, f[1], (ids[prior], token)))
-        return [i for i in ids if i >= 0]
+    def _fits(self, a: int, b: int, limit: float = math.inf) -> bool:
+        """Whether tokens a and b stay apart when they stand next to each other.
+
+        Time runs backwards: the part at the border that was made last is undone, the right one of two of a rank, as the
+        left one merges first. A rule for the two parts then at the border that ranks before the undone one would have
+        taken them.
+        """
+        rule, rank, split = self.rule, self.rank, self.parts
+        while True:
+            found = rule.get((a, b))
+            if found is not None and found[0] < limit:
+                return False
+            if rank[a] > rank[b]:
+                limit, a = rank[a], split[a][1]
+            elif rank[b] < 0:
+                return True
+            else:
+                limit, b = rank[b] + 1, split[b][0]
+
+    def _segment(self, raw: bytes) -> list[int]:
+        """As _merge: the one sequence of tokens of which all neighbours stay apart, tried from the longest tokens on."""
+        step, ends, near, n = self.trie.get, self.ends, self.near, len(raw)
+        ids: list[int] = []
+        tried: list[tuple[int, list]] = []  # where each token starts, and the shorter ones that may stand there
+        dead: set[int] = set()  # places from which nothing follows; the tokens up to a place are unique
+        at = 0
+        while at < n:
+            node, end, options = 0, at, []
+            while end < n and (node := step(node << 8 | raw[end])) is not None:
+                end += 1
+                if (token := ends[node]) >= 0:
+                    options.append((token, end))
+            while True:
+                if not options:
+                    dead.add(at)
+                    ids.pop()
+                    at, options = tried.pop()
+                    continue
+                token, end = options.pop()
+                if end in dead:
+                    continue
+                if ids:
+                    pair = ids[-1] << 32 | token
+                    if (ok := near.get(pair)) is None:
+                        if len(near) >= TABLE_SIZE:
+                            near.clear()
+                        ok = near[pair] = self._fits(ids[-1], token)
+                    if not ok:
+                        continue
+                break
+            ids.append(token)
+            tried.append((at, options))
+            at = end
+        return ids
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[bytes]:
         """Packed ids of one pre-token that arrives in pieces, each as soon as it is stable."""
@@ -172,7 +238,7 @@ class Codec:
         raw = word.encode()
         if len(raw) > self.window:
             return b"".join(self.stream([raw]))
-        out = self._pack(self._merge(raw))
+        out = self._pack(self._segment(raw))
         if len(raw) <= LONGEST_KEPT:
             if len(self.memo) >= TABLE_SIZE:
                 self.memo.clear()
@@ -229,7 +295,7 @@ class Bytes:
             at += take
             if len(self.held) == codec.window:
                 ids, end = [], 0
-                for i in codec._merge(self.held):
+                for i in codec._segment(self.held):
                     if end + codec.size[i] > codec.window - codec.lookahead:
                         break
                     end += codec.size[i]
@@ -239,7 +305,7 @@ class Bytes:
 
     def end(self) -> bytes:
         raw, self.held = self.held, b""
-        return self.codec._pack(self.codec._merge(raw)) if raw else b""
+        return self.codec._pack(self.codec._segment(raw)) if raw else b""
 
 
 class Text:
