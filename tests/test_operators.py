@@ -16,7 +16,7 @@ from vitalspark.operators.maic import fit_maic
 from vitalspark.operators.metrics import concordance
 from vitalspark.operators.moments import arm_moments, centred_from_raw, effective_sample_size, raw_moment, smd
 from vitalspark.operators.newton import weighted_sums
-from vitalspark.operators.privacy import noise_multiplier, spent_epsilon
+from vitalspark.operators.privacy import PrivateState, fit_private_logit, noise_multiplier, spent_epsilon
 from vitalspark.operators.resample import bootstrap_variance, draw_multiplicities, poisson_multiplicities, replicate
 from vitalspark.operators.scan import running, suffix_sum
 from vitalspark.operators.simulate import CoxSimulator, with_categoricals
@@ -281,6 +281,15 @@ def test_privacy_accountant():
     assert noise_multiplier(10.0, 0.01, 0.1, 100) < noise
 
 
+def test_private_fit_goes_on_from_its_state(spark, data, tmp_path):
+    df, _ = data
+    fit = lambda **kw: fit_private_logit(df, ["x1"], "treated", "patient_id", 8.0, 0.01, 1.0, batch=64, updates=2, rounds=4, center="center", **kw)
+    half = fit(until=2)
+    assert not half.converged and half.iterations == 4
+    PrivateState(2, half.coef).save(str(tmp_path / "state.json"))
+    assert fit(state=PrivateState.load(str(tmp_path / "state.json"))).coef == pytest.approx(fit().coef, abs=1e-12)
+
+
 def test_etl(spark):
     index = spark.sql("SELECT 1 AS k, timestamp_ntz'2024-01-10 00:00:00' AS at UNION ALL SELECT 2, timestamp_ntz'2024-01-10 00:00:00'")
     records = spark.sql("SELECT 1 AS k, timestamp_ntz'2024-01-08 00:00:00' AS seen, 5.0 AS v UNION ALL SELECT 1, timestamp_ntz'2024-01-12 00:00:00', 6.0 UNION ALL SELECT 1, timestamp_ntz'2023-01-01 00:00:00', 7.0")

@@ -59,3 +59,58 @@ def test_stream_gives_the_batch_curve(spark, tmp_path):
     got = curve_of_counts(spark.table("counts_test"), ["treated"]).orderBy("treated", "time").collect()
     want = kaplan_meier(df, CohortSpec()).orderBy("treated", "time").collect()
     assert [r["survival"] for r in got] == pytest.approx([r["survival"] for r in want])
+
+
+def _ibm(x):
+    """A number in the transport format's base-16 floating point."""
+    import math
+
+    if x is None:
+        return b"." + bytes(7)
+    if x == 0:
+        return bytes(8)
+    power = math.floor(math.log(abs(x), 16)) + 1
+    fraction = round(abs(x) / 16.0**power * 2**56)
+    if fraction >= 1 << 56:
+        fraction, power = fraction >> 4, power + 1
+    return (((128 if x < 0 else 0) | (power + 64)) << 56 | fraction).to_bytes(8, "big")
+
+
+def _write_xpt(path, names, rows):
+    import struct
+
+    pad = lambda b: b + b" " * (-len(b) % 80)
+    mark = lambda kind, rest: pad(f"HEADER RECORD*******{kind:8}HEADER RECORD!!!!!!!{rest}".encode())
+    own = [f"{'SAS':8}{'SAS':8}{'SASLIB':8}{'9.4':8}{'X64':8}{'':24}{'01JAN20:00:00:00':16}".encode(), pad(b"01JAN20:00:00:00")]
+    out = mark("LIBRARY ", "0" * 30) + b"".join(own) + mark("MEMBER  ", "000000000000000001600000000140") + mark("DSCRPTR ", "0" * 30) + b"".join(own)
+    out += mark("NAMESTR ", f"000000{len(names):04}00000000000000000000")
+    place, strs = 0, b""
+    for k, (name, size) in enumerate(names):
+        strs += struct.pack(">hhhh8s40s8shhh2s8shhl52s", 1 if size == 8 else 2, 0, size, k + 1, f"{name:8}".encode(), b" " * 40, b" " * 8, 0, 0, 0, b"  ", b" " * 8, 0, 0, place, bytes(52))
+        place += size
+    out += pad(strs) + mark("OBS     ", "0" * 30)
+    body = b"".join(b"".join(_ibm(v) if size == 8 else f"{v or '':{size}}".encode() for v, (_, size) in zip(r, names)) for r in rows)
+    with open(path, "wb") as file:
+        file.write(out + pad(body))
+
+
+def test_transport_files(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from vitalspark.sources import xpt
+
+    monkeypatch.setattr(xpt, "CHUNK", 100)
+    names = [("USUBJID", 6), ("AGE", 8), ("SEX", 1), ("BMI", 8)]
+    rows = [(f"P{k:03}", None if k % 7 == 3 else float(k) * 1.25 - 9, "FM"[k % 2], (k - 20) * 1e-3) for k in range(41)]
+    path = str(tmp_path / "dm.xpt")
+    _write_xpt(path, names, rows)
+    want = pd.read_sas(path, format="xport", encoding="ascii")
+    got = xpt.read_xpt(spark, path).orderBy("USUBJID").toPandas()
+    assert list(got.columns) == [n for n, _ in names] and len(got) == len(want) == 41
+    for c in ("AGE", "BMI"):
+        assert ((got[c] - want[c]).abs().fillna(0) < 1e-12).all() and (got[c].isna() == want[c].isna()).all()
+    assert got["SEX"].tolist() == [r[2] for r in rows]
+    two = xpt.read_xpt(spark, [path, path], ["AGE"])
+    assert two.columns == ["AGE"] and two.count() == 82
+    with pytest.raises(ValueError):
+        xpt.layout(__file__)

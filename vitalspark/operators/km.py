@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cohort import CohortSpec
 from ..functions.stats import confidence
 from .cox import time_buckets
-from .scan import running
+from .scan import running, suffix_sum
 
 
 def event_table(df: DataFrame, spec: CohortSpec, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
@@ -26,6 +26,13 @@ def center_event_table(df: DataFrame, spec: CohortSpec, centers: Sequence[str])
     return events.withColumn("events", sum((F.col(f"`{c}`") for c in centers[1:]), F.col(f"`{centers[0]}`")))
 
 
+def center_risk_table(df: DataFrame, spec: CohortSpec, centers: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Each centre's number at risk on the union of all centres' times, and their sum: one pivot and one scan by time."""
+    leaving = df.where(F.col(spec.duration).isNotNull()).groupBy(F.col(spec.duration).alias("time")).pivot(spec.center, list(centers)).agg(F.sum(spec.w)).na.fill(0.0, list(centers))
+    out = suffix_sum(leaving, [], "time", list(centers), time_buckets(df, spec) if buckets is None else buckets)
+    return out.withColumn("at_risk", sum((F.col(f"`{c}`") for c in centers[1:]), F.col(f"`{centers[0]}`")))
+
+
 def survival_curve(events: DataFrame, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
     """S(t) as a running product, Greenwood's sum and variance; the variance is null once everyone at risk has failed."""
     d, n = F.col("events"), F.col("at_risk")

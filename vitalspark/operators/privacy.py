@@ -7,8 +7,10 @@ aggregation of p + 1 sums by centre; parameters live on the driver, a small vect
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,8 +50,29 @@ def noise_multiplier(epsilon: float, delta: float, rate: float, steps: int) -> f
     return high
 
 
-def fit_private_logit(df: DataFrame, features: Sequence[str], label: str, key: str, epsilon: float, delta: float, clip: float, batch: int = 32, updates: int = 20, rounds: int = 5, rate: float = 0.5, center: str | None = None, seed: int = 3) -> LogitModel:
-    """Each round every centre makes `updates` private steps from the shared parameters; the server then averages the
+@dataclass(frozen=True)
+class PrivateState:
+    """What a private fit needs to go on: the rounds done and the shared parameters. Noise and samples follow from the
+    seed and the round, so a fit that stops and goes on equals one that does not, and spends the same budget."""
+
+    round: int
+    coef: tuple[float, ...]
+
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump({"round": self.round, "coef": self.coef}, file)
+
+    @classmethod
+    def load(cls, path: str) -> PrivateState:
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        return cls(own["round"], tuple(own["coef"]))
+
+
+def fit_private_logit(df: DataFrame, features: Sequence[str], label: str, key: str, epsilon: float, delta: float, clip: float, batch: int = 32, updates: int = 20, rounds: int = 5, rate: float = 0.5, center: str | None = None, seed: int = 3, state: PrivateState | None = None, until: int | None = None) -> LogitModel:
+    """state: go on from it; until: stop after so many of the `rounds`, whose number the noise is calibrated for.
+
+    Each round every centre makes `updates` private steps from the shared parameters; the server then averages the
     parameters by rows. Steps number exactly updates * rounds, as the noise is calibrated for. An empty batch moves by
     noise alone. Sampling is a hash of the row's key and the step, so it needs no state."""
     names = [f"x{k}" for k in range(len(features) + 1)]
@@ -57,11 +80,12 @@ def fit_private_logit(df: DataFrame, features: Sequence[str], label: str, key: s
     rows = df.select(F.col(key).alias("key"), site.alias("site"), F.col(label).cast("double").alias("y"), F.lit(1.0).alias("x0"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features, 1)]).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {r["site"]: r["n"] for r in rows.groupBy("site").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a centre
-        rng = np.random.default_rng(seed)
         sample = {s: min(1.0, batch / n) for s, n in sizes.items()}
         noise = {s: noise_multiplier(epsilon, delta, q, updates * rounds) for s, q in sample.items()}
-        shared = np.zeros(len(names))
-        for r in range(rounds):
+        shared = np.array(state.coef) if state else np.zeros(len(names))
+        last = rounds if until is None else min(until, rounds)
+        for r in range(state.round if state else 0, last):
+            rng = np.random.default_rng([seed, r])
             own = {s: shared.copy() for s in sizes}
             for u in range(updates):
                 pick = F.lit(None)
@@ -79,6 +103,6 @@ def fit_private_logit(df: DataFrame, features: Sequence[str], label: str, key: s
                     step = got.get(s, np.zeros(len(names))) + rng.normal(0, noise[s] * clip, len(names))
                     own[s] -= rate * step / (sample[s] * sizes[s])
             shared = sum(own[s] * sizes[s] for s in sorted(sizes)) / sum(sizes.values())
-        return LogitModel(tuple(features), tuple(float(b) for b in shared), updates * rounds, True)
+        return LogitModel(tuple(features), tuple(float(b) for b in shared), updates * last, last == rounds)
     finally:
         rows.unpersist()

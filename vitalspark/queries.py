@@ -14,7 +14,7 @@ from .cohort import CohortSpec, att_weight, ate_weight, atc_weight, min_max, one
 from .functions.stats import repair_bounds
 from .operators import etl, report
 from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_buckets, time_table
-from .operators.km import center_event_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
+from .operators.km import center_event_table, center_risk_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
 from .operators.logit import fit_logit
 from .operators.maic import fit_maic, maic_targets
 from .operators.metrics import accuracy, concordance
@@ -142,6 +142,11 @@ _ARMS = _LONG + """, arm AS (SELECT treated, covariate, count(x) AS n, sum(w) AS
   sum(w * x) / sum(w) AS w_mean, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w)) AS w_var FROM long GROUP BY treated, covariate)"""
 
 
+@query("risk_by_center", C1 + ", e AS (SELECT time, " + ", ".join(f"CAST(sum(CASE WHEN center = '{c}' THEN 1 ELSE 0 END) AS double) AS \"{c}\"" for c in CENTERS) + " FROM c1 GROUP BY time), r AS (SELECT time, " + ", ".join(f'sum("{c}") OVER (ORDER BY time DESC) AS "{c}"' for c in CENTERS) + ' FROM e) SELECT *, ' + " + ".join(f'"{c}"' for c in CENTERS) + " AS at_risk FROM r")
+def risk_by_center(spark, sf):
+    return center_risk_table(cohort(spark, sf), SPEC, CENTERS)
+
+
 @query("moments_by_arm", C1 + _ARMS + " SELECT treated, covariate, n, round(sum_w, 4) AS sum_w, round(sum_w2, 4) AS sum_w2, round(mean, 6) AS mean, round(var, 6) AS var, round(w_mean, 6) AS w_mean, round(w_var, 6) AS w_var FROM arm")
 def moments_by_arm(spark, sf):
     df, spec = weighted(spark, sf)
@@ -602,6 +607,22 @@ def fill_mean_mode(spark, sf):
     return rounded(etl.fill_mean_mode(_holes(spark, sf), ["x_lines"], ["center"]))
 
 
+@query("impute_once", """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 <> 0 AND user_id % 5 <> 0 THEN value END AS value FROM events),
+k AS (SELECT user_id, min(value) AS v FROM e GROUP BY user_id), m AS (SELECT avg(v) AS a FROM k)
+SELECT event_id, user_id, round(coalesce(value, v, a), 6) AS value FROM e JOIN k USING (user_id), m""")
+def impute_once(spark, sf):
+    """Rows that repeat a user take the user's own value, or else the mean of the users."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.when((F.col("event_id") % 3 != 0) & (F.col("user_id") % 5 != 0), F.col("value")).alias("value"))
+    return rounded(etl.impute_once(e, "user_id", ["value"]))
+
+
+@query("overwrite_where", C1 + " SELECT patient_id, CASE WHEN time > 200 THEN 200 ELSE time END AS time, CAST(CASE WHEN time > 200 THEN 0 ELSE event END AS int) AS event FROM c1")
+def overwrite_where(spark, sf):
+    """Administrative censoring: beyond a time, both time and event are overwritten."""
+    df = cohort(spark, sf).select("patient_id", "time", "event")
+    return df.withColumns(etl.overwrite_where(F.col("time") > 200, time=F.lit(200.0), event=F.lit(0)))
+
+
 @query("drop_na", C1 + f", h AS ({_HOLES}) SELECT * FROM h WHERE x_lines IS NOT NULL AND center IS NOT NULL")
 def drop_na(spark, sf):
     return _holes(spark, sf).na.drop()
