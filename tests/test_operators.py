@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitalspark.cohort import CohortSpec, bucket_rank, covariates_of, model_columns, prepare, split_by, split_uniform, violations, zscore
+from vitalspark.cohort import CohortSpec, bucket_rank, covariates_of, in_order, model_columns, prepare, split_by, split_uniform, violations, zscore
 from vitalspark.functions.stats import normal_quantile, soft_abs, two_sided_p, two_sided_p_column
 from vitalspark.operators import etl, report
 from vitalspark.operators.cox import fit_binary, fit_cox, sandwich, time_table
@@ -281,6 +281,17 @@ def test_privacy_accountant():
     assert noise_multiplier(10.0, 0.01, 0.1, 100) < noise
 
 
+def test_trace_order_and_standardized_features(spark, data):
+    df, _ = data
+    fit = fit_cox(df, SPEC, ["x1", "x2"])
+    assert [t[0] for t in fit.trace] == list(range(1, fit.iterations + 1)) and fit.first_converged(1e-7) == fit.iterations and fit.first_converged(0.0) is None
+    assert all(b[1] >= a[1] - 1e-6 for a, b in zip(fit.trace, fit.trace[1:]))
+    got = [(r["time"], r["event"], r["patient_id"]) for r in in_order(df, SPEC).collect()]
+    assert got == sorted(got)
+    x = CoxSimulator(400, 2, seed=4, standardize=True).generate(spark).agg(F.avg("X_0"), F.stddev_pop("X_0"), F.stddev_pop("X_1")).first()
+    assert tuple(x) == pytest.approx((0, 1, 1), abs=1e-9)
+
+
 def test_private_fit_goes_on_from_its_state(spark, data, tmp_path):
     df, _ = data
     fit = lambda **kw: fit_private_logit(df, ["x1"], "treated", "patient_id", 8.0, 0.01, 1.0, batch=64, updates=2, rounds=4, center="center", **kw)

@@ -114,3 +114,14 @@ def test_transport_files(spark, tmp_path, monkeypatch):
     assert two.columns == ["AGE"] and two.count() == 82
     with pytest.raises(ValueError):
         xpt.layout(__file__)
+
+
+def test_grids_and_clinical_checks(spark, tmp_path):
+    grid = spark.createDataFrame([(0.1, 0.67), (1.0, 0.81)], "epsilon double, accuracy double")
+    tables.write_grid(grid, str(tmp_path / "grid"))
+    assert sorted(tuple(r) for r in tables.read_grid(spark, str(tmp_path / "grid"), "epsilon double, accuracy double").collect()) == [(0.1, 0.67), (1.0, 0.81)]
+    raw = spark.createDataFrame([(60.0, "M", 3.0, None, "a"), (None, "F", 4.0, 2.0, "b"), (150.0, "X", 1.0, 1.0, "a"), (30.0, None, 1.0, 1.0, "a")], "age double, sex string, follow double, death double, arm string")
+    bounds, levels = {"age": (0, 120)}, {"sex": ["F", "M"]}
+    assert tuple(tables.clinical_violations(raw, bounds, levels).first()) == (4, 1, 1)
+    out = tables.clinical(raw.where("sex is null or sex <> 'X'"), bounds, levels, "death", "follow", "arm", "a", "c0", impute=True)
+    assert out.where("age is null or sex_M is null").count() == 0 and out.count() == 3

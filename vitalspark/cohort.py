@@ -121,6 +121,11 @@ def zscore(df: DataFrame, columns: Sequence[str], ddof: int = 1, tol: float = 0.
     return df.join(F.broadcast(moments)).withColumns(scaled).drop(*moments.columns)
 
 
+def in_order(df: DataFrame, spec: CohortSpec, *columns: str) -> DataFrame:
+    """Rows by time, then event, or by the columns given; ties by id. A range exchange, so no task holds all rows."""
+    return df.orderBy(*(columns or (spec.duration, spec.event)), spec.id)
+
+
 def placed_in(df: DataFrame, value: Column, cuts: Sequence[float], name: str) -> DataFrame:
     """df with the number (a double) of the range between sorted cuts that a value falls in; null is below all."""
     from pyspark.ml.feature import Bucketizer

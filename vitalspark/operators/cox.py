@@ -35,6 +35,11 @@ class CoxFit:
     converged: bool
     variance: np.ndarray = field(default=None)
     ties: str = "breslow"
+    trace: tuple[tuple[int, float, float], ...] = ()  # iteration, log-likelihood after it, length of its step
+
+    def first_converged(self, tol: float) -> int | None:
+        """The first iteration whose step was shorter than tol."""
+        return next((k for k, _, step in self.trace if step < tol), None)
 
     @property
     def naive_variance(self) -> np.ndarray:
@@ -188,7 +193,7 @@ def fit_cox(df: DataFrame, spec: CohortSpec, columns: Sequence[str], ties: str =
         return scale * sum(l1_ratio * s[0] + (1 - l1_ratio) / 2 * b * b for s, b in zip(soft, beta)), scale * np.array([l1_ratio * s[1] + (1 - l1_ratio) * b for s, b in zip(soft, beta)]), scale * np.diag([l1_ratio * s[2] + (1 - l1_ratio) for s in soft])
 
     try:
-        beta, done, k = np.zeros(p), False, 0
+        beta, done, k, trace = np.zeros(p), False, 0, []
         ll, g, h = problem.step(beta)
         for k in range(1, max_iter + 1):
             value, slope, curve = penalty(beta, k)
@@ -201,13 +206,14 @@ def fit_cox(df: DataFrame, spec: CohortSpec, columns: Sequence[str], ties: str =
                     break
                 scale /= 2
             beta, ll, g, h = new, new_ll, new_g, new_h
-            done = float(np.linalg.norm(scale * move)) < tol
+            trace.append((k, float(ll), float(np.linalg.norm(scale * move))))
+            done = trace[-1][2] < tol
             if done:
                 break
         s = problem.scale
         unscaled = h * np.outer(s, s)
         final = h - penalty(beta, k)[2] if penalizer else h
-        return CoxFit(tuple(columns), beta / s, unscaled, ll + 0.0, k, done, -np.linalg.inv(final) / np.outer(s, s), ties)
+        return CoxFit(tuple(columns), beta / s, unscaled, ll + 0.0, k, done, -np.linalg.inv(final) / np.outer(s, s), ties, tuple(trace))
     finally:
         problem.rows.unpersist()
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cohort import bucket_rank
+from ..cohort import bucket_rank, zscore
 from .newton import dot
 
 
@@ -47,6 +47,7 @@ class CoxSimulator:
     censoring: str = "exponential"  # or random
     censored: float = 0.2
     ties: float = 0.0  # distinct times are fewer than rows by this share of the rows
+    standardize: bool = False  # features by their population mean and deviation
     seed: int = 1
 
     def coefficients(self) -> np.ndarray:
@@ -74,6 +75,8 @@ class CoxSimulator:
         factor, (alpha, beta) = self._features(), self.coefficients()
         g = [F.col(f"__g{k}") for k in range(self.p)]
         df = df.withColumns({f"X_{i}": dot(g[: i + 1], factor[i, : i + 1]) for i in range(self.p)})
+        if self.standardize:
+            df = zscore(df, [f"X_{i}" for i in range(self.p)], ddof=0)
         x = [F.col(f"X_{i}") for i in range(self.p)]
         score = 1 / (1 + F.exp(-dot(x, alpha) / F.lit(float(self.overlap)))) if self.propensity == "linear" else F.lit(self.share)
         df = df.withColumn("propensity_scores", score)

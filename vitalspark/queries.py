@@ -24,7 +24,7 @@ from .operators.resample import bootstrap_variance, draw_multiplicities, replica
 from .operators.simulate import CoxSimulator
 from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
-from .sources.tables import COHORT_SQL, COVARIATES, cohort, fingerprint, table
+from .sources.tables import COHORT_SQL, COVARIATES, clinical_violations, cohort, fingerprint, left_join_all, table
 
 SPEC = CohortSpec(covariates=COVARIATES)
 CENTERS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -543,6 +543,23 @@ def boot_adjusted(spark, sf):
     return rounded(spark.createDataFrame([(k, *map(float, b)) for k, b in sorted(found.items()) if k], "replicate int, treated double, x_lines double"), 4)
 
 
+def _boot_iptw_sql() -> str:
+    """Both models on the repeated rows of each replicate: a row drawn twice is two tied rows."""
+    out = _BOOT_ROWS.replace("treated, x_lines, ps FROM pk", "treated, x_lines, x_bal, x_urgent, ps FROM pk")
+    for k in range(1, _FEW + 1):
+        out += f", bc{k} AS (SELECT time, CAST(event AS double) AS event, CAST(treated AS double) AS y, CAST(1 AS double) AS x0, x_lines AS x1, unnest(generate_series(1, multiplicity)) AS copy FROM bt WHERE replicate = {k})"
+        out += unrolled.logit(f"bc{k}", 2, f"l{k}_") + f", bw{k} AS (SELECT time, event, y / p + (1 - y) / (1 - p) AS w, y AS x0 FROM (SELECT *, 1 / (1 + exp(-(b0 * x0 + b1 * x1))) AS p FROM bc{k}, l{k}_n9))"
+        out += unrolled.cox(f"bw{k}", 1, f"c{k}_", efron=True)
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS replicate, round(b0, 4) AS treated FROM c{k}_n9" for k in range(1, _FEW + 1))
+
+
+@query("boot_pooled_iptw", _boot_iptw_sql())
+def boot_pooled_iptw(spark, sf):
+    """The pooled baseline in each replicate: propensities, weights and Efron's ties fitted anew, all replicates at once."""
+    found = PooledIPTW(CohortSpec(covariates=("x_lines",)), variance="bootstrap", replicates=_FEW).bootstrap(cohort(spark, sf))
+    return rounded(spark.createDataFrame([(k, float(b[0])) for k, b in sorted(found.items()) if k], "replicate int, treated double"), 4)
+
+
 # ---------------------------------------------------------------- splits, ETL
 
 
@@ -616,6 +633,18 @@ def impute_once(spark, sf):
     return rounded(etl.impute_once(e, "user_id", ["value"]))
 
 
+@query("patient_tables", C1 + " SELECT c1.patient_id, n_late, big FROM c1 LEFT JOIN (SELECT l_orderkey AS patient_id, count(*) AS n_late FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) USING (patient_id) LEFT JOIN (SELECT o_orderkey AS patient_id, o_totalprice > 200000 AS big FROM orders WHERE o_orderpriority = '1-URGENT') USING (patient_id)")
+def patient_tables(spark, sf):
+    late = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("patient_id")).agg(F.count(F.lit(1)).alias("n_late"))
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("patient_id"), (F.col("o_totalprice") > 200000).alias("big"))
+    return left_join_all(cohort(spark, sf).select("patient_id"), "patient_id", late, urgent)
+
+
+@query("clinical_checks", C1 + " SELECT count(*) AS n_rows, count(*) FILTER (x_lines > 6) AS x_lines, count(*) FILTER (center NOT IN ('ASIA', 'EUROPE')) AS center FROM c1")
+def clinical_checks(spark, sf):
+    return clinical_violations(cohort(spark, sf), {"x_lines": (1, 6)}, {"center": ["ASIA", "EUROPE"]})
+
+
 @query("overwrite_where", C1 + " SELECT patient_id, CASE WHEN time > 200 THEN 200 ELSE time END AS time, CAST(CASE WHEN time > 200 THEN 0 ELSE event END AS int) AS event FROM c1")
 def overwrite_where(spark, sf):
     """Administrative censoring: beyond a time, both time and event are overwritten."""

@@ -85,14 +85,39 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def clinical(df: DataFrame, bounds: dict[str, tuple[float, float]], levels: dict[str, Sequence], death: str, followup: str, arm: str, active: str, center: str) -> DataFrame:
+def write_grid(df: DataFrame, path: str) -> None:
+    """A small result grid as CSV with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_grid(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+def left_join_all(base: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """A patient table with the columns of other tables of one row a key, each by a left join: no patient is lost."""
+    for other in others:
+        base = base.join(other, key, "left")
+    return base
+
+
+def clinical_violations(df: DataFrame, bounds: dict[str, tuple[float, float]], levels: dict[str, Sequence]) -> DataFrame:
+    """One row: for each column the number of values outside its bounds or its levels; nulls are none."""
+    rules = {c: (F.col(f"`{c}`") < low) | (F.col(f"`{c}`") > high) for c, (low, high) in bounds.items()} | {c: ~F.col(f"`{c}`").isin(*own) for c, own in levels.items()}
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(rule).alias(c) for c, rule in rules.items()])
+
+
+def clinical(df: DataFrame, bounds: dict[str, tuple[float, float]], levels: dict[str, Sequence], death: str, followup: str, arm: str, active: str, center: str, impute: bool = False) -> DataFrame:
     """A raw clinical table as a cohort: event from the death time, treatment from the arm's name, scaled and one-hot
-    columns. The column set must be exactly what the arguments name."""
+    columns. The column set must be exactly what the arguments name. With impute, missing covariates are means and modes."""
     from ..cohort import min_max, one_hot
+    from ..operators.etl import fill_mean_mode
 
     wanted = {*bounds, *levels, death, followup, arm}
     if set(df.columns) != wanted:
         raise ValueError(f"columns differ: missing {sorted(wanted - set(df.columns))}, unknown {sorted(set(df.columns) - wanted)}")
+    if impute:
+        df = fill_mean_mode(df, list(bounds), list(levels))
     scaled = [min_max(f"`{c}`", *b).alias(c) for c, b in bounds.items()]
     hot = [col.alias(n) for c, own in levels.items() for n, col in one_hot(c, own).items()]
     return df.select(F.col(f"`{followup}`").cast("double").alias("time"), F.col(f"`{death}`").isNotNull().cast("int").alias("event"), (F.col(f"`{arm}`") == active).cast("int").alias("treated"), *scaled, *hot, F.lit(center).alias("center"))
