@@ -6,6 +6,9 @@ matches with a probability that falls with edits and with reordering. ROWS compo
 share a key are candidates. Candidates are verified by a banded bit-parallel alignment of their words: a link is
 1 - distance / longer length >= SIMILARITY. Links are closed to classes by label propagation with shortcuts.
 
+Words are compared by 40-bit hashes: two different words of one hash count as equal, once in 10^12 comparisons. Alignments
+of long texts keep masks of the band only, so their memory grows with the text and not with its square.
+
 Candidates: the members of a key are compared with its least member first, and the links found are closed to classes.
 A key whose members are then of one class is done, so a group of near copies of any size costs one comparison a member.
 In every other key all pairs of members of different classes are compared, those that passed as well as those that
