@@ -168,6 +168,31 @@ def test_sandwich_equals_brute_force(data):
     assert np.allclose(sandwich(df, spec, ["treated", "x1"], fit), v @ (phi.T @ phi) @ v, rtol=1e-6)
 
 
+@pytest.mark.parametrize("distinct", [3, 8, 10_000])
+def test_sandwich_of_tied_events_equals_brute_force(spark, distinct):
+    """Efron's residuals, term by term of each tied time, with few, some and no ties."""
+    rng = np.random.default_rng(distinct)
+    n = 120
+    t, e, w = np.ceil(rng.random(n) * distinct), (rng.random(n) < 0.6).astype(int), rng.uniform(0.3, 3, n)
+    x = np.stack([rng.integers(0, 2, n), rng.standard_normal(n)], 1).astype(float)
+    rows = [(int(k), float(a), int(b), float(c), *map(float, v)) for k, (a, b, c, v) in enumerate(zip(t, e, w, x))]
+    df = spark.createDataFrame([*rows, (900, 1.0, 1, 0.0, 1.0, 1.0), (901, None, 1, 1.0, 1.0, 1.0)], "patient_id long, time double, event int, w double, x0 double, x1 double")
+    spec = CohortSpec().weighted("w")
+    fit = fit_cox(df, spec, ["x0", "x1"], ties="efron")
+    r, phi = np.exp(x @ fit.beta), np.zeros_like(x)
+    for time in np.unique(t[e == 1]):
+        risk, tied = t >= time, (t == time) & (e == 1)
+        m, dw = tied.sum(), w[tied].sum()
+        for k in range(m):
+            left = w * r * np.where(tied, 1 - k / m, risk)  # tied ones count by their part in this term
+            mean, hazard = left @ x / left.sum(), dw / m / left.sum()
+            phi -= (r * np.where(tied, 1 - k / m, risk) * hazard)[:, None] * (x - mean)
+            phi += (tied / m)[:, None] * (x - mean)
+    phi *= w[:, None]
+    v = np.linalg.inv(-fit.hessian)
+    assert np.allclose(sandwich(df, spec, ["x0", "x1"], fit), v @ (phi.T @ phi) @ v, rtol=1e-6)
+
+
 def test_elastic_net_shrinks(data):
     df, _ = data
     free, held = fit_cox(df, SPEC, ["treated", "x1"]), fit_cox(df, SPEC, ["treated", "x1"], penalizer=0.5, l1_ratio=0.0)

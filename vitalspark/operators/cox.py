@@ -7,7 +7,6 @@ step is one Spark job over cached rows or, for a binary treatment, over the tabl
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from ..cohort import CohortSpec
 from ..functions.stats import normal_quantile, soft_abs, two_sided_p
 from .newton import dot, safe_offset, symmetric, triangle
-from .scan import auto_buckets, running, suffix_sum
+from .scan import auto_buckets, running, sized, suffix_sum
 
 #: Rows of a table by time that the driver takes to iterate on; larger ones stay in Spark.
 DRIVER_ROWS = 50_000
@@ -65,20 +64,20 @@ def summary_rows(names: Sequence[str], beta: np.ndarray, variance: np.ndarray, a
 SUMMARY_SCHEMA = "covariate string, coef double, exp_coef double, se double, ci_low double, ci_high double, exp_low double, exp_high double, cmp_to double, z double, p double, minus_log2_p double"
 
 
-def time_table(df: DataFrame, spec: CohortSpec, x: Column, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
-    """(by..., time, r0, r1, dw, dwx): weights at risk with x = 0 and 1, weighted events, of them those with x = 1."""
+def time_table(df: DataFrame, spec: CohortSpec, x: Column, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """(by..., time, r0, r1, dw, dwx): weights at risk with x = 0 and 1, weighted events, of them those with x = 1.
+
+    Without a number of buckets the distinct times are counted on the aggregated table.
+    """
     w, e = spec.w, F.col(spec.event)
     at = df.groupBy(*by, F.col(spec.duration).cast("double").alias("time")).agg(
         F.sum(F.when(x == 0, w).otherwise(0.0)).alias("r0"), F.sum(F.when(x == 1, w).otherwise(0.0)).alias("r1"),
         F.sum(w * e).alias("dw"), F.sum(w * e * x).alias("dwx"))
+    if buckets is None:
+        at, buckets = sized(at)
     return suffix_sum(at, list(by), "time", ["r0", "r1"], buckets).where(F.col("dw") > 0)
 
 
-def time_buckets(df: DataFrame, spec: CohortSpec) -> int:
-    """Buckets for scans by time, from the number of distinct times: one for a million or fewer."""
-    return auto_buckets(df.agg(F.approx_count_distinct(spec.duration)).first()[0])
-
-
 def fit_binary(table: DataFrame, by: str | None = None, max_iter: int = 50, tol: float = 1e-9) -> dict:
     """{group: (beta, information, log-likelihood, iterations)} from a `time_table`; one group None without by.
 
@@ -219,34 +218,56 @@ def fit_cox(df: DataFrame, spec: CohortSpec, columns: Sequence[str], ties: str =
 
 
 def sandwich(df: DataFrame, spec: CohortSpec, columns: Sequence[str], fit: CoxFit) -> np.ndarray:
-    """Robust variance V Q V, Q the Gram matrix of the weighted score residuals.
+    """Robust variance V Q V, Q the Gram matrix of the weighted score residuals, with the ties of the fit.
 
-    Residuals are those of Breslow's ties. For a fit with Efron's ties they are an approximation, good where few events
-    share a time, and the caller is warned.
+    With Breslow's ties running sums A = sum of dw / s0 and B = sum of dw s1 / s0^2 over event times up to a row's time turn
+    the double sum over patients and event times into one join by time with a table of distinct times.
 
-    Running sums A = sum of dw / s0 and B = sum of dw s1 / s0^2 over event times up to a row's time turn the double sum
-    over patients and event times into one join by time with a table of distinct times.
+    With Efron's ties a time with m events has m terms, term k with the part k / m of the tied events taken out of the risk
+    set. A and B are then sums over all terms, for those who only are at risk. The time's own events count in term k by
+    1 - k / m alone, and their mean covariate is that of the m terms; both are sums by time, joined like A and B.
     """
-    if fit.ties == "efron":
-        warnings.warn("robust variance of an Efron fit from Breslow's residuals", stacklevel=2)
-    p = len(columns)
+    p, efron = len(columns), fit.ties == "efron"
     x = [F.col(f"x{k}") for k in range(p)]
     rows = df.select(F.col(spec.duration).cast("double").alias("t"), F.col(spec.event).cast("double").alias("e"), spec.w.alias("w"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
     ends = rows.agg(*[f(c) for f in (F.min, F.max) for c in x]).first()
     offset = safe_offset(fit.beta, (np.array(ends[:p], float), np.array(ends[p:], float))) if p and ends[0] is not None else 0.0
-    rows = rows.withColumn("r", F.exp(dot(x, fit.beta, -offset)))
+    rows = rows.where("w > 0").withColumn("r", F.exp(dot(x, fit.beta, -offset)))
     try:
-        w = F.col("w")
-        at = rows.groupBy("t").agg(F.sum(w * F.col("r")).alias("s0"), *[F.sum(w * F.col("r") * x[i]).alias(f"s1_{i}") for i in range(p)], F.sum(w * F.col("e")).alias("dw"))
-        buckets = auto_buckets(rows.agg(F.approx_count_distinct("t")).first()[0])
-        risk = suffix_sum(at, [], "t", ["s0", *[f"s1_{i}" for i in range(p)]], buckets)
-        sums = {"A": F.col("dw") / F.col("s0")} | {f"B_{i}": F.col("dw") * F.col(f"s1_{i}") / (F.col("s0") * F.col("s0")) for i in range(p)}
-        times = running(risk, [], "t", sums, buckets=buckets).select("t", "s0", *[f"s1_{i}" for i in range(p)], *sums)
+        w, e = F.col("w"), F.col("e")
+        risk_sums = {"s0": w * F.col("r")} | {f"s1_{i}": w * F.col("r") * x[i] for i in range(p)}
+        tied = {f"e{n[1:]}": c * e for n, c in risk_sums.items()} | {"n_events": e} if efron else {}
+        at = rows.groupBy("t").agg(F.sum(w * e).alias("dw"), *[F.sum(c).alias(n) for n, c in (risk_sums | tied).items()])
+        at, buckets = sized(at)
+        risk = suffix_sum(at, [], "t", list(risk_sums), buckets)
+        if efron:
+            risk = _efron_terms(risk, p)
+        else:
+            risk = risk.withColumns({"a": F.col("dw") / F.col("s0")} | {f"b_{i}": F.col("dw") * F.col(f"s1_{i}") / (F.col("s0") * F.col("s0")) for i in range(p)} | {f"m_{i}": F.col(f"s1_{i}") / F.col("s0") for i in range(p)})
+        over = {"A": F.col("a")} | {f"B_{i}": F.col(f"b_{i}") for i in range(p)}
+        own = ["over_a", *[f"over_b_{i}" for i in range(p)]] if efron else []  # what the time's own events are spared of
+        times = running(risk, [], "t", over, buckets=buckets).select("t", *[f"m_{i}" for i in range(p)], *over, *own)
         joined = rows.join(times, "t")
-        phi = {f"phi{i}": w * (F.col("e") * (x[i] - F.col(f"s1_{i}") / F.col("s0")) - F.col("r") * (F.col("A") * x[i] - F.col(f"B_{i}"))) for i in range(p)}
+        hazard = lambda name, less: F.col(name) - e * F.col(less) if efron else F.col(name)
+        phi = {f"phi{i}": w * (e * (x[i] - F.col(f"m_{i}")) - F.col("r") * (hazard("A", "over_a") * x[i] - hazard(f"B_{i}", f"over_b_{i}"))) for i in range(p)}
         scored = joined.withColumns(phi)
         row = scored.agg(*[F.sum(F.col(f"phi{i}") * F.col(f"phi{j}")).alias(f"q{k}") for k, (i, j) in enumerate(triangle(p))]).first()
+        at.unpersist()
         v = fit.naive_variance
         return v @ symmetric([float(q) for q in row], p) @ v
     finally:
         rows.unpersist()
+
+
+def _efron_terms(risk: DataFrame, p: int) -> DataFrame:
+    """Of a table by time with s0, s1_i of those at risk and e0, e1_i of the events: the sums over the terms of hazard (a)
+    and hazard by mean (b_i), the parts of these that the events are spared of, and the mean of the terms' means (m_i)."""
+    term = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_events").cast("int") - 1, F.lit(0))))
+    terms = risk.withColumn("k", term).withColumn("part", F.when(F.col("n_events") > 0, F.col("k") / F.col("n_events")).otherwise(0.0))
+    s0 = F.col("s0") - F.col("part") * F.col("e0")
+    terms = terms.withColumns({"h": F.when(F.col("n_events") > 0, F.col("dw") / F.col("n_events") / s0).otherwise(0.0)} | {f"m{i}": (F.col(f"s1_{i}") - F.col("part") * F.col(f"e1_{i}")) / s0 for i in range(p)})
+    sums = [F.sum("h").alias("a"), F.sum(F.col("h") * F.col("part")).alias("over_a")]
+    for i in range(p):
+        m = F.col(f"m{i}")
+        sums += [F.sum(F.col("h") * m).alias(f"b_{i}"), F.sum(F.col("h") * F.col("part") * m).alias(f"over_b_{i}"), F.avg(m).alias(f"m_{i}")]
+    return terms.groupBy("t").agg(*sums)

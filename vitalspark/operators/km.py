@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from ..cohort import CohortSpec
 from ..functions.stats import confidence
-from .cox import time_buckets
-from .scan import running, suffix_sum
+from .scan import running, sized, suffix_sum
 
 
-def event_table(df: DataFrame, spec: CohortSpec, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
-    """(by..., time, at_risk, events): weighted counts at each distinct time; one partial aggregation, one scan."""
+def time_counts(df: DataFrame, spec: CohortSpec, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., time, leaving, events): weighted counts at each distinct time, one partial aggregation."""
     w = spec.w
-    counts = df.where(F.col(spec.duration).isNotNull()).groupBy(*by, F.col(spec.duration).alias("time")).agg(F.sum(w).alias("leaving"), F.sum(w * F.col(spec.event)).alias("events"))
+    return df.where(F.col(spec.duration).isNotNull()).groupBy(*by, F.col(spec.duration).alias("time")).agg(F.sum(w).alias("leaving"), F.sum(w * F.col(spec.event)).alias("events"))
+
+
+def event_table(df: DataFrame, spec: CohortSpec, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
+    """(by..., time, at_risk, events): weighted counts at each distinct time and of those at risk; one scan."""
+    return _at_risk(time_counts(df, spec, by), by, buckets)
+
+
+def _at_risk(counts: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
     return running(counts, list(by), "time", {"at_risk": F.col("leaving")}, descending=True, buckets=buckets).select(*by, "time", "at_risk", "events")
 
 
@@ -29,7 +36,8 @@ def center_event_table(df: DataFrame, spec: CohortSpec, centers: Sequence[str])
 def center_risk_table(df: DataFrame, spec: CohortSpec, centers: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Each centre's number at risk on the union of all centres' times, and their sum: one pivot and one scan by time."""
     leaving = df.where(F.col(spec.duration).isNotNull()).groupBy(F.col(spec.duration).alias("time")).pivot(spec.center, list(centers)).agg(F.sum(spec.w)).na.fill(0.0, list(centers))
-    out = suffix_sum(leaving, [], "time", list(centers), time_buckets(df, spec) if buckets is None else buckets)
+    leaving, buckets = sized(leaving) if buckets is None else (leaving, buckets)
+    out = suffix_sum(leaving, [], "time", list(centers), buckets)
     return out.withColumn("at_risk", sum((F.col(f"`{c}`") for c in centers[1:]), F.col(f"`{centers[0]}`")))
 
 
@@ -67,8 +75,9 @@ def regular_grid(curve: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFr
 def kaplan_meier(df: DataFrame, spec: CohortSpec, by: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Weighted curves, by arm unless told otherwise; centres need no separate step because sums merge.
 
-    Without a number of buckets, distinct times are counted first: beyond a million, no arm is scanned in one task.
+    Without a number of buckets, distinct times are counted on the aggregated table: beyond a million, no arm is scanned in
+    one task.
     """
     by = [spec.treated] if by is None else list(by)
-    buckets = time_buckets(df, spec) if buckets is None else buckets
-    return survival_curve(event_table(df, spec, by, buckets), by, buckets)
+    counts, buckets = sized(time_counts(df, spec, by)) if buckets is None else (time_counts(df, spec, by), buckets)
+    return survival_curve(_at_risk(counts, by, buckets), by, buckets)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..cohort import placed_in
 
@@ -22,6 +23,13 @@ def auto_buckets(rows: int) -> int:
     return 1 if rows <= ONE_LEVEL_ROWS else -(-rows // BUCKET_ROWS)
 
 
+def sized(at: DataFrame) -> tuple[DataFrame, int]:
+    """A table that is aggregated by time, cached until the caller clears the cache, and the buckets to scan it in: the rows
+    below it are read once, for the count and for the scan."""
+    at = at.persist(StorageLevel.MEMORY_AND_DISK)
+    return at, auto_buckets(at.count())
+
+
 def _frame(keys: Sequence[str], order: str, descending: bool, exclusive: bool = False):
     by = F.col(order).desc() if descending else F.col(order).asc()
     w = Window.partitionBy(*keys).orderBy(by)

@@ -113,3 +113,22 @@ def summary(name: str, covariates: Sequence[str], steps: int = 9, digits: int =
         cols = [r(f"b{i}", "coef"), r(f"exp(b{i})", "exp_coef"), r(se, "se"), r(low, "ci_low"), r(high, "ci_high"), r(f"exp({low})", "exp_low"), r(f"exp({high})", "exp_high"), r(f"b{i} / {se}", "z")]
         rows.append(f"SELECT '{c}' AS covariate, {', '.join(cols)} FROM {name}n{steps}")
     return " UNION ALL ".join(rows)
+
+
+def efron_scores(rows: str, p: int, name: str, steps: int = 9) -> str:
+    """The weighted score residuals of a Cox fit with Efron's ties, in columns f{i} of CTE {name}phi, a row each."""
+    names = ["s0", *[f"s1_{i}" for i in range(p)]]
+    values = ["w * r", *[f"w * r * x{i}" for i in range(p)]]
+    out = _cte(f"{name}p", f"SELECT *, exp({_dot(p)}) AS r FROM {rows}, {name}n{steps}")
+    cols = [f"sum({v}) AS {n}" for n, v in zip(names, values)] + [f"sum(event * {v}) AS e_{n}" for n, v in zip(names, values)]
+    out += _cte(f"{name}q", f"SELECT time, sum(w * event) AS dw, sum(event) AS m, {', '.join(cols)} FROM {name}p GROUP BY time")
+    out += _cte(f"{name}r", f"SELECT time, dw, m, {', '.join(f'sum({n}) OVER (ORDER BY time DESC) AS {n}, e_{n}' for n in names)} FROM {name}q")
+    out += _cte(f"{name}l", f"SELECT *, unnest(generate_series(0, CAST(m AS bigint) - 1)) / m AS part FROM {name}r WHERE m > 0")
+    out += _cte(f"{name}h", f"SELECT time, part, dw / m / (s0 - part * e_s0) AS h, {', '.join(f'(s1_{i} - part * e_s1_{i}) / (s0 - part * e_s0) AS m{i}' for i in range(p))} FROM {name}l")
+    cols = [f"sum(h * m{i}) AS b{i}, sum(h * part * m{i}) AS ob{i}, avg(m{i}) AS mean{i}" for i in range(p)]
+    out += _cte(f"{name}s", f"SELECT time, sum(h) AS a, sum(h * part) AS oa, {', '.join(cols)} FROM {name}h GROUP BY time")
+    zero = lambda c: f"coalesce({c}, 0)"
+    cols = [f"sum({zero(f'b{i}')}) OVER (ORDER BY time) AS cb{i}, {zero(f'ob{i}')} AS ob{i}, {zero(f'mean{i}')} AS mean{i}" for i in range(p)]
+    out += _cte(f"{name}c", f"SELECT time, sum({zero('a')}) OVER (ORDER BY time) AS ca, {zero('oa')} AS oa, {', '.join(cols)} FROM {name}q LEFT JOIN {name}s USING (time)")
+    cols = [f"w * (event * (x{i} - mean{i}) - r * ((ca - event * oa) * x{i} - (cb{i} - event * ob{i}))) AS f{i}" for i in range(p)]
+    return out + _cte(f"{name}phi", f"SELECT {', '.join(cols)} FROM {name}p JOIN {name}c USING (time)")

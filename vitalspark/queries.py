@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .cohort import CohortSpec, att_weight, ate_weight, atc_weight, min_max, one_hot, reallocate, signed_time, split_control, split_uniform, violations, zscore
 from .functions.stats import repair_bounds
 from .operators import etl, report
-from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_buckets, time_table
+from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_table
 from .operators.km import center_event_table, center_risk_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
 from .operators.logit import fit_logit
 from .operators.maic import fit_maic, maic_targets
@@ -299,7 +299,7 @@ ct AS (SELECT * FROM rt WHERE dw > 0), n0 AS (SELECT DISTINCT {key}CAST(0 AS dou
 @query("cox_iptw", _cox_sql(_ATE) + " SELECT round(beta, 5) AS coef, round(1 / sqrt(h), 5) AS se FROM n10")
 def cox_iptw(spark, sf):
     df, spec = weighted(spark, sf)
-    beta, info, _, _ = fit_binary(time_table(df, spec, F.col("treated"), buckets=time_buckets(df, spec)))[None]
+    beta, info, _, _ = fit_binary(time_table(df, spec, F.col("treated")))[None]
     return rounded(spark.createDataFrame([(beta, info**-0.5)], "coef double, se double"), 5)
 
 
@@ -387,6 +387,19 @@ def cox_efron(spark, sf):
     return _fit_rows(spark, fit_cox(cohort(spark, sf), SPEC, ["treated"], ties="efron"))
 
 
+#: Robust errors of an Efron fit of two columns under weights: V Q V by hand.
+_EFRON2 = C1 + f", e2 AS (SELECT time, CAST(event AS double) AS event, {_ATE} AS w, CAST(treated AS double) AS x0, CAST(x_lines AS double) AS x1 FROM c1)" + unrolled.cox("e2", 2, "r", efron=True) + unrolled.efron_scores("e2", 2, "r")
+_EFRON2 += ", qq AS (SELECT sum(f0 * f0) AS q00, sum(f0 * f1) AS q01, sum(f1 * f1) AS q11 FROM rphi)"
+
+
+@query("sandwich_efron", _EFRON2 + " " + " UNION ALL ".join(f"SELECT '{c}' AS covariate, round(b{k}, 4) AS coef, round(sqrt(v{k}_0 * v{k}_0 * q00 + 2 * v{k}_0 * v{k}_1 * q01 + v{k}_1 * v{k}_1 * q11), 5) AS robust_se FROM rn9, qq" for k, c in enumerate(("treated", "x_lines"))))
+def sandwich_efron(spark, sf):
+    df, spec = weighted(spark, sf)
+    fit = fit_cox(df, spec, ["treated", "x_lines"], ties="efron")
+    robust = sandwich(df, spec, fit.columns, fit)
+    return spark.createDataFrame([(c, round(float(b), 4), round(float(v) ** 0.5, 5)) for c, b, v in zip(fit.columns, fit.beta, robust.diagonal())], "covariate string, coef double, robust_se double")
+
+
 @query("naive_comparison", _EFRON1 + " " + unrolled.summary("e", ["treated"]))
 def naive_comparison(spark, sf):
     return _summary(NaiveComparison(SPEC).fit(cohort(spark, sf)).summary)
