@@ -175,20 +175,27 @@ def test_marginals_equal_the_plain_recursion():
         at += n
 
 
-def test_toxic_words_are_learnt():
-    import pandas as pd
-
+def test_toxic_words_are_learnt(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choice("aeinort") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
     make = lambda bad: " ".join(rng.choice(plain) if not bad or rng.random() > 0.1 else rng.choice(["vilezz", "grubbox"]) + rng.choice(["", "en", "er"]) for _ in range(40))
-    rows = pd.DataFrame([(make(k % 4 == 0), int(k % 4 == 0)) for k in range(400)], columns=["text", "toxic"])
-    model = toxicity.fit(rows.iloc[:300])
-    p = model.score(model.documents(rows["text"].iloc[300:].tolist())[0])
-    assert ((p >= 0.5) == (rows["toxic"].iloc[300:] == 1)).mean() > 0.95
+    rows = [(k, make(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows[:300], "key long, text string, toxic int")
+    model = toxicity.fit(df)
+    p = model.score(model.documents([r[1] for r in rows[300:]])[0])
+    assert ((p >= 0.5) == np.array([r[2] == 1 for r in rows[300:]])).mean() > 0.95
+    again = toxicity.fit(df.repartition(7))
+    assert np.array_equal(again.weights, model.weights) and np.allclose(again.document, model.document)
     aggregates, words, m = model.documents(["some vilezzen here", ""])
     assert toxicity._spans("some vilezzen here", m) == "5:13" and model.score(aggregates)[1] < 0.5
-    assert toxicity.fit(rows[rows["toxic"] == 0]).score(np.zeros((2, 2))).tolist() == [0.0, 0.0]
-    assert toxicity.fit(rows.iloc[:0]).score(np.zeros((1, 2))).tolist() == [0.0]
+    assert toxicity.fit(df.where("toxic = 0")).score(np.zeros((2, 2))).tolist() == [0.0, 0.0]
+    assert toxicity.fit(df.limit(0)).score(np.zeros((1, 2))).tolist() == [0.0]
+
+
+def test_long_words_keep_their_ends_and_are_told_apart():
+    a, b = "Vilezz" + "a" * 1000 + "en", "Vilezz" + "a" * 1001 + "en"
+    assert toxicity.short(a) != toxicity.short(b) and len(toxicity.short(a)) == toxicity.LONG_WORD == len(toxicity.short("q" * 64))
+    assert toxicity.short(toxicity.short(a)) == toxicity.short(a) and toxicity.word_features(a)[1:] == toxicity.word_features(b)[1:]
 
 
 def test_runs_share_their_anchor():

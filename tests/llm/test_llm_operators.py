@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -242,6 +243,25 @@ def test_toxicity_trains_on_long_texts_too(spark):
     assert all(got[k] == k % 2 for k in range(60)) and got[99] == 1
 
 
+@pytest.mark.parametrize("toxic", [1, 0])
+def test_one_very_long_labelled_text_leaves_predictions_as_they_are(spark, toxic):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("aeinort") for _ in range(6)) for _ in range(200)]
+    text = lambda k: " ".join("grubbox" if k % 3 == 0 and j % 20 == 7 else rng.choice(plain) for j in range(60))
+    rows = [(k, text(k)) for k in range(240)]
+    labels = [(k, int(k % 3 == 0)) for k in range(240)]
+    own = next(k for k in range(toxic ^ 1, 240) if k % 3 == toxic ^ 1 and zlib.crc32(str(k).encode()) % 5)
+    long = " ".join(rng.choice(plain) for _ in range(20_000)) + " "
+    longer = [(k, long * (8_400_000 // len(long)) + t if k == own else t) for k, t in rows]
+    made = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = []
+    for own_rows in (rows, longer):
+        docs = spark.createDataFrame(own_rows, "doc_id long, text string")
+        model = toxicity.train(docs, made)
+        got.append({r["doc_id"]: r["predicted"] for r in toxicity.score(docs.where(f"doc_id <> {own}"), model).collect()})
+    assert got[0] == got[1] == {k: t for k, t in labels if k != own}
+
+
 def test_pages(spark):
     pages = [(k, f"http://h.x/{k}", f"<nav>menu</nav><article class='a{k}'><p>text number {k} of it<p>and &lt;more&gt;</article><footer>f</footer>", "t", k) for k in range(5)]
     pages += [(9, None, None, "t", 1), (9, "not a url", "", "t", 1), (None, "http://h.x/z", "<p>loose", "t", 1)]

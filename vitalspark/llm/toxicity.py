@@ -7,35 +7,38 @@ transition weights) is trained on these tokens. Over a whole text, forward-backw
 exactly; marginals aggregate to a document score by a logistic model over (log-odds of the largest marginal, log
 of the summed marginals), and runs of tokens of at least one half are the offending spans.
 
-Sample: of each class at most TRAIN_DOCS labelled documents, those of smallest hash of doc_id, as long as they hold
-TRAIN_CHARS characters at most in all, each whole whatever its length; the CRF is trained on windows around at most
-TOXIC_PLACES toxic, CLEAN_PLACES clean look-alike and PLACES random tokens of each. Everything else (scores, spans)
-covers every whole text. Only the model, of fixed size, is sent out.
+Sample: of each class at most TRAIN_DOCS labelled documents, those of smallest hash of doc_id, each whole whatever its
+length. Their texts stay on the executors: features are counted there by document, the CRF is trained on windows around at
+most TOXIC_PLACES toxic, CLEAN_PLACES clean look-alike and PLACES random tokens of each, and the document score on two
+numbers of each whole text. So a long labelled text weighs as one document and crowds out none. Everything else (scores,
+spans) covers every whole text. Only the model, of fixed size, is sent out.
 
 Defined results: a null text counts as empty; a text without a word scores like one whose largest marginal is 0;
-a null doc_id has the crc32 of the empty string and no label; several labels of an id count as toxic if any is;
+a word of more than LONG_WORD characters has the features of its ends and of its digest; a null doc_id has the crc32 of the
+empty string and no label; several labels of an id count as toxic if any is;
 repeated rows score alike; without a toxic or without a clean training row the score is the training rate (0 if
 there is none); an empty table gives an empty result. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_arrow, materialise, table, texts
+from .common import arrow_map, map_arrow, materialise, shuffle_width, slices, table, texts
 
-#: Training documents a class at most, and their characters in all: the bound of the driver's sample.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 8_000_000
+#: Training documents a class at most, and the characters of a word that its features are made of.
+TRAIN_DOCS, LONG_WORD = 3000, 64
 #: Words on either side of a place that the CRF is trained on, and places a document: random ones, tokens that are marked
 #: toxic in a toxic document, and such tokens in a clean one.
 REACH, PLACES, TOXIC_PLACES, CLEAN_PLACES = 12, 2, 20, 4
@@ -45,12 +48,20 @@ RATIO, LEAST_DOCS = 10, 3
 DIMENSION, RIDGE, RATE, EPOCHS = 1 << 18, 1e-5, 0.5, 6
 #: Tokens of a segment of the blocked forward-backward recursion; words kept in a worker's table.
 SEGMENT, TABLE_SIZE = 256, 200_000
+#: Features that a task counts before it hands their counts on.
+COUNTED = 300_000
 HELD_OUT = 5
 _WORD = re.compile(r"\w+")
 
 
-def word_features(word: str) -> list[str]:
+def short(word: str) -> str:
+    """The word in lower case; a long one by its ends and digest, so that what is kept of a word is bounded."""
     word = word.lower()
+    return word if len(word) <= LONG_WORD else word[:16] + hashlib.md5(word.encode()).hexdigest() + word[-16:]  # LONG_WORD again
+
+
+def word_features(word: str) -> list[str]:
+    word = short(word)
     n = len(word)
     return ["w" + word, *("p" + word[:k] for k in (3, 4, 5, 6) if n > k), *("s" + word[-k:] for k in (3, 4, 5) if n > k)]
 
@@ -61,28 +72,21 @@ def _hash(feature: str) -> int:
 
 def _hashed(word: str) -> tuple[list[int], int, int]:
     """Own features, and the feature of the word as the one before and after another."""
-    low = word.lower()
+    low = short(word)
     return [_hash(f) for f in word_features(word)], _hash("<" + low), _hash(">" + low)
 
 
-def significant_features(words: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features whose documents are toxic too often to be chance, at a level corrected for the features tried."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for own, label in zip(words, toxic.tolist(), strict=True):
-        seen[label].update({f for w in set(own) for f in word_features(w)})
-    n_clean, n_toxic = int((toxic == 0).sum()), int((toxic == 1).sum())
-    tried = [(f, d) for f, d in seen[1].items() if d >= LEAST_DOCS]
-    level = 2 * math.log(max(len(tried), 1)) + 2
+def document_features(words: list[str]) -> set[str]:
+    return {f for w in set(words) for f in word_features(w)}
+
+
+def is_significant(clean: int, toxic: int, n_clean: int, n_toxic: int, tried: int) -> bool:
+    """Whether a feature's documents are toxic too often to be chance, at a level corrected for the features tried."""
+    if toxic < LEAST_DOCS or toxic / n_toxic < RATIO * (clean + 0.5) / (n_clean + 1):
+        return False
     rate = n_toxic / (n_toxic + n_clean)
-    out = set()
-    for f, d in tried:
-        c = seen[0][f]
-        if d / n_toxic < RATIO * (c + 0.5) / (n_clean + 1):
-            continue
-        g = 2 * (d * math.log(d / ((d + c) * rate)) + (c * math.log(c / ((d + c) * (1 - rate))) if c else 0))
-        if g > level:
-            out.add(f)
-    return out
+    g = 2 * (toxic * math.log(toxic / ((toxic + clean) * rate)) + (clean * math.log(clean / ((toxic + clean) * (1 - rate))) if clean else 0))
+    return g > 2 * math.log(max(tried, 1)) + 2
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -218,23 +222,33 @@ def _design(aggregates: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), np.log(top / (1 - top)), np.log(aggregates[:, 1] + 1e-3)], 1)
 
 
-def train_crf(words: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from labelled documents, by stochastic gradient steps on exact marginals."""
-    strong = significant_features(words, toxic)
+def windows(words: list[str], label: int, bad: Callable[[str], bool]) -> list[tuple[list[str], np.ndarray]]:
+    """Pieces of a labelled document that the CRF is trained on, with their tokens' labels; the random places are those
+    of the text alone."""
+    if not words:
+        return []
+    found = np.array([bad(w) for w in words])
+    marks = found if label else np.zeros(len(words), bool)
+    rng = np.random.default_rng([7, len(words), zlib.crc32(" ".join(words[:1000]).encode())])
+    centres = np.flatnonzero(found)[: TOXIC_PLACES if label else CLEAN_PLACES].tolist() + rng.integers(0, len(words), PLACES).tolist()
+    return [([short(w) for w in words[max(0, c - REACH) : c + REACH + 1]], marks[max(0, c - REACH) : c + REACH + 1]) for c in sorted(set(centres))]
+
+
+def marker(strong: set[str]) -> Callable[[str], bool]:
+    """Whether a word has a significant feature, with a table of bounded size."""
+    table_: dict[str, bool] = {}
+
+    def bad(word: str) -> bool:
+        if len(table_) > TABLE_SIZE:
+            table_.clear()
+        return table_[word] if word in table_ else table_.setdefault(word, not strong.isdisjoint(word_features(word)))
+
+    return bad
+
+
+def train_crf(pieces: list[tuple[list[str], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from labelled windows, by stochastic gradient steps on exact marginals."""
     rng = np.random.default_rng(7)
-    pieces: list[tuple[list[str], np.ndarray]] = []
-    cache: dict[str, bool] = {}
-    bad = lambda w: cache[w] if w in cache else cache.setdefault(w, not strong.isdisjoint(word_features(w)))
-    for own, label in zip(words, toxic.tolist(), strict=True):
-        if not own:
-            continue
-        marks = np.array([bad(w) for w in own]) if label else np.zeros(len(own), bool)
-        centres = [*np.flatnonzero(marks)[:TOXIC_PLACES].tolist(), *rng.integers(0, len(own), PLACES).tolist()]
-        if not label:
-            centres += [k for k, w in enumerate(own) if bad(w)][:CLEAN_PLACES]
-        for c in sorted(set(centres)):
-            lo, hi = max(0, c - REACH), c + REACH + 1
-            pieces.append((own[lo:hi], marks[lo:hi]))
     weights, trans = np.zeros(DIMENSION), np.zeros((2, 2))
     square, square_t = np.full(DIMENSION, 1e-2), np.full((2, 2), 1e-1)
     hashed: dict[str, tuple] = {}
@@ -280,33 +294,95 @@ def train_crf(words: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np
     return weights, trans
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    """A model from rows (text, toxic)."""
-    sample = sample.sort_values(["toxic", "text"], kind="stable")
-    toxic = sample["toxic"].to_numpy(int)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Model(np.zeros(DIMENSION), np.zeros((2, 2)), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
-    words = [_WORD.findall(t) for t in sample["text"]]
-    weights, trans = train_crf(words, toxic)
-    model = Model(weights, trans, np.zeros(3))
-    x = _design(np.concatenate([model.documents(part)[0] for part in np.array_split(sample["text"].to_numpy(object), max(1, len(toxic) // 500))]))
-    weight = sample["weight"].to_numpy(float) if "weight" in sample else np.ones(len(toxic))
-    w = np.zeros(3)
-    for _ in range(40):  # ridge logistic regression by Newton steps
+def document_model(aggregates: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression of document labels by Newton steps."""
+    x, w = _design(aggregates), np.zeros(3)
+    for _ in range(40):
         p = 1 / (1 + np.exp(-x @ w))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (weight * (toxic - p)) - 0.1 * w)
         w += np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
-    model.document = w
-    model._clear()
-    return model
+    return w
 
 
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % HELD_OUT == 0
 
 
+def _significant(sample: DataFrame, n_clean: int, n_toxic: int) -> set[str]:
+    """The significant features of sample(text, toxic); documents are counted by feature on the executors."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+            def counts() -> dict:
+                names = list(seen[0].keys() | seen[1].keys())
+                return {"feature": names, "clean": [seen[0][f] for f in names], "bad": [seen[1][f] for f in names]}
+
+            for text, label in zip(texts(batch), batch.column("toxic").to_pylist()):
+                seen[label].update(document_features(_WORD.findall(text)))
+                if len(seen[0]) + len(seen[1]) > COUNTED:
+                    yield counts()
+                    seen[0].clear()
+                    seen[1].clear()
+            yield counts()
+
+        return work
+
+    counted = arrow_map(sample.select("text", "toxic"), "feature string, clean bigint, bad bigint", make)
+    counted = materialise(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where(F.col("bad") >= LEAST_DOCS), "toxic-features")
+    tried = counted.count()
+    likely = counted.where(F.col("bad") / n_toxic >= RATIO * (F.col("clean") + 0.5) / (n_clean + 1) * (1 - 1e-9))
+    return {r["feature"] for r in likely.collect() if is_significant(r["clean"], r["bad"], n_clean, n_toxic, tried)}  # of a bounded number of documents
+
+
+def _windows(sample: DataFrame, strong: set[str]) -> list[tuple[list[str], np.ndarray]]:
+    """All pieces of sample(id, text, toxic), in an order that does not depend on partitions."""
+
+    def make():
+        bad = marker(strong)
+
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            rows = [(key, label, k, *piece) for key, text, label in zip(batch.column("key").to_pylist(), texts(batch), batch.column("toxic").to_pylist()) for k, piece in enumerate(windows(_WORD.findall(text), label, bad))]
+            key, label, place, words, marks = zip(*rows) if rows else [()] * 5
+            yield {"key": list(key), "toxic": list(label), "place": list(place), "words": list(words), "marks": [m.tolist() for m in marks]}
+
+        return work
+
+    found = arrow_map(sample.select("key", "text", "toxic"), "key bigint, toxic int, place int, words array<string>, marks array<boolean>", make)
+    rows = sorted(found.collect(), key=lambda r: (r["toxic"], r["key"], r["place"]))  # a bounded number of windows of bounded words
+    return [(r["words"], np.array(r["marks"], bool)) for r in rows]
+
+
+def _aggregates(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Aggregates and labels of the whole texts of sample(key, text, toxic)."""
+
+    def make():
+        crf = model.fresh()
+
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            found = crf.documents(texts(batch))[0]
+            yield {"key": batch.column("key"), "toxic": batch.column("toxic"), "top": found[:, 0], "total": found[:, 1]}
+
+        return work
+
+    rows = sorted(arrow_map(sample.select("key", "text", "toxic"), "key bigint, toxic int, top double, total double", make).collect(), key=tuple)
+    return np.array([(r["top"], r["total"]) for r in rows]).reshape(-1, 2), np.array([r["toxic"] for r in rows], int)
+
+
+def fit(sample: DataFrame, weights: dict[int, float] | None = None) -> Model:
+    """A model from sample(key, text, toxic); weights: what a document of each class counts."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Model(np.zeros(DIMENSION), np.zeros((2, 2)), np.zeros(3), float(*n) if n else 0.0)
+    model = Model(*train_crf(_windows(sample, _significant(sample, n[0], n[1]))), np.zeros(3))
+    aggregates, toxic = _aggregates(sample, model)
+    model.document = document_model(aggregates, toxic, np.array([(weights or {0: 1.0, 1: 1.0})[t] for t in toxic.tolist()]))
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -314,13 +390,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x TRAIN_DOCS rows at most
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = materialise(rows.withColumn("size", F.length("text")), "toxic-sample")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # of the sample's ids and sizes alone
-    held = rows.select("doc_id", "toxic", F.sum("size").over(order).alias("chars")).where(F.col("chars") <= TRAIN_CHARS)
-    sample = rows.join(F.broadcast(held.select("doc_id")), "doc_id").select("text", "toxic").toPandas()
-    taken = sample["toxic"].value_counts().to_dict()
-    sample["weight"] = [sizes[t] / taken[t] for t in sample["toxic"]]  # classes count as in all labels
-    return fit(sample)
+    sample = materialise(rows.select(F.xxhash64("doc_id").alias("key"), "text", "toxic").repartition(shuffle_width(docs.sparkSession)), "toxic-sample")
+    taken = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return fit(sample, {t: sizes[t] / n for t, n in taken.items()})  # classes count as in all labels
 
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
@@ -367,11 +439,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the documents that the model predicts to be toxic; a map over the rows."""
     model = train(docs, labels)
 
-    def run(batches):
-        import pyarrow as pa
-
-        from .common import slices
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.fresh()
         for batch in (s for b in batches for s in slices(b)):
             p = crf.score(crf.documents(texts(batch))[0])
