@@ -214,6 +214,18 @@ def test_mixing(spark, docs, empty, rows):
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_a_large_batch_against_a_snapshot_of_ten_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PART_KEYS", 20_000)
+    made = lambda low, high: spark.range(low, high).select(F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.col("id")).select(F.unhex("hex").alias("digest"), F.struct(F.col("id").alias("doc_id"), F.col("id").alias("row_id")).alias("keep"), F.lit(1).cast("long").alias("n"))
+    exact_dedup.write_snapshot(made(0, 10), f"{tmp_path}/snap")
+    batch = made(5, 1_000_000)
+    _, both = exact_dedup.against_snapshot(batch, f"{tmp_path}/snap")
+    assert sorted((r["keep"]["doc_id"], r["n"]) for r in both.collect()) == [(k, 2) for k in range(5, 10)]
+    filters = spark.read.parquet(f"{tmp_path}/snap/filters")
+    kept = exact_dedup.screen(batch, filters.select("seg", "filter"), filters.first()["segments"]).count()
+    assert 5 <= kept < 999_995 // 50  # about 1 in 256 of what no segment has
+
+
 def test_pii(docs, empty, rows):
     got = {r["doc_id"]: r for r in pii.find_pii(docs).where("n_email + n_ip + n_phone > 0").collect()}
     (row,) = got.values()

@@ -5,6 +5,9 @@ filter with 8-bit fingerprints. Distinct digests of the incoming batch are scree
 segment; only positives join the exact buckets of the snapshot, and whatever shares a digest is compared
 byte by byte. Duplicates inside the new batch are grouped on their own.
 
+Screening streams: the batch decides how many tasks share a segment, so neither a small snapshot under a large batch nor
+the reverse makes a task hold more than a filter.
+
 Skew: a text that a third of the rows share is one digest; it is counted by partial aggregation, filters and
 screening see distinct digests only, and the join back to the rows is a plain equi-join that AQE may split.
 A snapshot and its filters are tables (`write_snapshot`) that every later batch reads again (`against_snapshot`).
@@ -19,17 +22,20 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, fresh, materialise, maybe_broadcast, shared_dir, shuffle_width, table
+from .common import BROADCAST_BYTES, fresh, map_arrow, materialise, maybe_broadcast, shared_dir, shuffle_width, table
 
 #: Distinct digests a snapshot segment holds on average; a filter of that size takes about 150 KB.
 SEGMENT_KEYS = 120_000
+#: Incoming digests that are screened by one copy of a filter on average.
+PART_KEYS = 1_000_000
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,7 +117,7 @@ class FuseFilter:
         return own
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
+def _keys(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(x[:8]).ljust(8, b"\0") for x in digests), np.uint64)
 
 
@@ -119,21 +125,42 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seg": pdf["seg"].iloc[:1], "filter": [FuseFilter(_keys(pdf["digest"])).dump()]})
 
 
-def _screen(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    if new.empty or old.empty:
-        return new.iloc[:0][["digest"]]
-    return new[FuseFilter.load(bytes(old["filter"].iloc[0])).contains(_keys(new["digest"]))][["digest"]]
-
-
 def build_filters(digests: DataFrame, segments: int) -> DataFrame:
     """(seg, filter) for distinct snapshot digests; a segment is a hash range, so no key makes it large."""
     return digests.select(_segment(segments), "digest").groupBy("seg").applyInPandas(_build, "seg int, filter binary")
 
 
 def screen(digests: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
-    """The incoming digests that the filter of their segment does not rule out."""
-    new = digests.select(_segment(segments), "digest").groupBy("seg")
-    return new.cogroup(filters.groupBy("seg")).applyInPandas(_screen, "digest binary")
+    """The incoming digests that the filter of their segment does not rule out.
+
+    The batch sets how many parts a segment's digests are dealt to, and each part gets the segment's filter ahead of its
+    digests; these stream past it, so a task holds one filter and one Arrow batch however large batch and snapshot are.
+    """
+    parts = digests.count() // (segments * PART_KEYS) + 1
+    part = F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(parts)).cast("int").alias("part")
+    none = F.lit(None).cast("binary")
+    new = digests.select(_segment(segments), part, none.alias("filter"), "digest")
+    old = filters.select("seg", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "filter", none.alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.array(batch.column("seg").to_pylist(), np.int64) * parts + np.array(batch.column("part").to_pylist(), np.int64)
+            first = batch.column("filter").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(first | np.r_[True, at[1:] != at[:-1]])
+            for s, e in zip(starts.tolist(), np.r_[starts[1:], len(at)].tolist()):
+                if at[s] != group:
+                    group, own = at[s], None  # a segment that the snapshot has nothing of has no filter
+                if first[s]:
+                    own, s = FuseFilter.load(batch.column("filter")[s].as_py()), s + 1
+                if own is not None and s < e:
+                    some = batch.column("digest").slice(s, e - s)
+                    yield pa.RecordBatch.from_arrays([some.filter(pa.array(own.contains(_keys(some.to_pylist()))))], names=["digest"])
+
+    ordered = new.unionByName(old).repartition("seg", "part").sortWithinPartitions("seg", "part", F.col("filter").isNull())
+    return map_arrow(ordered, run, "digest binary")
 
 
 def _segment(segments: int) -> Column:
