@@ -322,8 +322,9 @@ def test_private_fit_goes_on_from_its_state(spark, data, tmp_path):
     fit = lambda **kw: fit_private_logit(df, ["x1"], "treated", "patient_id", 8.0, 0.01, 1.0, batch=64, updates=2, rounds=4, center="center", **kw)
     half = fit(until=2)
     assert not half.converged and half.iterations == 4
-    PrivateState(2, half.coef).save(str(tmp_path / "state.json"))
-    assert fit(state=PrivateState.load(str(tmp_path / "state.json"))).coef == pytest.approx(fit().coef, abs=1e-12)
+    PrivateState(1, half.coef).save(spark, str(tmp_path / "states"))
+    PrivateState(2, half.coef).save(spark, str(tmp_path / "states"))
+    assert fit(state=PrivateState.load(spark, str(tmp_path / "states"))).coef == pytest.approx(fit().coef, abs=1e-12)
 
 
 def test_etl(spark):

@@ -14,7 +14,7 @@ from ..cohort import CohortSpec, bucket_rank
 MAX_ATTEMPTS = 50
 
 
-def _hash52(*parts: Column) -> Column:
+def hash52(*parts: Column) -> Column:
     """52 bits of a digest of the parts: the same draw in any engine that has MD5, and for tables of any size."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
 
@@ -31,7 +31,7 @@ def draw_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int | Seque
     sizes = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     draws = ranked.join(F.broadcast(sizes) if not by else sizes, list(by)) if by else ranked.join(F.broadcast(sizes))
     draws = draws.withColumn("replicate", F.explode(names))
-    pick = F.pmod(_hash52(F.lit(seed), "replicate", F.lit(attempt), *by, "rank"), F.col("n"))
+    pick = F.pmod(hash52(F.lit(seed), "replicate", F.lit(attempt), *by, "rank"), F.col("n"))
     picks = draws.select(*by, "replicate", pick.alias("rank")).groupBy(*by, "replicate", "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
     return picks.join(ranked, [*by, "rank"]).select("replicate", spec.id, "multiplicity")
 
@@ -60,7 +60,7 @@ def poisson_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, see
     for k in range(20):
         total += math.exp(-1) / math.factorial(k)
         bounds.append(total)
-    u = (_hash52(F.lit(seed), "replicate", spec.id).cast("double") + 0.5) / float(1 << 52)
+    u = (hash52(F.lit(seed), "replicate", spec.id).cast("double") + 0.5) / float(1 << 52)
     m = sum((F.when(F.col("__u") >= b, 1).otherwise(0) for b in bounds[1:]), F.when(F.col("__u") >= bounds[0], 1).otherwise(0))
     rows = df.select(spec.id, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__u", u)
     return rows.where(F.col("__u") >= bounds[0]).select("replicate", spec.id, m.alias("multiplicity"))
@@ -68,7 +68,7 @@ def poisson_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, see
 
 def fold_multiplicities(df: DataFrame, spec: CohortSpec, folds: int, repeats: int = 1, seed: int = 1) -> DataFrame:
     """Cross-validation as replicates: replicate r * folds + k + 1 has every row but fold k's of repetition r, once."""
-    fold = F.pmod(_hash52(F.lit(seed), "repeat", spec.id), F.lit(folds))
+    fold = F.pmod(hash52(F.lit(seed), "repeat", spec.id), F.lit(folds))
     rows = df.select(spec.id, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("fold", fold)
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("k <> fold")
     return rows.select((F.col("repeat") * folds + F.col("k") + 1).cast("int").alias("replicate"), spec.id, F.lit(1).cast("long").alias("multiplicity"))

@@ -5,6 +5,7 @@ Every statistical query reads the canonical cohort (sources.tables). Floating re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,16 +15,18 @@ from .cohort import CohortSpec, att_weight, ate_weight, atc_weight, min_max, one
 from .functions.stats import repair_bounds
 from .operators import etl, report
 from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_table
+from .operators.fedavg import fit_fed_avg
 from .operators.km import center_event_table, center_risk_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
 from .operators.logit import fit_logit
 from .operators.maic import fit_maic, maic_targets
 from .operators.metrics import accuracy, concordance
 from .operators.moments import arm_moments, effective_sample_size, merged_moments, smd, variance_ratio
-from .operators.privacy import fit_private_logit
+from .operators.privacy import ORDERS, PrivacyLedger, fit_private_logit
 from .operators.resample import bootstrap_variance, draw_multiplicities, replicate, valid_replicates
 from .operators.simulate import CoxSimulator
 from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
+from .sources.scratch import shared_dir
 from .sources.tables import COHORT_SQL, COVARIATES, clinical_violations, cohort, fingerprint, left_join_all, table
 
 SPEC = CohortSpec(covariates=COVARIATES)
@@ -833,6 +836,51 @@ def dp_logit(spark, sf):
     return spark.createDataFrame([m.coef], "intercept double, x_lines double")
 
 
+_FED = {"batch": 256, "updates": 3, "rounds": 2, "rate": 0.05, "seed": 3}
+
+
+def _fed_sql(batch: int, updates: int, rounds: int, rate: float, seed: int) -> str:
+    """Rounds of mini-batch steps of every centre, unrolled; a batch is a run of rows in the order of their digests."""
+    end = rounds * updates - 1
+    out = C1 + f""", n AS (SELECT center, count(*) AS n, ceil(count(*) / {batch}.0) AS per FROM c1 GROUP BY center),
+d AS (SELECT center, pass, per, x_lines AS x, treated AS y, row_number() OVER (PARTITION BY center, pass ORDER BY CAST('0x' || substr(md5('{seed}:' || pass || ':' || patient_id), 1, 13) AS bigint), CAST(patient_id AS varchar)) - 1 AS place
+  FROM c1 JOIN n USING (center), (SELECT unnest(generate_series(0, {end})) AS pass) WHERE pass <= floor({end} / per)),
+b AS MATERIALIZED (SELECT center, x, y, pass * per + floor(place / {batch}) AS step FROM d), m0 AS (SELECT 0.0::double AS b0, 0.0::double AS b1)"""
+    for r in range(rounds):
+        at = f"(SELECT center, b0, b1 FROM n, m{r})"
+        for k in range(r * updates, (r + 1) * updates):
+            out += f", s{k} AS MATERIALIZED (SELECT center, b0 - {rate} * avg(p - y) AS b0, b1 - {rate} * avg((p - y) * x) AS b1 FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM b JOIN {at} USING (center) WHERE step = {k}) GROUP BY center, b0, b1)"
+            at = f"s{k}"
+        out += f", m{r + 1} AS MATERIALIZED (SELECT sum(n * b0) / sum(n) AS b0, sum(n * b1) / sum(n) AS b1 FROM {at} JOIN n USING (center))"
+    return out + " " + " UNION ALL ".join(f"SELECT {r + 1} AS round, round(b0, 6) AS intercept, round(b1, 6) AS x_lines FROM m{r + 1}" for r in range(rounds))
+
+
+@query("fed_avg", _fed_sql(**_FED))
+def fed_avg(spark, sf):
+    fit = fit_fed_avg(cohort(spark, sf), ["x_lines"], "treated", "patient_id", "center", **_FED)
+    return rounded(spark.createDataFrame([(r, *coef) for r, coef, _ in fit.rounds], "round int, intercept double, x_lines double"))
+
+
+#: Two runs on every centre: rows of a batch, noise, steps; and the delta of the budget.
+_RUNS, _DELTA = ((256, 1.1, 8), (128, 1.5, 4)), 0.01
+_SPENT = C1 + ", n AS (SELECT center, CAST(count(*) AS double) AS n FROM c1 GROUP BY center), r AS (" + " UNION ALL ".join(f"SELECT center, {k} AS run, least(1.0, {b} / n) AS q, {s}::double AS s, {t} AS steps FROM n" for k, (b, s, t) in enumerate(_RUNS)) + f"""),
+o AS (SELECT CAST(unnest([{', '.join(map(str, ORDERS))}]) AS bigint) AS a), k AS (SELECT a, unnest(generate_series(0, a)) AS k FROM o),
+t AS (SELECT center, run, s, q, steps, a, lgamma(a + 1) - CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END - CASE WHEN k < a THEN lgamma(a - k + 1) ELSE 0 END + k * ln(q) + (a - k) * ln(1 - q) + k * (k - 1) / (2 * s * s) AS t FROM r, k WHERE q < 1),
+l AS (SELECT center, run, steps, a, top + ln(sum(exp(t - top))) AS l FROM (SELECT *, max(t) OVER (PARTITION BY center, run, a) AS top FROM t) GROUP BY center, run, steps, a, top),
+e AS (SELECT center, a, steps * l / (a - 1) AS e FROM l UNION ALL SELECT center, a, steps * a / (2 * s * s) FROM r, o WHERE q >= 1)
+SELECT center, CAST({sum(t for _, _, t in _RUNS)} AS bigint) AS steps, round(min(e), 5) AS epsilon FROM (SELECT center, sum(e) + ln((a - 1) / a) - (ln({_DELTA}) + ln(a)) / (a - 1) AS e FROM e GROUP BY center, a) GROUP BY center"""
+
+
+@query("privacy_budget", _SPENT)
+def privacy_budget(spark, sf):
+    sizes = {r["center"]: r["n"] for r in cohort(spark, sf).groupBy("center").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a centre
+    ledger = PrivacyLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", 1e6, _DELTA)
+    for k, (batch, noise, steps) in enumerate(_RUNS):
+        ledger.charge(f"run {k}", 0, {c: (min(1.0, batch / n), noise, steps) for c, n in sizes.items()})
+    steps = sum(t for _, _, t in _RUNS)
+    return rounded(spark.createDataFrame([(c, steps, e) for c, e in ledger.spent().items()], "center string, steps long, epsilon double"), 5)
+
+
 @query("experiment")
 def experiment(spark, sf):
     from .plans.experiment import single_experiment
