@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
+from ..sources import scratch
 from ..sources.scratch import settle
+from . import forest
 
 
 def micros(at: str) -> Column:
@@ -110,28 +115,35 @@ def missing_order(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return sorted(columns, key=lambda c: row[c])
 
 
-def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), max_iter: int = 10, trees: int = 20, depth: int = 6, seed: int = 5) -> DataFrame:
+def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), max_iter: int = 10, trees: int = 100, depth: int = 10, least: float = 1.0, seed: int = 5) -> DataFrame:
     """Random-forest imputation: start from means and modes, then refit each incomplete column on the others, fewest nulls
-    first, until the change grows or max_iter; the matrix before the change grew is returned. Categories are integer
-    codes from 0. Models are Spark ML forests; each pass is written to the shared folder, so plans stay short."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+    first, until the change grows or max_iter; the matrix before the change grew is returned. Categories are integer codes
+    from 0. A column without a known value stays null, and one without others keeps its mean or mode.
 
-    columns = [*numeric, *categorical]
+    Features are binned once, at quantiles of what is known. A forest is trees x depth arrays that grow a level a job
+    (`forest`), whatever the rows, and each column's imputed values are written to the shared folder, so plans stay short.
+    A row's sample weights follow from its key, so results do not depend on partitions.
+    """
+    columns, spark = [*numeric, *categorical], df.sparkSession
     original = df.select(key, *columns).withColumns({f"__na_{c}": F.col(c).isNull() for c in columns})
-    todo = [c for c in missing_order(df, columns) if not original.where(F.col(f"__na_{c}")).isEmpty()]
+    missing = original.agg(*[F.count_if(F.col(f"__na_{c}")).alias(c) for c in columns], *[F.max(c).alias(f"__most_{c}") for c in columns], *[F.min(c).alias(f"__least_{c}") for c in columns]).first()
+    todo = sorted((c for c in columns if missing[c] and missing[f"__most_{c}"] is not None), key=lambda c: missing[c]) if len(columns) > 1 else []
+    classes = {c: int(missing[f"__most_{c}"] or 0) + 1 for c in categorical}
+    spans = {c: (float(missing[f"__least_{c}"] or 0), float(missing[f"__most_{c}"] or 0)) for c in columns}
+    begun = scratch.written()
     now = settle(fill_mean_mode(original, numeric, categorical).withColumns({c: F.col(c).cast("double") for c in columns}), "imputed")
+    cuts = dict(zip(columns, forest.edges(original, columns))) if todo else {}
     last = None
     for _ in range(max_iter if todo else 0):
         new = now
         for c in todo:
             others = [o for o in columns if o != c]
-            rows = VectorAssembler(inputCols=others, outputCol="__x").transform(new)
-            kind = RandomForestClassifier if c in categorical else RandomForestRegressor
-            model = kind(featuresCol="__x", labelCol=c, predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(~F.col(f"__na_{c}")))
-            new = model.transform(rows).withColumn(c, F.when(F.col(f"__na_{c}"), F.col("__p")).otherwise(F.col(c))).select(*now.columns)
-        new = settle(new, "imputed")
+            rows = _binned_rows(new, key, c, others, cuts).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                fit = forest.fit_forest(rows, len(others), classes.get(c, 0), spans[c], trees, depth, least, seed=seed)
+            finally:
+                rows.unpersist()
+            new = settle(_with_predicted(new, c, others, cuts, fit), "imputed")
         old = now.select(key, *[F.col(c).alias(f"__o_{c}") for c in columns])
         moved = new.join(old, key)
         change = [F.sum(F.pow(F.col(c) - F.col(f"__o_{c}"), F.lit(2))) for c in todo if c in numeric] or [F.lit(0.0)]
@@ -141,4 +153,36 @@ def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Se
         if last is not None and (row["a"] or 0) + (row["b"] or 0) >= last:
             break
         last, now = (row["a"] or 0) + (row["b"] or 0), new
+        scratch.remove_written(spark, begun, but=1)
     return now.drop(*[f"__na_{c}" for c in columns])
+
+
+def _bins_of(batch: pa.RecordBatch, others: Sequence[str], cuts: dict[str, np.ndarray]) -> np.ndarray:
+    return forest.binned([batch.column(o).to_numpy(zero_copy_only=False) for o in others], [cuts[o] for o in others])
+
+
+def _binned_rows(df: DataFrame, key: str, column: str, others: Sequence[str], cuts: dict[str, np.ndarray]) -> DataFrame:
+    """(id, bins, y) of the rows where a column is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _bins_of(batch, others, cuts)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(column)], names=["id", "bins", "y"])
+
+    known = df.where(~F.col(f"__na_{column}")).select(F.xxhash64(key).alias("__id"), column, *others)
+    return known.mapInArrow(run, "id bigint, bins binary, y double")
+
+
+def _with_predicted(df: DataFrame, column: str, others: Sequence[str], cuts: dict[str, np.ndarray], fit: forest.Forest) -> DataFrame:
+    """df with a column's missing values as the forest predicts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost = np.flatnonzero(batch.column(f"__na_{column}").to_numpy(zero_copy_only=False))
+            values = np.array(batch.column(column).to_numpy(zero_copy_only=False))
+            if len(lost):
+                values[lost] = fit.predict(_bins_of(batch.take(pa.array(lost)), others, cuts))
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(values, pa.float64()))
+
+    return df.mapInArrow(run, df.schema)

@@ -827,7 +827,7 @@ def simulate_cox(spark, sf):
 def missforest(spark, sf):
     k = F.col("patient_id")
     holes = cohort(spark, sf).select("patient_id", F.when(k % 10 != 0, F.col("x_lines")).alias("x_lines"), "x_bal", "time", F.when(k % 7 != 0, F.col("x_urgent")).alias("x_urgent"))
-    return etl.miss_forest(holes, "patient_id", ["x_lines", "x_bal", "time"], ["x_urgent"], max_iter=2, trees=5, depth=4)
+    return etl.miss_forest(holes, "patient_id", ["x_lines", "x_bal", "time"], ["x_urgent"])
 
 
 @query("dp_logit")

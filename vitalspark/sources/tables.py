@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import settle
+
 #: The canonical cohort over orders and line items, as SQL that both engines run.
 COHORT_SQL = """
 SELECT o.o_orderkey AS patient_id, r.r_name AS center, l.quantity AS time, CAST(CASE WHEN o.o_orderstatus <> 'P' THEN 1 ELSE 0 END AS int) AS event,
@@ -107,17 +109,36 @@ def clinical_violations(df: DataFrame, bounds: dict[str, tuple[float, float]], l
     return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(rule).alias(c) for c, rule in rules.items()])
 
 
-def clinical(df: DataFrame, bounds: dict[str, tuple[float, float]], levels: dict[str, Sequence], death: str, followup: str, arm: str, active: str, center: str, impute: bool = False) -> DataFrame:
+def clinical(df: DataFrame, bounds: dict[str, tuple[float, float]], levels: dict[str, Sequence], death: str, followup: str, arm: str, active: str, center: str, impute: bool | str = False, **forest) -> DataFrame:
     """A raw clinical table as a cohort: event from the death time, treatment from the arm's name, scaled and one-hot
-    columns. The column set must be exactly what the arguments name. With impute, missing covariates are means and modes."""
+    columns. The column set must be exactly what the arguments name.
+
+    impute: missing covariates are means and modes (true or "mean"), or what random forests on the other covariates predict
+    ("forest", with the options of `miss_forest`); values outside a column's levels count as missing there.
+    """
     from ..cohort import min_max, one_hot
     from ..operators.etl import fill_mean_mode
 
     wanted = {*bounds, *levels, death, followup, arm}
     if set(df.columns) != wanted:
         raise ValueError(f"columns differ: missing {sorted(wanted - set(df.columns))}, unknown {sorted(set(df.columns) - wanted)}")
-    if impute:
+    if impute not in (False, True, "mean", "forest"):
+        raise ValueError(f"unknown imputation {impute!r}")
+    if impute == "forest":
+        df = _by_forest(df, list(bounds), levels, forest)
+    elif impute:
         df = fill_mean_mode(df, list(bounds), list(levels))
     scaled = [min_max(f"`{c}`", *b).alias(c) for c, b in bounds.items()]
     hot = [col.alias(n) for c, own in levels.items() for n, col in one_hot(c, own).items()]
     return df.select(F.col(f"`{followup}`").cast("double").alias("time"), F.col(f"`{death}`").isNotNull().cast("int").alias("event"), (F.col(f"`{arm}`") == active).cast("int").alias("treated"), *scaled, *hot, F.lit(center).alias("center"))
+
+
+def _by_forest(df: DataFrame, numeric: list[str], levels: dict[str, Sequence], options: dict) -> DataFrame:
+    """df with its covariates imputed by forests; levels are numbered in their given order."""
+    from ..operators.etl import miss_forest, recode
+
+    keyed = settle(df.withColumn("__row", F.monotonically_increasing_id()), "clinical")
+    coded = keyed.select("__row", *[f"`{c}`" for c in numeric], *[recode(f"`{c}`", {v: k for k, v in enumerate(own)}, F.lit(None).cast("int")).alias(c) for c, own in levels.items()])
+    filled = miss_forest(coded, "__row", numeric, list(levels), **options)
+    named = [recode(c, dict(enumerate(own))).alias(c) for c, own in levels.items()]
+    return keyed.drop(*numeric, *levels).join(filled.select("__row", *numeric, *named), "__row").drop("__row")
