@@ -22,13 +22,23 @@ def planted(seed, n):
             pass
         return sep.join(d[k : k + 4] for k in (0, 4, 8, 12))
 
+    def failing(k):
+        while pii.luhn(d := rng.choice("123456789") + number(k - 1)):
+            pass
+        return d
+
+    def mistyped():
+        d = card()
+        return d[:9] + str((int(d[9]) + rng.randrange(1, 10)) % 10) + d[10:]
+
     forms = [
         ("email", lambda: f"{word()}.{word()} (at) {word()} (dot) com", "write to "), ("email", lambda: f"{word()}[at]{word()}.org", "e-mail: "), ("email", lambda: f"{word()} dot {word()} at {word()} dot net", "mail me, "),
         ("email", lambda: f"{word()} @ {word()} . com", "contact "), ("ip", lambda: "[.]".join(byte() for _ in range(4)), "host "), ("ip", lambda: " dot ".join(byte() for _ in range(4)), "the address "),
-        ("card", lambda: card("."), "card no. "), ("phone", lambda: f"0{number(2)} {number(4)} {number(4)}", "call me: "), ("phone", lambda: f"(0{number(2)}) {number(3)}-{number(4)}", "phone "), ("phone", lambda: f"0049 {number(3)} {number(7)}", "tel. "),
+        ("card", lambda: card("."), "card no. "), ("card", mistyped, "pay by card: "), ("phone", lambda: f"0{number(2)} {number(4)} {number(4)}", "call me: "), ("phone", lambda: f"(0{number(2)}) {number(3)}-{number(4)}", "phone "), ("phone", lambda: f"0049 {number(3)} {number(7)}", "tel. "),
     ]
     base = [lambda: f"{word()}@{word()}.com", lambda: ".".join(byte() for _ in range(4)), card, lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}"]
     decoys = [lambda: f"order 9{number(15)}", lambda: f"serial 0{number(16)}", lambda: f"version {number(1)}.{number(1)}.{number(2)}.999", lambda: f"isbn 978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"they met at {word()} and", lambda: f"in {number(4)}"]
+    decoys += [lambda: failing(16), lambda: f"{failing(16)}", lambda: f"{number(3)} {failing(15)}", lambda: failing(14)]  # digits at random
     out = []
     for k in range(n):
         text, spans = " ".join(word() for _ in range(rng.randrange(3, 30))) + " ", []
@@ -65,7 +75,24 @@ def test_added_spans_on_planted_data(spark):
             found["hit", kind] += any(kind == x and a < z and y < b for x, y, z in every - base)
     for kind in pii.KINDS:
         assert wanted[kind] > 20 and right[kind] >= 0.9 * found[kind], (kind, found, right)
-        assert found["hit", kind] >= 0.8 * wanted[kind], (kind, found, wanted)
+        assert found["hit", kind] >= 0.9 * wanted[kind], (kind, found, wanted)
+
+
+def test_random_numbers_teach_that_they_are_none(spark):
+    """A corpus of numbers at random, a fifth of which begin like an issuer's: the method adds hardly any."""
+    rng = random.Random(8)
+    texts = [f"{'some words ' * 3}{''.join(rng.choice('0123456789') for _ in range(16))} and more" for _ in range(3000)]
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    got = pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()
+    base = sum(r["n_card"] + r["n_phone"] for r in got)
+    assert 200 < base < 400 and sum(r["n_spans"] for r in got) - base <= 3
+
+
+def test_an_issuers_numbers_have_its_length():
+    known = lambda d: pii.votes(d, "card", 0, len(d), -1)[1]
+    assert known("4" + "1" * 15) == 1 == known("37" + "1" * 13) == known("36" + "1" * 12) == known("2345" + "1" * 12)
+    assert known("36" + "1" * 14) == -1 == known("37" + "1" * 14) == known("51" + "1" * 13) == known("2721" + "1" * 12)
+    assert 0.2 < pii.CHANCE["card"][1] < 0.25
 
 
 def test_added_spans_never_overlap():

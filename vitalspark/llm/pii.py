@@ -55,7 +55,10 @@ _PREFIXED = re.compile(r"(?<![\w+.-])00[1-9][0-9]{0,2}[\x20/.-]?(?:\(?[0-9]{1,5}
 #: Gazetteers and context words by kind.
 _TLDS = frozenset("com org net edu gov io de fr es uk eu info biz co us ca au ch at it nl".split())
 _DIAL = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "64", "65", "66", "81", "82", "86", "90", "91", "351", "352", "353", "358", "420")
-_CARD_HEADS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "2221", "2720", "62")
+_CARD_HEADS = {
+    "4": (13, 16, 19), "51": (16,), "52": (16,), "53": (16,), "54": (16,), "55": (16,), "2221": (16,), "223": (16,), "23": (16,), "24": (16,), "25": (16,), "26": (16,), "270": (16,), "271": (16,), "2720": (16,),
+    "34": (15,), "37": (15,), "36": (14,), "38": (14,), "6011": (16,), "65": (16,), "35": (16,), "62": (16, 17, 18, 19),
+}
 _CUES = {
     "email": re.compile(r"e-?mail|mailto|contact|write to|courriel|correo|kontakt", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|adresse|dirección|login|gateway", re.I),
@@ -65,6 +68,9 @@ _CUES = {
 _AGAINST = re.compile(r"version|release|isbn|order|invoice|section|chapter|sha|hash|serial|model|part no", re.I)
 #: A candidate is added from this probability; the ridge penalty, EM rounds and the least and largest reliability.
 THRESHOLD, RIDGE, ROUNDS, LEAST, MOST = 0.5, 1.0, 50, 0.55, 0.99
+#: How often votes are 1 by chance, of labelers where that follows from their rule and is not one less their reliability: a
+#: check digit fits one number in ten, and so many 16-digit numbers begin like an issuer's of that length.
+CHANCE = {"card": {0: 0.1, 1: sum(10.0 ** -len(head) for head, sizes in _CARD_HEADS.items() if 16 in sizes)}}
 #: Reliability that EM begins with for pattern, gazetteer, context and shape, and its weight against a kind's votes: the
 #: same share at every size, so that a labeler which hardly varies in a corpus is not taken for the truth.
 BELIEF, WEIGHT = (0.85, 0.75, 0.9, 0.75), 0.25
@@ -146,14 +152,14 @@ def votes(text: str, kind: str, start: int, end: int, pattern: int) -> tuple[int
         parts = [p.lstrip("0") for p in _NUMBER.findall(span)]
         known = 1 if len(parts[0]) <= 3 and 1 <= int(parts[0] or 0) <= 223 else -1  # the first part of a host's address
     elif kind == "card":
-        known = 1 if digits.startswith(_CARD_HEADS) else -1
+        known = 1 if any(len(digits) in _CARD_HEADS.get(digits[:k], ()) for k in (1, 2, 3, 4)) else -1
     else:
         known = (1 if digits.removeprefix("00").startswith(_DIAL) else -1) if span.startswith(("+", "00")) else 0
     before = text[max(0, start - 40) : start]
     cue = 1 if _CUES[kind].search(before) else -1 if _AGAINST.search(before) else 0
     glued = (start > 0 and text[start - 1].isalnum()) + 2 * (end < len(text) and text[end].isalnum())
     if kind == "card":
-        shape = 1 if len(digits) == 16 and not glued else -1 if glued else 0
+        shape = -1 if glued else 0  # the length is the issuer's affair
     elif kind == "phone":
         shape = -1 if glued else 1 if 9 <= len(digits) <= 13 else 0
     elif kind == "ip":
@@ -163,19 +169,26 @@ def votes(text: str, kind: str, start: int, end: int, pattern: int) -> tuple[int
     return pattern, known, cue, shape, min(5, (end - start) // 6), glued
 
 
-def expectation_maximisation(counts: dict[tuple, int]) -> tuple[np.ndarray, dict[tuple, float]]:
-    """Reliabilities of the labelers and the posterior of each vote pattern, from pattern counts (one kind's)."""
+def expectation_maximisation(counts: dict[tuple, int], chance: dict[int, float] | None = None) -> tuple[np.ndarray, dict[tuple, float]]:
+    """Reliabilities of the labelers and the posterior of each vote pattern, from pattern counts (one kind's).
+
+    A labeler is as reliable for what is no personal data as for what is, but for those in `chance`: their votes for what is
+    none are known beforehand, so that a vote which is common by chance carries little.
+    """
     patterns = np.array([p[:4] for p in counts])
     n = np.array(list(counts.values()), float)
-    right, prior = np.array(BELIEF), 0.5
+    right, prior, own = np.array(BELIEF), 0.5, np.array([k in (chance or {}) for k in range(4)])
+    given = np.array([(chance or {}).get(k, 0.5) for k in range(4)])
+    yes, no = (patterns == 1).astype(float), (patterns == -1).astype(float)
     for _ in range(ROUNDS):
-        logit = math.log(prior / (1 - prior)) + patterns @ np.log(right / (1 - right))
+        wrong = np.where(own, given, 1 - right)  # votes for what is none
+        logit = math.log(prior / (1 - prior)) + yes @ np.log(right / wrong) + no @ np.log((1 - right) / (1 - wrong))
         post = 1 / (1 + np.exp(-logit))
         prior = float(np.clip((n @ post + 1) / (n.sum() + 2), 0.02, 0.98))
-        agree = ((patterns == 1) * post[:, None] + (patterns == -1) * (1 - post)[:, None]) * n[:, None]
-        voted = ((patterns != 0) * n[:, None]).sum(0)
+        real, none = post[:, None] * n[:, None], np.where(own, 0, (1 - post)[:, None] * n[:, None])
+        agree, voted = (yes * real + no * none).sum(0), ((yes + no) * (real + none)).sum(0)
         weight = WEIGHT * max(1.0, n.sum())
-        right = np.clip((agree.sum(0) + np.array(BELIEF) * weight) / (voted + weight), LEAST, MOST)
+        right = np.clip((agree + np.array(BELIEF) * weight) / (voted + weight), LEAST, MOST)
     return right, dict(zip(counts, post.tolist(), strict=True))
 
 
@@ -229,7 +242,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray | None, dict[str, np.ndarray]]:
     for kind in KINDS:
         own = {c[1:]: n for c, n in sorted(counts.items()) if c[0] == kind}
         if own:
-            right[kind], found = expectation_maximisation(own)
+            right[kind], found = expectation_maximisation(own, CHANCE.get(kind))
             post |= {(kind, *c): p for c, p in found.items()}
     return fit_classifier(dict(sorted(counts.items())), post), right
 
