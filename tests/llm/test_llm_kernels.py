@@ -192,6 +192,14 @@ def test_toxic_words_are_learnt(spark):
     assert toxicity.fit(df.limit(0)).score(np.zeros((1, 2))).tolist() == [0.0]
 
 
+def test_parting_by_a_word_is_the_same_for_any_number_of_classes():
+    rng = np.random.default_rng(6)
+    few, word = rng.integers(0, 50, 3000), rng.integers(1, 4, 3000).astype(np.uint64) << np.uint64(36)
+    want = substring_dedup._part(few, word)
+    got = substring_dedup._part(few + (1 << 30), word)
+    assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist())) == len(set(got.tolist())) == len(set(zip(few.tolist(), word.tolist())))
+
+
 def test_long_words_keep_their_ends_and_are_told_apart():
     a, b = "Vilezz" + "a" * 1000 + "en", "Vilezz" + "a" * 1001 + "en"
     assert toxicity.short(a) != toxicity.short(b) and len(toxicity.short(a)) == toxicity.LONG_WORD == len(toxicity.short("q" * 64))

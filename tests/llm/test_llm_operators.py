@@ -214,6 +214,18 @@ def test_mixing(spark, docs, empty, rows):
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_parts_by_occurrences_change_no_removal(spark, monkeypatch):
+    rng = random.Random(12)
+    passages = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(13, 40))) for _ in range(6)]
+    rows = [(k, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(20)), rng.choice(passages), rng.choice(passages), "end"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring_dedup.remove_repeats(df).collect()))
+    monkeypatch.setattr(substring_dedup, "PART_OCCURRENCES", 3)
+    monkeypatch.setattr(substring_dedup, "HOT", 40)
+    monkeypatch.setattr(substring_dedup, "PACK", 3000)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect())) == want and sum(r[2] for r in want) > 3000
+
+
 def test_a_large_batch_against_a_snapshot_of_ten_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_dedup, "PART_KEYS", 20_000)
     made = lambda low, high: spark.range(low, high).select(F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.col("id")).select(F.unhex("hex").alias("digest"), F.struct(F.col("id").alias("doc_id"), F.col("id").alias("row_id")).alias("keep"), F.lit(1).cast("long").alias("n"))

@@ -42,6 +42,8 @@ from .near_dedup import Words
 LENGTH, SEED_WORDS, PACK = 13, 7, 4 << 20
 #: Parts for each shuffle partition, and bytes of hashes a part holds at most on average.
 PARTS, PART_BYTES = 4, 32 << 20
+#: Occurrences of shared anchors in a part on average, about 100 bytes each sent and 150 more while they are compared.
+PART_OCCURRENCES = 500_000
 #: Buckets and occurrences from which an anchor's runs are dealt apart; bits of a word's code.
 HOT_BUCKETS, HOT, CODE = 4096, 200_000, 40
 #: Words on either side of an anchor that a run around it can reach, and words of an occurrence in all.
@@ -159,9 +161,14 @@ def match(key: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _part(classes: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Classes divided by a word; a part has fewer than 2**(64 - CODE) occurrences, so class and code fit one integer."""
-    assert len(classes) < 1 << 64 - CODE
-    return np.unique(classes.astype(np.uint64) << np.uint64(CODE) | word, return_inverse=True)[1]
+    """Classes divided by a word. Class and code fit one integer below 2**(64 - CODE) classes; of more, by sorting both."""
+    if int(classes.max(initial=0)) < 1 << 64 - CODE:
+        return np.unique(classes.astype(np.uint64) << np.uint64(CODE) | word, return_inverse=True)[1]
+    order = np.lexsort((word, classes))
+    c, w = classes[order], word[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+    return out
 
 
 def _send(bucket: bytes, keys: np.ndarray, payload: list[np.ndarray], parts: int) -> Iterator[dict]:
@@ -190,8 +197,8 @@ def _read(answers: pa.Table, kind: str, keys: np.ndarray, parts: int) -> np.ndar
 
 
 _SENT = pa.schema([("part", pa.int32()), ("bucket", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_BITS = pa.schema([("bucket", pa.binary()), ("kind", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
-_SENT_DDL, _BITS_DDL = "part int, bucket binary, hashes binary, ids binary", "bucket binary, kind string, part int, bits binary"
+_BITS = pa.schema([("bucket", pa.binary()), ("kind", pa.string()), ("part", pa.int32()), ("bits", pa.binary()), ("shared", pa.int64())])
+_SENT_DDL, _BITS_DDL = "part int, bucket binary, hashes binary, ids binary", "bucket binary, kind string, part int, bits binary, shared bigint"
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -257,7 +264,8 @@ def _shared(hot_buckets: int, hot: int):
         _, back, buckets = np.unique(keys, return_inverse=True, return_counts=True)
         total = np.bincount(back, count)
         state = (buckets > 1).astype(np.uint8) + ((buckets > 1) & ((buckets > hot_buckets) | (total > hot)))
-        return _answer("seed", rows, sizes, state[back].astype(np.uint8))
+        state = state[back].astype(np.uint8)
+        return _answer("seed", rows, sizes, state, np.add.reduceat(np.where(state > 0, count, 0), np.cumsum([0, *sizes[:-1]])))
 
     return run
 
@@ -273,9 +281,10 @@ def _matched(rows: pa.Table) -> pa.Table:
     return _answer("run", rows, sizes, match(keys, ids, codes.view("<u8").reshape(-1, AROUND)))
 
 
-def _answer(kind: str, rows: pa.Table, sizes: list[int], found: np.ndarray) -> pa.Table:
+def _answer(kind: str, rows: pa.Table, sizes: list[int], found: np.ndarray, shared: np.ndarray | None = None) -> pa.Table:
+    """A row a block: what was found for its keys, and the occurrences that it will send of those that are shared."""
     own = [zstandard.compress(x.tobytes(), 1) for x in np.split(found, np.cumsum(sizes)[:-1])]
-    return pa.table([rows.column("bucket"), pa.array([kind] * len(sizes)), rows.column("part"), pa.array(own, pa.binary())], schema=_BITS)
+    return pa.table([rows.column("bucket"), pa.array([kind] * len(sizes)), rows.column("part"), pa.array(own, pa.binary()), pa.array(np.zeros(len(sizes), np.int64) if shared is None else shared)], schema=_BITS)
 
 
 class Occurrences:
@@ -320,14 +329,14 @@ class Occurrences:
         return anchors.run[every[anchors.of] >> anchors.offset.astype(np.uint8) & 1 > 0]
 
 
-def _extend(parts: int):
+def _extend(parts: int, run_parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         words = Words()
         for bucket, ids, texts in zip(*(left.column(c).to_pylist() for c in ("bucket", "ids", "texts"))):
             own, _, texts = _unpack(ids, texts)
             found = Occurrences(own, Anchors(texts, words), right, parts)
-            out += _send(bucket, found.keys, found.payload(own), parts)
+            out += _send(bucket, found.keys, found.payload(own), run_parts)
         return pa.Table.from_pylist(out, schema=_SENT)
 
     return run
@@ -336,7 +345,7 @@ def _extend(parts: int):
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.string()), ("kept", pa.string())])
 
 
-def _remove(parts: int):
+def _remove(parts: int, run_parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
         words = Words()
@@ -344,7 +353,7 @@ def _remove(parts: int):
             ids, known, texts = _unpack(packed, texts)
             anchors = Anchors(texts, words)
             occurrences = Occurrences(ids, anchors, right, parts)
-            places = occurrences.hits(anchors, _read(right, "run", occurrences.keys, parts))
+            places = occurrences.hits(anchors, _read(right, "run", occurrences.keys, run_parts))
             steps = np.zeros(int(anchors.lengths.sum()) + 1, np.int64)
             np.add.at(steps, places, 1)
             np.add.at(steps, places + LENGTH, -1)
@@ -370,10 +379,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(PARTS * shuffle_width(spark), int(size * 0.4) // PART_BYTES + 1)  # 0.3 seeds of 8 bytes a word of 6
     seeds = map_arrow(packed, _seeds(parts), _SENT_DDL)
     shared = materialise(seeds.groupBy("part").applyInArrow(_shared(HOT_BUCKETS, HOT), _BITS_DDL), "repeat-seeds")
-    runs = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extend(parts), _SENT_DDL)
+    occurrences = shared.agg(F.sum("shared")).first()[0] or 0
+    run_parts = max(parts, occurrences // PART_OCCURRENCES + 1)
+    runs = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extend(parts, run_parts), _SENT_DDL)
     earlier = materialise(runs.groupBy("part").applyInArrow(_matched, _BITS_DDL), "repeat-runs")
     answers = shared.unionByName(earlier)
-    return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_remove(parts), "doc_id long, n_words long, n_removed long, spans string, kept string")
+    return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_remove(parts, run_parts), "doc_id long, n_words long, n_removed long, spans string, kept string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
