@@ -192,6 +192,24 @@ def test_toxic_words_are_learnt(spark):
     assert toxicity.fit(df.limit(0)).score(np.zeros((1, 2))).tolist() == [0.0]
 
 
+def test_aligned_texts_share_a_rare_word_in_any_order_of_words():
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 80))
+        a = rng.integers(0, 30 if rng.random() < 0.5 else 10**9, n).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, n // 4 + 2))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = [int(rng.integers(0, 40))] * int(rng.integers(0, 2))
+        if b and near_dedup.alike(a, b):
+            met += 1
+            counts = rng.integers(0, 5, 64)
+            one, two = (set(near_dedup.rare_words(np.array(x, np.uint64), counts).tolist()) for x in (a, b))
+            assert one & two and len(one) == int(len(a) * 0.2 + 1e-9) + 1
+    assert met > 200
+
+
 def test_parting_by_a_word_is_the_same_for_any_number_of_classes():
     rng = np.random.default_rng(6)
     few, word = rng.integers(0, 50, 3000), rng.integers(1, 4, 3000).astype(np.uint64) << np.uint64(36)

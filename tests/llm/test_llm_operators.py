@@ -214,6 +214,25 @@ def test_mixing(spark, docs, empty, rows):
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_unlike_texts_with_a_common_header_cost_rows_and_not_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    header = " ".join(f"h{k}" for k in range(60))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(1500)]
+    for k in range(0, 1500, 30):  # every thirtieth has an edited copy
+        words = own[k].split()
+        for _ in range(8):
+            words[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+        own[k + 1] = " ".join(words)
+    df = spark.createDataFrame([(k, f"{header} {t}") for k, t in enumerate(own)], "doc_id long, text string")
+    sizes, blocks = [], near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "_blocks", lambda rows: (sizes.append(rows.count()), blocks(rows))[1])
+    want = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    monkeypatch.setattr(near_dedup, "CHUNK", 32)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == want == {k: k - 1 if k % 30 == 1 else k for k in range(1500)}
+    assert sizes[0] > 3_000 and sizes[1] < sizes[0], sizes  # members of keys before, and what is left of them to be compared
+
+
 def test_parts_by_occurrences_change_no_removal(spark, monkeypatch):
     rng = random.Random(12)
     passages = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(13, 40))) for _ in range(6)]

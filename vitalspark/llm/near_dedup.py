@@ -12,7 +12,10 @@ of long texts keep masks of the band only, so their memory grows with the text a
 Candidates: the members of a key are compared with its least member first, and the links found are closed to classes.
 A key whose members are then of one class is done, so a group of near copies of any size costs one comparison a member.
 In every other key all pairs of members of different classes are compared, those that passed as well as those that
-failed: members are dealt to chunks and every two chunks meet in a block. Two exact lower bounds of the distance,
+failed: members are dealt to chunks and every two chunks meet in a block. A key of more than CHUNK members is split first
+by an exact prefix filter: texts that are aligned share at least a word (the n-th of its kind) among the fifth of the words
+of each that are rarest in such keys, so members meet by those words alone, and a key of unlike members, such as a header
+that very many texts begin with, costs a row for each of these words and not a comparison for each pair. Two exact lower bounds of the distance,
 from lengths and from word counts in buckets, spare the alignment of most pairs; a pair that the block's own links
 have already put into one class is skipped. So two texts that share a key and are aligned are of one class, whatever
 else the key holds. Not all aligned texts share a key: the README has the measured share, 0.5 to 0.6 at alignment 0.8.
@@ -43,6 +46,8 @@ from .common import WORD_PATTERN, fresh, map_arrow, materialise, maybe_broadcast
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 1, 11
 #: Members and packed bytes of a chunk on average, and the buckets of the two word-count bounds.
 CHUNK, CHUNK_BYTES, COARSE, FINE = 1024, 4 << 20, 64, 1024
+#: Cells of the table of word counts that orders words by rarity; any order gives the same links.
+CELLS = 1 << 16
 #: Words up to which an alignment keeps a bit mask of each word; beyond, masks of the band are made as they are needed.
 MASKED = 4096
 _WORD = re.compile(WORD_PATTERN)
@@ -303,6 +308,66 @@ def block_links(nodes: list[bytes], labels: list[bytes], sides: list[int], raw:
     return found
 
 
+def rare_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Digests of a text's words of a kind, each with its number among these, of the share that aligned texts can differ by
+    and one more, rarest first. Two aligned texts have one in common: they share all but a share of the longer's words."""
+    kinds, back = np.unique(words, return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    nth = np.empty(len(words), np.uint64)
+    nth[order] = np.arange(len(words)) - np.searchsorted(back[order], back[order])
+    with np.errstate(over="ignore"):
+        token = _mix(words * _C1 + nth * _C2)
+    size = int(len(words) * (1 - SIMILARITY) + 1e-9) + 1
+    return token[np.lexsort((token, counts[(words % np.uint64(len(counts))).astype(np.int64)]))[:size]]
+
+
+def _word_counts(rows: DataFrame) -> np.ndarray:
+    """How many words of rows(words) fall in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in (s for b in batches for s in slices(b)):
+            for raw in batch.column("words").to_pylist():
+                total += np.bincount(np.array(_unpack(raw), np.int64) % CELLS, minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for cell, n in map_arrow(rows.select("words"), run, "cell int, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # CELLS rows at most
+        counts[cell] = n
+    return counts
+
+
+def _by_rare_words(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """rows(key, node, label, words) → (key, node, label): a row for each rare word, with a key of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, 1 << 18)):
+            keys, raw = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("words").to_pylist()
+            if not raw:
+                continue
+            with np.errstate(over="ignore"):
+                own = [_mix(rare_words(np.array(_unpack(r), np.uint64), counts) ^ k * _C1) for r, k in zip(raw, keys)]
+            at = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), batch.column("node").take(at), batch.column("label").take(at)], names=["key", "node", "label"])
+
+    return map_arrow(rows.select("key", "node", "label", "words"), run, "key long, node binary, label binary")
+
+
+def _narrowed(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """rows(key, node, label, words) with each key of more than CHUNK members replaced by those of its rare words that
+    members of different labels share."""
+    hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key"), "omh-hot")
+    if hot.isEmpty():
+        return rows
+    own = maybe_broadcast(hot, 32)
+    large = rows.join(own, "key", "left_semi")
+    spread = materialise(_by_rare_words(large, _word_counts(large)), "omh-spread")
+    kept = spread.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    met = spread.join(materialise(kept, "omh-spread-keys").hint("merge"), "key").join(words, "node")
+    return rows.join(own, "key", "left_anti").unionByName(met.select("key", "node", "label", "words"))
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """rows(key, node, label, words) → (node, lead): links that join all alike members of a key."""
     per = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.octet_length("words")) / CHUNK_BYTES), F.lit(1)).cast("int").alias("chunks"))
@@ -347,7 +412,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = members.join(maybe_broadcast(open_, 64), "key", "left_semi")
     rows = rows.select("key", "node").unionByName(rows.select("key", F.col("lead").alias("node")).distinct())
     rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(words, "node")
-    more = materialise(_blocks(materialise(rows, "omh-rows")).distinct(), "omh-block-links")
+    rows = materialise(_narrowed(materialise(rows, "omh-rows"), words), "omh-narrowed")
+    more = materialise(_blocks(rows).distinct(), "omh-block-links")
     ends = more.join(label, "node", "left").select("lead", "node", F.coalesce("label", "node").alias("own")).join(label.select(F.col("node").alias("lead"), "label"), "lead", "left")
     ends = materialise(ends.select("node", "lead", "own", F.coalesce("label", "lead").alias("label")), "omh-ends")
     classes = components(ends, "own", "label").withColumnRenamed("label", "class")  # of classes, which are few
