@@ -116,6 +116,51 @@ def test_transport_files(spark, tmp_path, monkeypatch):
         xpt.layout(__file__)
 
 
+def test_transport_files_as_a_format_with_pushed_filters_and_few_columns(spark, tmp_path):
+    from vitalspark.sources import formats, xpt
+
+    names = [("USUBJID", 6), ("AGE", 8), ("SEX", 1)]
+    for part in range(3):
+        _write_xpt(str(tmp_path / f"dm{part}.xpt"), names, [(f"P{part}{k:02}", None if k % 7 == 3 else float(k), "FM"[k % 2]) for k in range(30)])
+    formats.register(spark)
+    df = spark.read.format("sas_transport").option("chunk", 150).load(str(tmp_path))
+    assert df.columns == ["USUBJID", "AGE", "SEX"] and df.count() == 90 and df.rdd.getNumPartitions() == 9
+    old = df.where("AGE >= 20 and SEX = 'F' and USUBJID is not null")
+    assert sorted(r["USUBJID"] for r in old.collect()) == [f"P{p}{k:02}" for p in range(3) for k in range(20, 30, 2) if k % 7 != 3]
+    assert "Filter" not in old._jdf.queryExecution().executedPlan().toString()  # the source has them all
+    assert df.where("AGE is null").count() == 12 and df.where("SEX in ('M', 'X') and AGE < 4").count() == 3 and df.where("AGE * 2 > 50 and AGE < 28").count() == 6
+    few = spark.read.format("sas_transport").schema("AGE double").load(str(tmp_path / "dm1.xpt"))
+    assert few.columns == ["AGE"] and "SEX" not in few._jdf.queryExecution().executedPlan().toString() and few.agg(F.sum("AGE")).first()[0] == sum(k for k in range(30) if k % 7 != 3)
+    assert xpt.read_xpt(spark, [str(tmp_path / "dm0.xpt")], ["SEX"]).distinct().count() == 2
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet", "xpt"])
+def test_centre_files_as_a_format_open_only_the_wanted_centres(spark, tmp_path, kind):
+    from vitalspark.sources import formats
+
+    formats.register(spark)
+    for k, name in enumerate(("north", "center=south", "west")):
+        folder = tmp_path / name
+        folder.mkdir()
+        rows = [(float(j + k), "ab"[j % 2]) for j in range(5)]
+        if kind == "csv":
+            (folder / "x.csv").write_text("time,arm,spare\n" + "".join(f"{t},{a},z\n" for t, a in rows))
+        elif kind == "parquet":
+            import pandas as pd
+
+            pd.DataFrame(rows, columns=["time", "arm"]).to_parquet(folder / "x.parquet")
+        else:
+            _write_xpt(str(folder / "x.xpt"), [("time", 8), ("arm", 1)], rows)
+    (tmp_path / "west" / f"broken.{kind}").write_bytes(b"" if kind == "csv" else b"no such file")
+    df = spark.read.format("centers").schema("center string, arm string, time double, absent int").option("files", kind).load(str(tmp_path))
+    some = df.where("center in ('north', 'south') and time > 0")
+    assert sorted((r["center"], r["time"], r["arm"], r["absent"]) for r in some.collect()) == sorted((c, float(j + k), "ab"[j % 2], None) for k, c in enumerate(("north", "south")) for j in range(5) if j + k)
+    assert df.where("center = 'nowhere'").count() == 0
+    if kind != "csv":
+        with pytest.raises(Exception):
+            df.where("center = 'west'").collect()
+
+
 def test_grids_and_clinical_checks(spark, tmp_path):
     grid = spark.createDataFrame([(0.1, 0.67), (1.0, 0.81)], "epsilon double, accuracy double")
     tables.write_grid(grid, str(tmp_path / "grid"))

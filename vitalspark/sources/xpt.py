@@ -5,9 +5,10 @@ Files must be readable under their paths by every executor (a shared mount). Onl
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,35 +72,39 @@ def _records(path: str, own: Layout) -> int:
     return count
 
 
+def ranges(path: str, own: Layout, chunk: int) -> list[tuple[str, int, int]]:
+    """(path, first record, number of records) of runs of about `chunk` bytes."""
+    step, count = max(1, chunk // own.width), _records(path, own)
+    return [(path, at, min(step, count - at)) for at in range(0, count, step)]
+
+
+def read_range(path: str, own: Layout, at: int, count: int, names: Sequence[str], keep: Callable[[Callable[[str], pa.Array]], pa.Array | None] = lambda column: None) -> pa.RecordBatch:
+    """Some columns of a run of records; keep(column) may give a mask from the columns it asks for, and only the records
+    of the mask are decoded for the others."""
+    with open(path, "rb") as file:
+        file.seek(own.start + at * own.width)
+        raw = np.frombuffer(file.read(count * own.width), np.uint8).reshape(count, own.width)
+    known: dict[str, pa.Array] = {}
+
+    def column(name: str) -> pa.Array:
+        if name not in known:
+            k = own.names.index(name)
+            part = np.ascontiguousarray(raw[:, own.places[k] : own.places[k] + own.lengths[k]])
+            known[name] = _numbers(part) if own.numeric[k] else pa.array([t or None for t in (x.decode("utf-8", "replace").rstrip(" ") for x in part.view(f"S{own.lengths[k]}").ravel().tolist())], pa.string())
+        return known[name]
+
+    mask = keep(column)
+    if mask is not None:
+        raw = raw[np.asarray(mask)]
+        known = {n: c.filter(mask) for n, c in known.items()}
+    return pa.RecordBatch.from_arrays([column(n) for n in names], names=list(names))
+
+
 def read_xpt(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of one or several files of the same columns: numbers as doubles, texts without trailing blanks, missing as null."""
+    from .formats import TRANSPORT, register, transport_schema
+
+    register(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    layouts = {p: layout(p) for p in paths}
-    names = list(columns or layouts[paths[0]].names)
-    numeric = {n: layouts[paths[0]].numeric[layouts[paths[0]].names.index(n)] for n in names}
-    todo = []
-    for path, own in ((p, layouts[p]) for p in paths):
-        step = max(1, CHUNK // own.width)
-        count = _records(path, own)
-        todo += [(path, at, min(step, count - at)) for at in range(0, count, step)]
-    schema = ", ".join(f"`{n}` {'double' if numeric[n] else 'string'}" for n in names)
-    arrow = pa.schema([(n, pa.float64() if numeric[n] else pa.string()) for n in names])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, at, count in zip(*(c.to_pylist() for c in batch.columns)):
-                own = layouts[path]
-                with open(path, "rb") as file:
-                    file.seek(own.start + at * own.width)
-                    raw = np.frombuffer(file.read(count * own.width), np.uint8).reshape(count, own.width)
-                out = []
-                for n in names:
-                    k = own.names.index(n)
-                    part = np.ascontiguousarray(raw[:, own.places[k] : own.places[k] + own.lengths[k]])
-                    out.append(_numbers(part) if own.numeric[k] else pa.array([t or None for t in (x.decode("utf-8", "replace").rstrip(" ") for x in part.view(f"S{own.lengths[k]}").ravel().tolist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, schema=arrow)
-
-    if not todo:
-        return spark.createDataFrame([], schema)
-    ranges = spark.createDataFrame(todo, "path string, at long, n long").repartition(min(len(todo), 10_000))
-    return ranges.mapInArrow(read, schema)
+    reader = spark.read.format(TRANSPORT).option("paths", json.dumps(paths)).option("chunk", CHUNK)
+    return reader.schema(transport_schema(layout(paths[0]), columns)).load()
