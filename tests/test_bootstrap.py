@@ -122,3 +122,36 @@ def test_two_levels_on_more_than_a_million_times(spark, monkeypatch):
 def test_sampling_names(spark, tied):
     poisson = ExternalControlAnalysis(SPEC, variance="bootstrap", replicates=3, sampling="poisson").fit(tied)
     assert set(poisson.replicates) == {0, 1, 2, 3} and resample.MAX_ATTEMPTS > 1
+
+
+@pytest.mark.parametrize("by", [[], ["center"]])
+def test_packed_multiplicities_are_those_of_rows(spark, by):
+    rows = spark.createDataFrame([(k, "ab"[k % 3 > 1], float(k % 7), k % 2, k % 3 % 2) for k in range(300)], "patient_id long, center string, time double, event int, treated int")
+    spec = CohortSpec()
+    unpack = lambda df: {(r["patient_id"], k + 1): m for r in df.collect() for k, m in enumerate(r["multiplicities"]) if m}
+    flat = lambda df: {(r["patient_id"], r["replicate"]): r["multiplicity"] for r in df.collect()}
+    assert unpack(resample.draws_packed(rows, spec, 6, by)) == flat(resample.draw_multiplicities(rows, spec, 6, by))
+    poisson = resample.poisson_packed(rows, spec, 6)
+    assert poisson.columns == [*rows.columns, "multiplicities"] and unpack(poisson) == flat(resample.poisson_multiplicities(rows, spec, 6))
+
+
+def test_packed_sums_by_time_equal_grouped_ones_whatever_is_held(spark):
+    rows = spark.createDataFrame([(k, float(k % 11) if k % 50 else None, k % 2, float(k)) for k in range(400)], "patient_id long, time double, event int, v double")
+    spec = CohortSpec()
+    packed = resample.poisson_packed(rows, spec, 5)
+    flat = rows.join(resample.poisson_multiplicities(rows, spec, 5), "patient_id").where("time is not null").groupBy("replicate", "time").agg(F.sum(F.col("multiplicity") * F.col("v")).alias("a"), F.sum(F.col("multiplicity") * F.col("event")).cast("double").alias("b"))
+    want = sorted(map(tuple, flat.collect()))
+    for flush in (1, 4 << 20):
+        got = resample.packed_time_sums(packed.repartition(3), spec, {"a": F.col("v"), "b": F.col("event")}, 5, flush=flush)
+        assert sorted(map(tuple, got.collect())) == pytest.approx(want)
+
+
+def test_mean_of_a_metric_over_replicates(spark):
+    rows = spark.createDataFrame([(k, float(k)) for k in range(40)], "patient_id long, v double")
+    spec = CohortSpec()
+    draws = resample.draw_multiplicities(rows, spec, 7)
+    boot = resample.replicate(rows, spec, draws)
+    metric = lambda df, by: df.groupBy(*by).agg((F.sum(F.col("multiplicity") * F.col("v")) / F.sum("multiplicity")).alias("m"))
+    drawn = draws.toPandas()
+    want = drawn.assign(v=drawn["multiplicity"] * drawn["patient_id"]).groupby("replicate").agg({"v": "sum", "multiplicity": "sum"}).eval("v / multiplicity").mean()
+    assert resample.bootstrap_metric(boot, metric, "m").first()[0] == pytest.approx(want)

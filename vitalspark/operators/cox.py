@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from ..cohort import CohortSpec
 from ..functions.stats import normal_quantile, soft_abs, two_sided_p
 from .newton import dot, safe_offset, symmetric, triangle
+from .resample import packed_time_sums
 from .scan import auto_buckets, running, sized, suffix_sum
 
 #: Rows of a table by time that the driver takes to iterate on; larger ones stay in Spark.
@@ -78,6 +79,14 @@ def time_table(df: DataFrame, spec: CohortSpec, x: Column, by: Sequence[str] = (
     return suffix_sum(at, list(by), "time", ["r0", "r1"], buckets).where(F.col("dw") > 0)
 
 
+def packed_time_table(df: DataFrame, spec: CohortSpec, x: Column, replicates: int, name: str = "multiplicities") -> DataFrame:
+    """The `time_table` of all replicates, by replicate, of rows with packed multiplicities."""
+    w, e = spec.w, F.col(spec.event)
+    sums = {"r0": F.when(x == 0, w), "r1": F.when(x == 1, w), "dw": w * e, "dwx": w * e * x}
+    at, buckets = sized(packed_time_sums(df, spec, sums, replicates, name))
+    return suffix_sum(at, ["replicate"], "time", ["r0", "r1"], buckets).where(F.col("dw") > 0)
+
+
 def fit_binary(table: DataFrame, by: str | None = None, max_iter: int = 50, tol: float = 1e-9) -> dict:
     """{group: (beta, information, log-likelihood, iterations)} from a `time_table`; one group None without by.
 

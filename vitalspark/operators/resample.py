@@ -1,14 +1,24 @@
-"""Bootstrap replicates as a column: multiplicities of rows for each replicate, replicate 0 being the data as it is."""
+"""Bootstrap replicates: multiplicities of rows for each replicate, replicate 0 being the data as it is.
+
+Two forms: a column `replicate`, with a row for each replicate that has it, for estimators of any kind; and packed, one row
+with the multiplicities of all replicates as bytes, for statistics that are sums by time. Those are added up as arrays where
+the rows are (`packed_time_sums`), so that what is shuffled is a row for each time and task, whatever the replicates.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..cohort import CohortSpec, bucket_rank
+from ..sources.scratch import settle
 
 #: Draws that may be needed until every centre has its rows; beyond, a centre is too small for the bootstrap.
 MAX_ATTEMPTS = 50
@@ -42,7 +52,7 @@ def draw_valid(df: DataFrame, spec: CohortSpec, replicates: int, least: int = 2,
     n_centers = df.select(spec.center).distinct().count()
     out, todo = None, list(range(1, replicates + 1))
     for attempt in range(MAX_ATTEMPTS):
-        drawn = draw_multiplicities(df, spec, todo, seed=seed, attempt=attempt)
+        drawn = settle(draw_multiplicities(df, spec, todo, seed=seed, attempt=attempt), "drawn")  # for the check and for use
         per = drawn.join(centers, spec.id).groupBy("replicate", spec.center).agg(F.sum("multiplicity").alias("n"))
         good = [r[0] for r in per.where(F.col("n") >= least).groupBy("replicate").count().where(F.col("count") == n_centers).collect()]  # replicates
         kept = drawn.where(F.col("replicate").isin(good)) if len(good) < len(todo) else drawn
@@ -55,17 +65,111 @@ def draw_valid(df: DataFrame, spec: CohortSpec, replicates: int, least: int = 2,
 
 def poisson_multiplicities(df: DataFrame, spec: CohortSpec, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, id, multiplicity) with independent Poisson(1) multiplicities from a hash of row and replicate: no
-    ranking and no join, so the form for very large cohorts. Bounds of up to 20 exhaust the hash's 52 bits."""
-    bounds, total = [], 0.0
-    for k in range(20):
-        total += math.exp(-1) / math.factorial(k)
-        bounds.append(total)
+    ranking. To be joined with the rows by `replicate`; `poisson_packed` is the form without a join, for very large cohorts."""
+    bounds = _poisson_bounds()
     u = (hash52(F.lit(seed), "replicate", spec.id).cast("double") + 0.5) / float(1 << 52)
     m = sum((F.when(F.col("__u") >= b, 1).otherwise(0) for b in bounds[1:]), F.when(F.col("__u") >= bounds[0], 1).otherwise(0))
     rows = df.select(spec.id, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__u", u)
     return rows.where(F.col("__u") >= bounds[0]).select("replicate", spec.id, m.alias("multiplicity"))
 
 
+def _poisson_bounds() -> list[float]:
+    """Cumulative shares of 0, 1, ...; up to 20 exhaust the hash's 52 bits."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)]).tolist()
+
+
+def poisson_packed(df: DataFrame, spec: CohortSpec, replicates: int, seed: int = 1, name: str = "multiplicities") -> DataFrame:
+    """df with the multiplicities of replicates 1.. as bytes, those of `poisson_multiplicities`: a map over the rows."""
+    bounds = np.array(_poisson_bounds())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [b"".join(hashlib.md5(f"{seed}:{r}:{i}".encode()).digest()[:7] for r in range(1, replicates + 1)) for i in batch.column("__name").to_pylist()]
+            whole = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 7).astype(np.int64)  # 13 hexadecimal digits are 52 bits
+            u = ((whole @ (1 << np.arange(48, -1, -8))) >> 4) + 0.5
+            m = np.searchsorted(bounds, (u / float(1 << 52)).reshape(-1, replicates), side="right").astype(np.uint8)
+            columns = [batch.column(c) for c in batch.schema.names if c != "__name"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in m], pa.binary())], names=[*(c for c in batch.schema.names if c != "__name"), name])
+
+    schema = StructType([*df.schema.fields, StructField(name, BinaryType())])
+    return df.withColumn("__name", F.col(spec.id).cast("string")).mapInArrow(run, schema)
+
+
+def draws_packed(df: DataFrame, spec: CohortSpec, replicates: int, by: Sequence[str] = (), buckets: int = 32, seed: int = 1, name: str = "multiplicities") -> DataFrame:
+    """df with the multiplicities of `draw_multiplicities` as bytes: picks go to the rank that they pick, as numbers, and rows
+    are joined once."""
+    ids = df.select(*by, spec.id)
+    ranked = bucket_rank(ids, spec.id, buckets, "rank", by)
+    sizes = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    draws = (ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    picks = draws.select(*by, "replicate", F.pmod(hash52(F.lit(seed), "replicate", F.lit(0), *by, "rank"), F.col("n")).alias("rank"))
+    packed = picks.groupBy(*by, "rank").agg(F.collect_list(F.col("replicate").cast("smallint")).alias("picks"))  # about as many as replicates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.bincount(p, minlength=replicates + 1)[1:].astype(np.uint8).tobytes() if p else bytes(replicates) for p in batch.column("picks").to_pylist()]  # 256 picks of a row have a probability below 1e-500
+            yield batch.set_column(batch.schema.get_field_index("picks"), "picks", pa.array(own, pa.binary()))
+
+    named = ranked.join(packed, [*by, "rank"], "left").select(spec.id, "picks")
+    made = named.mapInArrow(run, StructType([named.schema[spec.id], StructField("picks", BinaryType())]))
+    return df.join(made.withColumnRenamed("picks", name), spec.id)
+
+
+def packed_time_sums(df: DataFrame, spec: CohortSpec, sums: dict[str, Column], replicates: int, name: str = "multiplicities", flush: int = 4 << 20) -> DataFrame:
+    """(replicate, time, sums...): sums of columns times multiplicity by replicate and time, of df with packed multiplicities.
+
+    A task adds up arrays of all replicates by time and hands on one row a time (or several, once `flush` numbers are held);
+    a shuffle by time adds these up. Times that a replicate has no row of are left out.
+    """
+    names = list(sums)
+    rows = df.select(F.col(spec.duration).cast("double").alias("time"), F.col(name).alias("m"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"s{k}") for k, c in enumerate(sums.values())]).where("time is not null")
+    width = len(names) + 1  # the last counts rows
+
+    def add(total: dict, time: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(time, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(time[order]) != 0])
+        for t, v in zip(time[order][starts].tolist(), np.add.reduceat(values[order], starts)):
+            total[t] = total[t] + v if t in total else v
+
+    def give(total: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["time", "v"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[float, np.ndarray] = {}
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                m = np.frombuffer(b"".join(part.column("m").to_pylist()), np.uint8).reshape(-1, replicates).astype(float)
+                own = np.stack([*(part.column(f"s{k}").to_numpy(zero_copy_only=False) for k in range(len(names))), np.ones(len(m))], 1)
+                add(total, part.column("time").to_numpy(zero_copy_only=False), (own[:, :, None] * m[:, None, :]).reshape(len(m), -1))
+                if len(total) * width * replicates > flush:
+                    yield give(total)
+                    total = {}
+        yield give(total)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0)
+
+        def spread(time: float, v: np.ndarray) -> pa.RecordBatch:
+            table = v.reshape(width, replicates)
+            some = np.flatnonzero(table[-1])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32) + 1), pa.array(np.full(len(some), time)), *(pa.array(x[some]) for x in table[:-1])], names=["replicate", "time", *names])
+
+        for batch in batches:
+            for time, raw in zip(batch.column("time").to_pylist(), batch.column("v").to_pylist()):
+                if time == last:
+                    own = own + np.frombuffer(raw)
+                else:
+                    if last is not None:
+                        yield spread(last, own)
+                    last, own = time, np.frombuffer(raw)
+        if last is not None:
+            yield spread(last, own)
+
+    parts = rows.mapInArrow(local, "time double, v binary").repartition("time").sortWithinPartitions("time")
+    return parts.mapInArrow(merged, "replicate int, time double, " + ", ".join(f"`{n}` double" for n in names))
+
+
 def fold_multiplicities(df: DataFrame, spec: CohortSpec, folds: int, repeats: int = 1, seed: int = 1) -> DataFrame:
     """Cross-validation as replicates: replicate r * folds + k + 1 has every row but fold k's of repetition r, once."""
     fold = F.pmod(hash52(F.lit(seed), "repeat", spec.id), F.lit(folds))

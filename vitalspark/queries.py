@@ -5,6 +5,7 @@ Every statistical query reads the canonical cohort (sources.tables). Floating re
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .cohort import CohortSpec, att_weight, ate_weight, atc_weight, min_max, one_hot, reallocate, signed_time, split_control, split_uniform, violations, zscore
 from .functions.stats import repair_bounds
 from .operators import etl, report
-from .operators.cox import SUMMARY_SCHEMA, fit_binary, fit_cox, sandwich, summary_rows, time_table
+from .operators.cox import SUMMARY_SCHEMA, fit_binary, packed_time_table, fit_cox, sandwich, summary_rows, time_table
 from .operators.fedavg import fit_fed_avg
 from .operators.km import center_event_table, center_risk_table, event_table, kaplan_meier, on_grid, regular_grid, with_confidence
 from .operators.logit import fit_logit
@@ -22,7 +23,7 @@ from .operators.maic import fit_maic, maic_targets
 from .operators.metrics import accuracy, concordance
 from .operators.moments import arm_moments, effective_sample_size, merged_moments, smd, variance_ratio
 from .operators.privacy import ORDERS, PrivacyLedger, fit_private_logit
-from .operators.resample import bootstrap_variance, draw_multiplicities, replicate, valid_replicates
+from .operators.resample import bootstrap_metric, bootstrap_variance, draw_multiplicities, draws_packed, poisson_packed, replicate, valid_replicates
 from .operators.simulate import CoxSimulator
 from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
@@ -533,17 +534,38 @@ def boot_cox(spark, sf):
     return rounded(_boot_estimates(spark, sf), 5)
 
 
-def _boot_estimates(spark, sf) -> DataFrame:
-    b = _boot(cohort(spark, sf), []).where("replicate > 0").withColumn("bw", F.col("boot_weight") * ate_weight("treated", F.col("ps"), None))
-    found = fit_binary(time_table(b, SPEC.weighted("bw"), F.col("treated"), by=["replicate"]), by="replicate")
+def _boot_estimates(spark, sf, packed=draws_packed) -> DataFrame:
+    df, spec = weighted(spark, sf)
+    found = fit_binary(packed_time_table(packed(df, spec, _REPLICATES), spec, F.col("treated"), _REPLICATES), by="replicate")
     return spark.createDataFrame([(int(k), v[0]) for k, v in sorted(found.items())], "replicate int, coef double")
 
 
+def _poisson_sql() -> str:
+    """Poisson multiplicities from the digest of a row and a replicate."""
+    bounds, total = [], 0.0
+    for k in range(20):
+        total += math.exp(-1) / math.factorial(k)
+        bounds.append(total)
+    draws = f"pu AS (SELECT c1.*, CAST(replicate AS int) AS replicate, (CAST('0x' || substr(md5('1:' || replicate || ':' || patient_id), 1, 13) AS bigint) + 0.5) / 4503599627370496.0 AS u FROM c1, (SELECT unnest(generate_series(1, {_REPLICATES})) AS replicate))"
+    return C1 + f", {draws}, mu AS (SELECT *, {' + '.join(f'CAST(u >= {b!r} AS int)' for b in bounds)} AS multiplicity FROM pu WHERE u >= {bounds[0]!r})"
+
+
+@query("boot_cox_poisson", _cox_sql(f"(multiplicity * {_ATE})", "mu", "replicate", head=_poisson_sql()) + " SELECT replicate, round(beta, 5) AS coef FROM n10")
+def boot_cox_poisson(spark, sf):
+    return rounded(_boot_estimates(spark, sf, poisson_packed), 5)
+
+
 @query("boot_variance", _BOOT_COX + " SELECT round(stddev_pop(beta), 5) AS std_coef, round(covar_pop(beta, beta), 6) AS cov_coef_coef FROM n10")
 def boot_variance(spark, sf):
     return bootstrap_variance(_boot_estimates(spark, sf), ["coef"]).select(F.round("std_coef", 5).alias("std_coef"), F.round("cov_coef_coef", 6).alias("cov_coef_coef"))
 
 
+@query("boot_metric", _draws_sql() + ", a AS (SELECT replicate, sum(multiplicity * CAST((CASE WHEN ps > 0.5 THEN 1 ELSE 0 END) = treated AS int)) / sum(multiplicity) AS a FROM mu GROUP BY replicate) SELECT round(avg(a), 6) AS accuracy FROM a")
+def boot_metric(spark, sf):
+    m, hit = F.col("multiplicity"), (F.when(F.col("ps") > 0.5, 1).otherwise(0) == F.col("treated")).cast("int")
+    return rounded(bootstrap_metric(_boot(cohort(spark, sf), []), lambda rows, by: rows.groupBy(*by).agg((F.sum(m * hit) / F.sum(m)).alias("accuracy")), "accuracy"))
+
+
 #: Replicates that whole estimators are fitted on.
 _FEW = 2
 _BOOT_ROWS = _draws_sql().replace(f"generate_series(1, {_REPLICATES})", f"generate_series(1, {_FEW})") + ", bt AS (SELECT replicate, multiplicity, center, time, event, treated, x_lines, x_bal, x_urgent FROM mu)"
