@@ -61,6 +61,33 @@ def test_stream_gives_the_batch_curve(spark, tmp_path):
     assert [r["survival"] for r in got] == pytest.approx([r["survival"] for r in want])
 
 
+def test_upserts_of_a_stream_survive_restarts_and_repeated_batches(spark, tmp_path):
+    from vitalspark.streaming.upsert import UpsertTable, keep_counts
+
+    df, source = rows(spark), str(tmp_path / "in")
+    table = UpsertTable(spark, str(tmp_path / "table"), ["treated", "time"], keep=3)
+    assert table.read() is None
+    for k, part in enumerate(df.randomSplit([1.0] * 5, seed=3)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        if k == 2:
+            continue  # two files come in one restart
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = keep_counts(stream, CohortSpec(), table, str(tmp_path / "cp"), ["treated"], availableNow=True)
+        q.awaitTermination()
+    batches = table.last_batch()
+    assert batches == 4 and len(table._live(table.log.read())) <= 3
+    got = {(r["treated"], r["time"]): (r["leaving"], r["events"]) for r in table.read().collect()}
+    want = df.groupBy("treated", "time").agg(F.sum(F.lit(1.0)).alias("n"), F.sum(F.col("event").cast("double")).alias("d")).collect()
+    assert got == {(r["treated"], r["time"]): (r["n"], r["d"]) for r in want}
+    # a batch that died after its merge comes again; one that was torn before its entry leaves no trace
+    assert not table.merge(table.read().withColumn("events", F.lit(-1.0)), batches)
+    table.read().write.parquet(str(tmp_path / "table" / "part-torn"))
+    again = UpsertTable(spark, str(tmp_path / "table"), ["treated", "time"])
+    assert {(r["treated"], r["time"]): (r["leaving"], r["events"]) for r in again.read().collect()} == got
+    curve = {(r["treated"], r["time"]): r["survival"] for r in curve_of_counts(again.read(), ["treated"]).collect()}
+    assert curve == pytest.approx({(r["treated"], r["time"]): r["survival"] for r in kaplan_meier(df, CohortSpec()).collect()})
+
+
 def _ibm(x):
     """A number in the transport format's base-16 floating point."""
     import math
