@@ -23,11 +23,13 @@ from .operators.maic import fit_maic, maic_targets
 from .operators.metrics import accuracy, concordance
 from .operators.moments import arm_moments, effective_sample_size, merged_moments, smd, variance_ratio
 from .operators.privacy import ORDERS, PrivacyLedger, fit_private_logit
+from .operators.quantiles import exact_quantiles
 from .operators.resample import bootstrap_metric, bootstrap_variance, draw_multiplicities, draws_packed, poisson_packed, replicate, valid_replicates
 from .operators.simulate import CoxSimulator
 from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
 from .sources.scratch import shared_dir
+from .sources.states import CentreStates
 from .sources.tables import COHORT_SQL, COVARIATES, clinical_violations, cohort, fingerprint, left_join_all, table
 
 SPEC = CohortSpec(covariates=COVARIATES)
@@ -720,9 +722,18 @@ def binary_columns(spark, sf):
 @query("binned", C1 + ", q AS (SELECT quantile_cont(x_bal, 0.25) AS a, quantile_cont(x_bal, 0.5) AS b, quantile_cont(x_bal, 0.75) AS c FROM c1) SELECT patient_id, CAST(x_bal > a AS int) + CAST(x_bal > b AS int) + CAST(x_bal > c AS int) AS bin FROM c1, q")
 def binned(spark, sf):
     df = cohort(spark, sf).select("patient_id", "x_bal")
-    cuts = df.agg(F.percentile("x_bal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    bit = lambda k: (F.col("x_bal") > F.col("q")[k]).cast("int")
-    return df.join(F.broadcast(cuts)).select("patient_id", (bit(0) + bit(1) + bit(2)).alias("bin"))
+    cuts = exact_quantiles(df, ["x_bal"], [0.25, 0.5, 0.75])["x_bal"]
+    above = [(F.col("x_bal") > F.lit(c)).cast("int") for c in cuts]
+    return df.select("patient_id", (above[0] + above[1] + above[2]).alias("bin"))
+
+
+_SHARES = (0.0, 0.1, 0.5, 0.9, 1.0)
+
+
+@query("quantiles", C1 + " " + " UNION ALL ".join(f"SELECT '{c}' AS covariate, CAST({p} AS double) AS p, round(quantile_cont(CAST({c} AS double), {p}), 6) AS value FROM c1" for c in (*COVARIATES, "time") for p in _SHARES))
+def quantiles(spark, sf):
+    found = exact_quantiles(cohort(spark, sf), [*COVARIATES, "time"], _SHARES)
+    return rounded(spark.createDataFrame([(c, p, v) for c, own in found.items() for p, v in zip(_SHARES, own)], "covariate string, p double, value double"))
 
 
 # ---------------------------------------------------------------- results and reports
@@ -903,6 +914,32 @@ def privacy_budget(spark, sf):
     return rounded(spark.createDataFrame([(c, steps, e) for c, e in ledger.spent().items()], "center string, steps long, epsilon double"), 5)
 
 
+def _delivered(spark, sf) -> CentreStates:
+    """States of three deliveries: half the rows of all centres, then two centres whole, then the others whole."""
+    df, spec = weighted(spark, sf)
+    states = CentreStates(spark, f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", COVARIATES)
+    first = F.col("center").isin("ASIA", "EUROPE")
+    for version, rows in enumerate((df.where("patient_id % 2 = 0"), df.where(first), df.where(~first))):
+        states.deliver(rows, spec, version)
+    return states
+
+
+@query("states_cox", _cox_sql(_ATE) + " SELECT round(beta, 5) AS coef, round(1 / sqrt(h), 5) AS se FROM n10")
+def states_cox(spark, sf):
+    beta, info, _, _ = fit_binary(_delivered(spark, sf).time_table())[None]
+    return rounded(spark.createDataFrame([(beta, info**-0.5)], "coef double, se double"), 5)
+
+
+@query("states_moments", C1 + _LONG + " SELECT covariate, count(x) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var, round(sum(w * x) / sum(w), 6) AS w_mean FROM long GROUP BY covariate")
+def states_moments(spark, sf):
+    return rounded(_delivered(spark, sf).moments().drop("w_var"))
+
+
+@query("states_covariances", C1 + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(covar_pop({a}, {b}), 6) AS cov FROM c1" for i, a in enumerate(COVARIATES) for b in COVARIATES[i:]))
+def states_covariances(spark, sf):
+    return rounded(_delivered(spark, sf).covariances())
+
+
 @query("experiment")
 def experiment(spark, sf):
     from .plans.experiment import single_experiment
