@@ -227,7 +227,7 @@ def test_unlike_texts_with_a_common_header_cost_rows_and_not_pairs(spark, monkey
     sizes, blocks = [], near_dedup._blocks
     monkeypatch.setattr(near_dedup, "_blocks", lambda rows: (sizes.append(rows.count()), blocks(rows))[1])
     want = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
-    monkeypatch.setattr(near_dedup, "CHUNK", 32)
+    monkeypatch.setattr(near_dedup, "MANY", 32)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
     assert got == want == {k: k - 1 if k % 30 == 1 else k for k in range(1500)}
     assert sizes[0] > 3_000 and sizes[1] < sizes[0], sizes  # members of keys before, and what is left of them to be compared

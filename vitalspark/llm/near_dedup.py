@@ -12,10 +12,11 @@ of long texts keep masks of the band only, so their memory grows with the text a
 Candidates: the members of a key are compared with its least member first, and the links found are closed to classes.
 A key whose members are then of one class is done, so a group of near copies of any size costs one comparison a member.
 In every other key all pairs of members of different classes are compared, those that passed as well as those that
-failed: members are dealt to chunks and every two chunks meet in a block. A key of more than CHUNK members is split first
-by an exact prefix filter: texts that are aligned share at least a word (the n-th of its kind) among the fifth of the words
-of each that are rarest in such keys, so members meet by those words alone, and a key of unlike members, such as a header
-that very many texts begin with, costs a row for each of these words and not a comparison for each pair. Two exact lower bounds of the distance,
+failed: members are dealt to chunks and every two chunks meet in a block. A key of more than MANY members is split first
+by an exact prefix filter if that leaves fewer pairs, which is counted: texts that are aligned share at least a word (the
+n-th of its kind) among the fifth of the words of each that are rarest in such keys, so members may meet by those words
+alone, and a key of unlike members, such as a header that very many texts begin with, costs a row for each of these words
+and not a comparison for each pair. Two exact lower bounds of the distance,
 from lengths and from word counts in buckets, spare the alignment of most pairs; a pair that the block's own links
 have already put into one class is skipped. So two texts that share a key and are aligned are of one class, whatever
 else the key holds. Not all aligned texts share a key: the README has the measured share, 0.5 to 0.6 at alignment 0.8.
@@ -46,6 +47,8 @@ from .common import WORD_PATTERN, fresh, map_arrow, materialise, maybe_broadcast
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 1, 11
 #: Members and packed bytes of a chunk on average, and the buckets of the two word-count bounds.
 CHUNK, CHUNK_BYTES, COARSE, FINE = 1024, 4 << 20, 64, 1024
+#: Members from which a key may be split by rare words, and how many times fewer pairs that must leave.
+MANY, FEWER = 4 * CHUNK, 4
 #: Cells of the table of word counts that orders words by rarity; any order gives the same links.
 CELLS = 1 << 16
 #: Words up to which an alignment keeps a bit mask of each word; beyond, masks of the band are made as they are needed.
@@ -339,7 +342,7 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
 
 
 def _by_rare_words(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """rows(key, node, label, words) → (key, node, label): a row for each rare word, with a key of its own."""
+    """rows(key, node, label, words) → (whole, key, node, label): a row for each rare word, with a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, 1 << 18)):
@@ -349,23 +352,25 @@ def _by_rare_words(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             with np.errstate(over="ignore"):
                 own = [_mix(rare_words(np.array(_unpack(r), np.uint64), counts) ^ k * _C1) for r, k in zip(raw, keys)]
             at = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in own]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), batch.column("node").take(at), batch.column("label").take(at)], names=["key", "node", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(np.concatenate(own).view(np.int64)), batch.column("node").take(at), batch.column("label").take(at)], names=["whole", "key", "node", "label"])
 
-    return map_arrow(rows.select("key", "node", "label", "words"), run, "key long, node binary, label binary")
+    return map_arrow(rows.select("key", "node", "label", "words"), run, "whole long, key long, node binary, label binary")
 
 
 def _narrowed(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rows(key, node, label, words) with each key of more than CHUNK members replaced by those of its rare words that
-    members of different labels share."""
-    hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key"), "omh-hot")
+    """rows(key, node, label, words) with each key of more than MANY members, if that leaves few pairs, replaced by those of
+    its rare words that members of different labels share."""
+    hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY), "omh-hot")
     if hot.isEmpty():
         return rows
-    own = maybe_broadcast(hot, 32)
-    large = rows.join(own, "key", "left_semi")
+    large = rows.join(maybe_broadcast(hot.select("key"), 32), "key", "left_semi")
     spread = materialise(_by_rare_words(large, _word_counts(large)), "omh-spread")
-    kept = spread.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    met = spread.join(materialise(kept, "omh-spread-keys").hint("merge"), "key").join(words, "node")
-    return rows.join(own, "key", "left_anti").unionByName(met.select("key", "node", "label", "words"))
+    met = materialise(spread.groupBy("whole", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b"), "omh-spread-keys")
+    pairs = met.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    better = hot.join(pairs, hot["key"] == pairs["whole"], "left").where(F.coalesce("pairs", F.lit(0.0)) * FEWER < F.col("n").cast("double") * F.col("n")).select("key")
+    better = maybe_broadcast(materialise(better, "omh-split"), 32)
+    some = spread.join(better.withColumnRenamed("key", "whole"), "whole", "left_semi").join(met.select("whole", "key").hint("merge"), ["whole", "key"])
+    return rows.join(better, "key", "left_anti").unionByName(some.join(words, "node").select("key", "node", "label", "words"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
