@@ -34,6 +34,19 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert a == b and a != tables.fingerprint(df.withColumn("time", F.col("time") + 1)).first()
 
 
+def test_portable_fingerprint_and_labels(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (3, "")], "k int, s string")
+    one = tables.portable_fingerprint(df, ["k", "s"]).first()
+    assert one == tables.portable_fingerprint(df.orderBy(F.desc("k")).repartition(3), ["k", "s"]).first() and one["n_rows"] == 4
+    assert one != tables.portable_fingerprint(df.na.fill(""), ["k", "s"]).first() and one["fingerprint"] != tables.portable_fingerprint(df.distinct(), ["k", "s"]).first()["fingerprint"]
+    assert tables.portable_fingerprint(df.limit(0), ["k"]).first()["fingerprint"] == "0"
+    with pytest.raises(ValueError):
+        tables.portable_fingerprint(df.withColumn("x", F.lit(1.0)), ["x"])
+    names = spark.createDataFrame([(" Age (years) ", "smd_age_at_start"), ("BMI", "smd"), (None, None)], "a string, b string")
+    kind, rest = tables.label_parts("b")
+    assert [tuple(r) for r in names.select(tables.clean_name("a"), kind, rest).collect()] == [("age_years", "smd", "age_at_start"), ("bmi", "smd", None), (None, None, None)]
+
+
 def test_registry(spark):
     df = spark.createDataFrame([("s_N120_cols-age-bmi", "x"), ("t_N5_cols-age", "y")], "name string, owner string")
     assert tables.registry(df, owner="x").count() == 1 and tables.registry(df, pattern="t_.*").count() == 1 and tables.registry(df, pattern="t_").count() == 0

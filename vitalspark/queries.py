@@ -30,7 +30,7 @@ from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
 from .sources.scratch import shared_dir
 from .sources.states import CentreStates
-from .sources.tables import COHORT_SQL, COVARIATES, clinical_violations, cohort, fingerprint, left_join_all, table
+from .sources.tables import COHORT_SQL, COVARIATES, clean_name, clinical_violations, cohort, fingerprint, label_parts, left_join_all, portable_fingerprint, table
 
 SPEC = CohortSpec(covariates=COVARIATES)
 CENTERS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -708,6 +708,21 @@ def fingerprint_query(spark, sf):
     return fingerprint(cohort(spark, sf))
 
 
+_DIGESTED = ("patient_id", "center", "event", "treated", "x_urgent")
+_TEXTS = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in _DIGESTED)
+
+
+@query("fingerprint_portable", C1 + f" SELECT CAST(sum(CAST('0x' || substr(md5({_TEXTS}), 1, 13) AS bigint)) AS varchar) AS fingerprint, count(*) AS n_rows FROM c1")
+def fingerprint_portable(spark, sf):
+    return portable_fingerprint(cohort(spark, sf), _DIGESTED)
+
+
+@query("labels", "SELECT c_custkey, trim(regexp_replace(lower(c_mktsegment || ' / ' || c_name), '[^a-z0-9]+', '_', 'g'), '_') AS name, lower(split_part(c_name, '#', 1)) AS kind, CASE WHEN instr(c_name, '#') > 0 THEN substr(c_name, instr(c_name, '#') + 1) END AS number FROM customer")
+def labels_query(spark, sf):
+    kind, number = label_parts("c_name", "#")
+    return table(spark, sf, "customer").select("c_custkey", clean_name(F.concat("c_mktsegment", F.lit(" / "), "c_name")).alias("name"), F.lower(kind).alias("kind"), number.alias("number"))
+
+
 @query("arm_sizes", C1 + " SELECT center, treated, count(*) AS n FROM c1 GROUP BY center, treated")
 def arm_sizes(spark, sf):
     return cohort(spark, sf).groupBy("center", "treated").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,6 +87,30 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def portable_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Row count and the sum of the rows' digests, the same in any engine that has MD5: rows may come in any order, and a
+    repeated row counts. Columns are integers, dates or strings, whose texts all engines agree on; nulls differ from texts."""
+    kinds = dict(df.dtypes)
+    if odd := [c for c in columns if kinds[c] in ("double", "float") or "<" in kinds[c] or kinds[c].startswith(("decimal", "timestamp", "binary"))]:
+        raise ValueError(f"columns without one text: {odd}")
+    text = lambda c: F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = F.conv(F.substring(F.md5(F.concat(*[text(c) for c in columns]).cast("binary")), 1, 13), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def clean_name(name: str | Column) -> Column:
+    """A label as an identifier: lower case, runs of other characters as one underscore, none at its ends."""
+    own = F.col(name) if isinstance(name, str) else name
+    return F.regexp_replace(F.regexp_replace(F.lower(own), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def label_parts(name: str | Column, separator: str = "_") -> tuple[Column, Column]:
+    """The first part of a label and the rest, which is null if there is none: kinds and covariates of result columns."""
+    own = F.col(name) if isinstance(name, str) else name
+    at = F.instr(own, separator)
+    return F.when(at > 0, F.substring(own, F.lit(1), at - 1)).otherwise(own), F.when(at > 0, F.substring(own, at + len(separator), F.char_length(own)))
+
+
 def write_grid(df: DataFrame, path: str) -> None:
     """A small result grid as CSV with a header."""
     df.write.mode("overwrite").option("header", "true").csv(path)
