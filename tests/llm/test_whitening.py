@@ -92,6 +92,16 @@ def test_packing_is_one_form_for_equal_vectors():
         assert whitening.pack(np.r_[own, 0, 0].astype(np.int64)) == whitening.pack(own)
 
 
+def test_rows_are_packed_and_unpacked_as_one_by_one():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-(1 << b), 1 << b, (20, 5)) for b in (0, 6, 7, 8, 15, 16, 31, 40, 62)] + [np.zeros((2, 5), np.int64), np.array([[1, 0, 0, 0, 0], [0, 0, 0, 0, 200]])])
+    raws = whitening.pack_rows(x)
+    assert raws == [whitening.pack(r) for r in x] and (whitening.unpack(raws, 5) == x).all()
+    for k in range(0, len(x), 10):
+        assert (whitening.unpack(raws[k : k + 10], 5) == x[k : k + 10]).all() and (whitening.unpack(raws[k : k + 10], 7)[:, :5] == x[k : k + 10]).all()
+    assert whitening.pack_rows(np.zeros((2, 0), np.int64)) == [whitening.pack(np.zeros(0, np.int64))] * 2 and whitening.unpack([], 3).shape == (0, 3)
+
+
 def test_whole_embeddings(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     check(spark, rows, 64)

@@ -12,7 +12,7 @@ one document held back. Whole texts cross the network once; no run depends on ho
 rows of one and the same doc_id.
 
 Defined results: a null text counts as empty; an empty text has the empty fingerprint, and two empty ones
-are alike at 1.0, an empty and another text at 0.0; rows are ordered by doc_id (nulls first), ties by text;
+are alike at 1.0, an empty and another text at 0.0; doc_id is a number; rows are ordered by it (nulls first), ties by text;
 a single row is its own next document; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +66,28 @@ def pack(x: np.ndarray) -> bytes:
     return bytes([8]) + x.astype("<i8").tobytes()
 
 
+def pack_rows(x: np.ndarray) -> list[bytes]:
+    """`pack` of each row, those of one size of entries at a time."""
+    if not x.size:
+        return [pack(row) for row in x]
+    low, high, out = x.min(1), x.max(1), [b""] * len(x)
+    size = np.full(len(x), 8)
+    for one in (4, 2, 1):
+        size[(low >= -(1 << 8 * one - 1)) & (high < 1 << 8 * one - 1)] = one
+    for one in (1, 2, 4, 8):
+        own = np.flatnonzero((size == one) & (x[:, -1] != 0))
+        raw, step = x[own].astype(f"<i{one}").tobytes(), one * x.shape[1]
+        for k, i in enumerate(own.tolist()):
+            out[i] = bytes([one]) + raw[k * step : (k + 1) * step]
+    for i in np.flatnonzero(x[:, -1] == 0).tolist():
+        out[i] = pack(x[i])
+    return out
+
+
 def unpack(raws: list[bytes], width: int) -> np.ndarray:
     """(rows, width) longs."""
+    if raws and width and len({(len(r), r[0]) for r in raws}) == 1 and len(raws[0]) == 1 + raws[0][0] * width:
+        return np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)[:, 1:].copy().view(f"<i{raws[0][0]}").astype(np.int64)
     out = np.zeros((len(raws), width), np.int64)
     for k, raw in enumerate(raws):
         x = np.frombuffer(raw, f"<i{raw[0]}", offset=1)
@@ -80,16 +101,22 @@ def quantised(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            keep, width, packed = [], [], []
             column = batch.column("vector")
-            for k in range(batch.num_rows):
-                own = column[k]
-                if own.is_valid and not own.values.null_count:
-                    entries = own.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    if np.isfinite(entries).all():
-                        keep.append(k)
-                        width.append(len(entries))
-                        packed.append(pack(scaled(entries)))
+            sizes = set(pc.list_value_length(column).to_pylist())
+            if len(sizes) == 1 and None not in sizes and 0 not in sizes and not column.flatten().null_count:
+                entries = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+                keep = np.flatnonzero(np.isfinite(entries).all(1)).tolist()
+                packed, width = pack_rows(scaled(entries[keep])), [entries.shape[1]] * len(keep)
+            else:  # vectors of several lengths, or with nulls
+                keep, width, packed = [], [], []
+                for k in range(batch.num_rows):
+                    own = column[k]
+                    if own.is_valid and not own.values.null_count:
+                        entries = own.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                        if np.isfinite(entries).all():
+                            keep.append(k)
+                            width.append(len(entries))
+                            packed.append(pack(scaled(entries)))
             yield {"vec_id": batch.column("vec_id").take(pa.array(keep, pa.int64())), "width": width, "x": packed}
 
         return work
