@@ -63,6 +63,27 @@ def test_trees_equal_those_grown_one_by_one(spark, monkeypatch, classes):
     assert (predicted == y).mean() > 0.4 if classes else np.corrcoef(predicted, y)[0, 1] > 0.9
 
 
+@pytest.mark.parametrize("classes", [0, 3])
+def test_few_combinations_give_the_same_forest_in_one_pass(spark, monkeypatch, classes):
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, (8, 3, 32, 2), (400, 4)).astype(np.uint8)
+    y = rng.integers(0, 3, 400).astype(float) if classes else np.rint(3 * bins[:, 0] - bins[:, 1] + rng.normal(0, 2, 400))
+    df = spark.createDataFrame([(int(i), bytes(b), float(v)) for i, b, v in zip(rng.integers(-(1 << 62), 1 << 62, 400), bins, y)], "id long, bins binary, y double").repartition(3)
+    made = lambda sizes: forest.fit_forest(df, 4, classes, (-40.0, 40.0), trees=5, depth=5, least=2, some=3, seed=9, sizes=sizes)
+    want = made(None)
+    monkeypatch.setattr(forest, "_level", None)  # no job a level
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 70)
+    got = made([8, 3, 32, 2])
+    assert (want.feature >= 0).sum() > 50
+    assert all(np.array_equal(getattr(got, n), getattr(want, n)) for n in ("feature", "bin", "value"))
+
+
+def test_weights_by_starts_are_those_of_the_bounds():
+    ids = np.r_[np.arange(50_000), np.array([-1, 1 << 62])].astype(np.int64).view(np.uint64)
+    x = forest._uniform(ids, 5 * 65_537 + 8)
+    assert np.array_equal(forest.weights(ids, 7, 5), np.searchsorted(forest._POISSON, x, side="right"))
+
+
 def test_sample_weights_are_poisson_and_nodes_choose_features():
     w = np.stack([forest.weights(np.arange(20_000, dtype=np.uint64), t, 5) for t in range(3)])
     assert abs(w.mean() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01 and abs(np.corrcoef(w)[0, 1]) < 0.03

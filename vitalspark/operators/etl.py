@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -120,41 +121,44 @@ def miss_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Se
     first, until the change grows or max_iter; the matrix before the change grew is returned. Categories are integer codes
     from 0. A column without a known value stays null, and one without others keeps its mean or mode.
 
-    Features are binned once, at quantiles of what is known. A forest is trees x depth arrays that grow a level a job
-    (`forest`), whatever the rows, and each column's imputed values are written to the shared folder, so plans stay short.
-    A row's sample weights follow from its key, so results do not depend on partitions.
+    Features are binned once, at quantiles of what is known. A forest is trees x depth arrays that grow in one job or a level a
+    job (`forest`), whatever the rows, and each column's imputed values are written to the shared folder, so plans stay short.
+    They stand there beside those of the pass before, so passes are compared without a join. A row's sample weights follow
+    from its key, so results do not depend on partitions.
     """
     columns, spark = [*numeric, *categorical], df.sparkSession
-    original = df.select(key, *columns).withColumns({f"__na_{c}": F.col(c).isNull() for c in columns})
+    begun = scratch.written()
+    original = settle(df.select(key, *columns).withColumns({f"__na_{c}": F.col(c).isNull() for c in columns}), "known")
     missing = original.agg(*[F.count_if(F.col(f"__na_{c}")).alias(c) for c in columns], *[F.max(c).alias(f"__most_{c}") for c in columns], *[F.min(c).alias(f"__least_{c}") for c in columns]).first()
     todo = sorted((c for c in columns if missing[c] and missing[f"__most_{c}"] is not None), key=lambda c: missing[c]) if len(columns) > 1 else []
     classes = {c: int(missing[f"__most_{c}"] or 0) + 1 for c in categorical}
     spans = {c: (float(missing[f"__least_{c}"] or 0), float(missing[f"__most_{c}"] or 0)) for c in columns}
-    begun = scratch.written()
     now = settle(fill_mean_mode(original, numeric, categorical).withColumns({c: F.col(c).cast("double") for c in columns}), "imputed")
     cuts = dict(zip(columns, forest.edges(original, columns))) if todo else {}
+    scratch.remove_written(spark, begun, but=1)
     last = None
     for _ in range(max_iter if todo else 0):
-        new = now
+        new = now.withColumns({f"__o_{c}": F.col(c) for c in todo})
         for c in todo:
             others = [o for o in columns if o != c]
-            rows = _binned_rows(new, key, c, others, cuts).persist(StorageLevel.MEMORY_AND_DISK)
+            sizes = [len(cuts[o]) + 1 for o in others]
+            rows = _binned_rows(new, key, c, others, cuts)
+            if not forest.reads_once(sizes, classes.get(c, 0), trees):
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                fit = forest.fit_forest(rows, len(others), classes.get(c, 0), spans[c], trees, depth, least, seed=seed)
+                fit = forest.fit_forest(rows, len(others), classes.get(c, 0), spans[c], trees, depth, least, seed=seed, sizes=sizes)
             finally:
                 rows.unpersist()
             new = settle(_with_predicted(new, c, others, cuts, fit), "imputed")
-        old = now.select(key, *[F.col(c).alias(f"__o_{c}") for c in columns])
-        moved = new.join(old, key)
         change = [F.sum(F.pow(F.col(c) - F.col(f"__o_{c}"), F.lit(2))) for c in todo if c in numeric] or [F.lit(0.0)]
         size = [F.sum(F.pow(F.col(c), F.lit(2))) for c in todo if c in numeric] or [F.lit(1.0)]
         flips = [F.avg((F.col(c) != F.col(f"__o_{c}")).cast("double")) for c in todo if c in categorical] or [F.lit(0.0)]
-        row = moved.agg(F.try_divide(sum(change[1:], change[0]), sum(size[1:], size[0])).alias("a"), sum(flips[1:], flips[0]).alias("b")).first()
+        row = new.agg(F.try_divide(sum(change[1:], change[0]), sum(size[1:], size[0])).alias("a"), sum(flips[1:], flips[0]).alias("b")).first()
         if last is not None and (row["a"] or 0) + (row["b"] or 0) >= last:
             break
         last, now = (row["a"] or 0) + (row["b"] or 0), new
         scratch.remove_written(spark, begun, but=1)
-    return now.drop(*[f"__na_{c}" for c in columns])
+    return now.select(key, *columns)
 
 
 def _bins_of(batch: pa.RecordBatch, others: Sequence[str], cuts: dict[str, np.ndarray]) -> np.ndarray:
@@ -167,21 +171,28 @@ def _binned_rows(df: DataFrame, key: str, column: str, others: Sequence[str], cu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = _bins_of(batch, others, cuts)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(column)], names=["id", "bins", "y"])
+            offsets = pa.py_buffer((np.arange(len(bins) + 1) * len(others)).astype("<i4").tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, offsets, pa.py_buffer(bins.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), packed, batch.column(column)], names=["id", "bins", "y"])
 
     known = df.where(~F.col(f"__na_{column}")).select(F.xxhash64(key).alias("__id"), column, *others)
     return known.mapInArrow(run, "id bigint, bins binary, y double")
 
 
 def _with_predicted(df: DataFrame, column: str, others: Sequence[str], cuts: dict[str, np.ndarray], fit: forest.Forest) -> DataFrame:
-    """df with a column's missing values as the forest predicts them."""
+    """df with a column's missing values as the forest predicts them; with few combinations of bins these are looked up."""
+    sizes = [len(cuts[o]) + 1 for o in others]
+    known = fit.predict(forest.combinations(sizes)) if math.prod(sizes) <= forest.LOOKUP else None
+
+    def predicted(bins: np.ndarray) -> np.ndarray:
+        return fit.predict(bins) if known is None else known[np.ravel_multi_index(tuple(bins.T), sizes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lost = np.flatnonzero(batch.column(f"__na_{column}").to_numpy(zero_copy_only=False))
             values = np.array(batch.column(column).to_numpy(zero_copy_only=False))
             if len(lost):
-                values[lost] = fit.predict(_bins_of(batch.take(pa.array(lost)), others, cuts))
+                values[lost] = predicted(_bins_of(batch.take(pa.array(lost)), others, cuts))
             at = batch.schema.get_field_index(column)
             yield batch.set_column(at, batch.schema.field(at), pa.array(values, pa.float64()))
 

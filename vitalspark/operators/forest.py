@@ -5,6 +5,9 @@ job: tasks send their rows down the trees so far, add up target sums by (tree, n
 nodes that they saw; a shuffle by (tree, node) adds them up and finds each node's best split where it lands. Only splits come
 to the driver, and a forest is arrays of at most trees x 2^(depth + 1) nodes, whatever the rows. Bootstrap samples are Poisson
 weights from a digest of (tree, row), so no sample is written; the features that a node may split by are a digest of its name.
+
+Where the features have few combinations of bins, rows of one combination go the same way in every tree. Then the rows are read
+once: tasks add up the target sums of each (tree, combination), and a tree grows from its table where that lands.
 """
 
 from __future__ import annotations
@@ -20,9 +23,16 @@ from pyspark.sql import functions as F
 
 #: Bins of a feature, rows of a task whose sums go out together, and rows that go through the trees at a time.
 BINS, CHUNK_ROWS, BLOCK_ROWS = 32, 1_000_000, 20_000
+#: Numbers that a task may hold as sums by tree and combination of bins; beyond, forests grow a level a job. Combinations whose
+#: predictions are worked out beforehand.
+CELL_NUMBERS, LOOKUP = 8 << 20, 1 << 16
 #: Steps of a target's span.
 STEPS = 1 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: The same as numbers of 53 bits, and the weight of each start of 16 bits, 255 where the other bits decide.
+_BOUNDS = np.array([math.ceil(b * (1 << 53)) for b in _POISSON], np.uint64)
+_STARTS = np.searchsorted(_BOUNDS, np.arange(1 << 16, dtype=np.uint64) << np.uint64(37), side="right").astype(np.uint8)
+_STARTS[np.minimum(_BOUNDS >> np.uint64(37), np.uint64(0xFFFF)).astype(int)] = 255
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,14 +43,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
-def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+def _salted(ids: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_mixed(ids + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)) / float(1 << 53)
+        return _mixed(ids + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    return (_salted(ids, salt) >> np.uint64(11)) / float(1 << 53)
 
 
 def weights(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row is in a tree's sample."""
-    return np.searchsorted(_POISSON, _uniform(ids, seed * 65_537 + tree + 1), side="right")
+    x = _salted(ids, seed * 65_537 + tree + 1)
+    w = _STARTS[x >> np.uint64(48)]
+    open_ = np.flatnonzero(w == 255)
+    w[open_] = np.searchsorted(_BOUNDS, x[open_] >> np.uint64(11), side="right")
+    return w
 
 
 def allowed(trees: np.ndarray, nodes: np.ndarray, features: int, some: int, seed: int) -> np.ndarray:
@@ -201,9 +219,81 @@ def _level(rows: DataFrame, forest: Forest, level: int, width: int, stats_of: Ca
     return ordered.mapInArrow(split, "tree int, node int, feature int, bin int, left array<double>, right array<double>").toArrow()  # a row a node
 
 
-def fit_forest(rows: DataFrame, width: int, classes: int = 0, span: tuple[float, float] = (0.0, 1.0), trees: int = 100, depth: int = 10, least: float = 1.0, some: int | None = None, seed: int = 5) -> Forest:
+def combinations(sizes: Sequence[int]) -> np.ndarray:
+    """(combinations, features): the bins of each combination, the last feature's running fastest."""
+    return np.stack(np.unravel_index(np.arange(math.prod(sizes)), sizes), 1).astype(np.uint8)
+
+
+def add_cells(sums: np.ndarray, bins: np.ndarray, stats: np.ndarray, ids: np.ndarray, sizes: Sequence[int], seed: int) -> None:
+    """Add to sums (trees, stats, combinations) the weighted stats of rows, by their combination of bins."""
+    cell = np.ravel_multi_index(tuple(bins.T), sizes)
+    for t, own in enumerate(sums):
+        w = weights(ids, t, seed)
+        for j in range(len(own)):
+            own[j] += np.bincount(cell, stats[:, j] * w, own.shape[1])
+
+
+def grow(bins: np.ndarray, sums: np.ndarray, tree: int, classes: int, depth: int, least: float, some: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """A level at a time: nodes, features, bins and sums on the left and right of a tree whose rows are (bins, sums)."""
+    (n, p), k = bins.shape, sums.shape[1]
+    node, slots = np.zeros(n, np.int64), np.arange(p) * BINS
+    for _ in range(depth):
+        names, own = np.unique(node, return_inverse=True)
+        cell = ((own * p * BINS)[:, None] + slots + bins).ravel()
+        table = np.stack([np.bincount(cell, np.repeat(sums[:, j], p), len(names) * p * BINS) for j in range(k)], 1).reshape(len(names), p, BINS, k)
+        feature, cut = best_splits(table, allowed(np.full(len(names), tree), names, p, some, seed), classes, least)
+        whole, every = table[:, 0].sum(1), np.arange(len(names))
+        left = np.where(feature[:, None] >= 0, np.cumsum(table[every, np.maximum(feature, 0)], 1)[every, cut], whole)
+        yield names, feature, cut, left, whole - left
+        inner = feature[own] >= 0
+        if not inner.any():
+            break
+        node, bins, sums, own = node[inner], bins[inner], sums[inner], own[inner]
+        node = 2 * node + 1 + (bins[np.arange(len(own)), feature[own]] > cut[own])
+
+
+def _whole(rows: DataFrame, sizes: Sequence[int], stats_of: Callable[[np.ndarray], np.ndarray], classes: int, trees: int, depth: int, some: int, least: float, seed: int) -> pa.Table:
+    """(tree, node, feature, bin, sums left, sums right) of all nodes of all trees, in one job that reads the rows once."""
+    width, k, n = len(sizes), classes or 2, math.prod(sizes)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((trees, k, n))
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK_ROWS):
+                bins, y, ids = _columns(batch.slice(s, BLOCK_ROWS), width)
+                add_cells(sums, bins, stats_of(y), ids, sizes, seed)
+        for t in range(trees):
+            filled = np.flatnonzero(sums[t].any(0))
+            if len(filled):
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([filled.astype("<i4").tobytes()], pa.binary()), pa.array([sums[t][:, filled].tobytes()], pa.binary())], names=["tree", "cells", "sums"])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for t, cells, raw in zip(*(batch.column(c).to_pylist() for c in ("tree", "cells", "sums"))):
+                at = np.frombuffer(cells, "<i4")
+                held.setdefault(t, np.zeros((k, n)))[:, at] += np.frombuffer(raw).reshape(k, -1)
+        every = combinations(sizes)
+        for t, sums in held.items():
+            filled = np.flatnonzero(sums.any(0))
+            for names, feature, cut, left, right in grow(every[filled], sums[:, filled].T, t, classes, depth, least, some, seed):
+                ints = (np.full(len(names), t), names, feature, cut)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in ints), _lists(left), _lists(right)], names=["tree", "node", "feature", "bin", "left", "right"])
+
+    parts = rows.mapInArrow(local, "tree int, cells binary, sums binary").repartition("tree")
+    return parts.mapInArrow(grown, "tree int, node int, feature int, bin int, left array<double>, right array<double>").toArrow()  # a row a node
+
+
+def reads_once(sizes: Sequence[int], classes: int, trees: int) -> bool:
+    """Whether the combinations of bins are so few that `fit_forest` reads its rows once."""
+    return bool(sizes) and math.prod(sizes) * trees * (classes or 2) <= CELL_NUMBERS
+
+
+def fit_forest(rows: DataFrame, width: int, classes: int = 0, span: tuple[float, float] = (0.0, 1.0), trees: int = 100, depth: int = 10, least: float = 1.0, some: int | None = None, seed: int = 5, sizes: Sequence[int] | None = None) -> Forest:
     """rows(id long, bins binary, y double) with `width` features → a forest.
 
+    sizes: number of bins of each feature, if known; with few combinations of them the rows are read once and not once a level.
+
     classes: number of classes, whose codes y holds; 0 for a mean, of targets within `span`, which are counted in 2^20 steps
     of it: sums are then exact and the same in any order. least: weight of a leaf at least; some: features that a node may
     split by, by default all, or for classes the root of their number.
@@ -214,14 +304,16 @@ def fit_forest(rows: DataFrame, width: int, classes: int = 0, span: tuple[float,
     value = lambda s: s / s.sum(1, keepdims=True) if classes else low + step * s[:, 1:] / s[:, :1]
     size = (1 << depth + 1) - 1
     forest = Forest(np.full((trees, size), -1, np.int16), np.zeros((trees, size), np.uint8), np.zeros((trees, size, max(1, classes)), np.float32))
-    for level in range(depth):
-        found = _level(rows, forest, level, width, stats_of, classes, some, least, seed)
+    once = depth > 0 and reads_once(sizes or (), classes, trees)
+    for level in range(1 if once else depth):
+        found = _whole(rows, sizes, stats_of, classes, trees, depth, some, least, seed) if once else _level(rows, forest, level, width, stats_of, classes, some, least, seed)
         if not found.num_rows:
             break
         t, n, f, b = (found[c].to_numpy() for c in ("tree", "node", "feature", "bin"))
         left, right = (found[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1) for c in ("left", "right"))
         if not level:
-            forest.value[t, n] = value(left + right)
+            root = np.flatnonzero(n == 0)
+            forest.value[t[root], n[root]] = value(left[root] + right[root])
         inner = np.flatnonzero(f >= 0)
         t, n = t[inner], n[inner]
         forest.feature[t, n], forest.bin[t, n] = f[inner], b[inner]
