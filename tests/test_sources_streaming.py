@@ -210,3 +210,15 @@ def test_grids_and_clinical_checks(spark, tmp_path):
     assert tuple(tables.clinical_violations(raw, bounds, levels).first()) == (4, 1, 1)
     out = tables.clinical(raw.where("sex is null or sex <> 'X'"), bounds, levels, "death", "follow", "arm", "a", "c0", impute=True)
     assert out.where("age is null or sex_M is null").count() == 0 and out.count() == 3
+
+
+def test_many_line_items_are_dealt_in_parts_of_constant_size(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, tables.cohort(spark, sf).collect()))
+    monkeypatch.setattr(tables, "LEFT_ROWS", 1000)
+    monkeypatch.setattr(tables, "PART_ROWS", 700)
+    many = tables.cohort(spark, sf)
+    plan = many._jdf.queryExecution().toString()
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 700)
+    assert "RepartitionByExpression [l_orderkey" in plan and f", {n}" in plan and tables.parts_of(1000) == 0 and tables.parts_of(7001) == 11
+    assert sorted(map(tuple, many.collect())) == want
