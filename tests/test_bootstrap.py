@@ -155,3 +155,19 @@ def test_mean_of_a_metric_over_replicates(spark):
     drawn = draws.toPandas()
     want = drawn.assign(v=drawn["multiplicity"] * drawn["patient_id"]).groupby("replicate").agg({"v": "sum", "multiplicity": "sum"}).eval("v / multiplicity").mean()
     assert resample.bootstrap_metric(boot, metric, "m").first()[0] == pytest.approx(want)
+
+
+def test_packed_draws_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(300).select(F.col("id").alias("patient_id"), (F.col("id") % 7).cast("double").alias("time"))
+    packed = resample.draws_packed(df.mapInArrow(seen, df.schema), CohortSpec(), 9)
+    got = [(r["patient_id"], k + 1, m) for r in packed.collect() for k, m in enumerate(r["multiplicities"]) if m]
+    assert read.value == 300  # it was read for sizes, cuts, ranks and rows
+    want = resample.draw_multiplicities(df, CohortSpec(), 9).collect()
+    assert sorted(got) == sorted((r["patient_id"], r["replicate"], r["multiplicity"]) for r in want)

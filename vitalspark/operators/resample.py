@@ -22,6 +22,8 @@ from ..sources.scratch import settle
 
 #: Draws that may be needed until every centre has its rows; beyond, a centre is too small for the bootstrap.
 MAX_ATTEMPTS = 50
+#: Picks that are counted in one part, and rows that are ranked in one.
+PICKS, RANKED = 2_400_000, 500_000
 
 
 def hash52(*parts: Column) -> Column:
@@ -97,22 +99,35 @@ def poisson_packed(df: DataFrame, spec: CohortSpec, replicates: int, seed: int =
 
 def draws_packed(df: DataFrame, spec: CohortSpec, replicates: int, by: Sequence[str] = (), buckets: int = 32, seed: int = 1, name: str = "multiplicities") -> DataFrame:
     """df with the multiplicities of `draw_multiplicities` as bytes: picks go to the rank that they pick, as numbers, and rows
-    are joined once."""
-    ids = df.select(*by, spec.id)
-    ranked = bucket_rank(ids, spec.id, buckets, "rank", by)
-    sizes = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draws = (ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    picks = draws.select(*by, "replicate", F.pmod(hash52(F.lit(seed), "replicate", F.lit(0), *by, "rank"), F.col("n")).alias("rank"))
-    packed = picks.groupBy(*by, "rank").agg(F.collect_list(F.col("replicate").cast("smallint")).alias("picks"))  # about as many as replicates
+    are joined once.
+
+    df is written once, as ranks and rows are read from it; picks are counted by 7 bytes a number, where they land, in parts of
+    about `PICKS` picks, and the ranked rows come to the same parts.
+    """
+    spark = df.sparkSession
+    df = settle(df, "rows")
+    n = df.count()
+    parts = max(1, -(-n * replicates // PICKS))
+    ranked = bucket_rank(df, spec.id, max(buckets, -(-n // RANKED)), "__rank", by)
+    if by:
+        ids = df.select(*by, spec.id)
+        places = bucket_rank(ids, spec.id, max(buckets, -(-n // RANKED)), "__rank", by).join(ids.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), list(by))
+    else:
+        places = spark.range(0, n, 1, parts).select(F.col("id").alias("__rank"), F.lit(n).cast("long").alias("__n"))
+    draws = places.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    picks = draws.select(*by, F.pmod(hash52(F.lit(seed), "replicate", F.lit(0), *by, "__rank"), F.col("__n")).alias("__rank"), "replicate")
+    bank, one = F.floor((F.col("replicate") - 1) / 7), F.expr("shiftleft(1L, cast(8 * ((replicate - 1) % 7) AS int))")
+    own, banks = df.columns, [f"__bank{k}" for k in range(-(-replicates // 7))]
+    packed = picks.repartition(parts, *by, "__rank").groupBy(*by, "__rank").agg(*[F.sum(F.when(bank == k, one).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(banks)])
+    joined = ranked.repartition(parts, *by, "__rank").join(packed, [*by, "__rank"], "left").select(*own, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in banks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.bincount(p, minlength=replicates + 1)[1:].astype(np.uint8).tobytes() if p else bytes(replicates) for p in batch.column("picks").to_pylist()]  # 256 picks of a row have a probability below 1e-500
-            yield batch.set_column(batch.schema.get_field_index("picks"), "picks", pa.array(own, pa.binary()))
+            numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in banks], 1)
+            counts = numbers.astype("<i8").view(np.uint8).reshape(len(numbers), len(banks), 8)[:, :, :7].reshape(len(numbers), 7 * len(banks))[:, :replicates]  # 256 picks of a row have a probability below 1e-500
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([x.tobytes() for x in counts], pa.binary())], names=[*own, name])
 
-    named = ranked.join(packed, [*by, "rank"], "left").select(spec.id, "picks")
-    made = named.mapInArrow(run, StructType([named.schema[spec.id], StructField("picks", BinaryType())]))
-    return df.join(made.withColumnRenamed("picks", name), spec.id)
+    return joined.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
 def packed_time_sums(df: DataFrame, spec: CohortSpec, sums: dict[str, Column], replicates: int, name: str = "multiplicities", flush: int = 4 << 20) -> DataFrame:

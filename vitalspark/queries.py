@@ -538,6 +538,7 @@ def boot_cox(spark, sf):
 
 def _boot_estimates(spark, sf, packed=draws_packed) -> DataFrame:
     df, spec = weighted(spark, sf)
+    df = df.select("patient_id", "time", "event", "treated", "w")
     found = fit_binary(packed_time_table(packed(df, spec, _REPLICATES), spec, F.col("treated"), _REPLICATES), by="replicate")
     return spark.createDataFrame([(int(k), v[0]) for k, v in sorted(found.items())], "replicate int, coef double")
 
