@@ -63,3 +63,17 @@ def test_states_of_centres_merge_to_the_pooled_results(spark, tmp_path):
     both = df.na.drop()
     for r in states.covariances().collect():
         assert r["cov"] == pytest.approx(both.agg(F.covar_pop(r["a"], r["b"])).first()[0] if "x1" in (r["a"], r["b"]) else df.agg(F.var_pop("x2")).first()[0])
+
+
+def test_a_delivery_makes_its_rows_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200).select(F.lit("a").alias("center"), (F.col("id") % 2).alias("treated"), (F.col("id") % 7 + 1.0).alias("time"), F.lit(1).alias("event"), F.col("id").cast("double").alias("x1"))
+    states = CentreStates(spark, str(tmp_path / "once"), ["x1"])
+    assert states.deliver(df.mapInArrow(seen, df.schema), CohortSpec(), 1) and read.value == 200
+    assert states.moments().first()["n"] == 200 and not states.deliver(df, CohortSpec(), 1)

@@ -28,7 +28,7 @@ from .operators.resample import bootstrap_metric, bootstrap_variance, draw_multi
 from .operators.simulate import CoxSimulator
 from .plans import unrolled
 from .plans.estimators import CovariateAdjusted, ExternalControlAnalysis, MatchingAdjusted, NaiveComparison, PooledIPTW
-from .sources.scratch import shared_dir
+from .sources.scratch import settle, shared_dir
 from .sources.states import CentreStates
 from .sources.tables import COHORT_SQL, COVARIATES, clean_name, clinical_violations, cohort, fingerprint, label_parts, left_join_all, portable_fingerprint, table
 
@@ -933,6 +933,7 @@ def privacy_budget(spark, sf):
 def _delivered(spark, sf) -> CentreStates:
     """States of three deliveries: half the rows of all centres, then two centres whole, then the others whole."""
     df, spec = weighted(spark, sf)
+    df = settle(df.select("patient_id", "center", "treated", "time", "event", "w", *COVARIATES), "delivered")  # read by three deliveries
     states = CentreStates(spark, f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", COVARIATES)
     first = F.col("center").isin("ASIA", "EUROPE")
     for version, rows in enumerate((df.where("patient_id % 2 = 0"), df.where(first), df.where(~first))):

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..cohort import CohortSpec
 from .log import append_once, read_once
@@ -22,7 +23,14 @@ class CentreStates:
 
     def deliver(self, df: DataFrame, spec: CohortSpec, version: int) -> bool:
         """Add the statistics of the centres in df; whether this version was new. Rows that lack a covariate are in its sums
-        nowhere, but count by time."""
+        nowhere, but count by time. The rows are cached for the three tables, and made once."""
+        rows = df.select(*dict.fromkeys([spec.center, spec.treated, spec.duration, spec.event, *([spec.weight] if spec.weight else []), *self.covariates])).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._deliver(rows, spec, version)
+        finally:
+            rows.unpersist()
+
+    def _deliver(self, df: DataFrame, spec: CohortSpec, version: int) -> bool:
         w, e, known = spec.w, F.col(spec.event), {c: F.col(c).cast("double") for c in self.covariates}
         keys = [F.col(spec.center).alias("center"), F.col(spec.treated).cast("int").alias("arm")]
         marked = lambda rows: rows.withColumn("version", F.lit(version))
